@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, secret_scan, simhash, toxicity
+from . import additive_quant, chat, lm_trie, packing, pieces, quality_rules, secret_scan, simhash, toxicity, wrappers
 from .common import fold
 
 
@@ -26,6 +26,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds the template's own control strings."""
+    own = r"\### Assistant: </turn> ok"
+    control = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(rows.unionByName(control))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -36,12 +44,31 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secret_scan.span_text().alias("spans"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op7_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quant.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.scores(_table(spark, sf_dir, "documents"), fold() != 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_toxicity, op4_simhash, op5_secret_scan, op8_packing]
+    named = [
+        op1_quality_rules, op2_toxicity, op3_chat_formatting, op4_simhash, op5_secret_scan, op6_sentencepiece,
+        op7_additive_quantisation, op8_packing, op9_html_extraction, op10_lm_scoring,
+    ]
     return {f.__name__: f for f in named}
 
 
@@ -68,6 +95,46 @@ FROM b
 """
 
 
+_CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+s AS (SELECT *, 4 + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')) + 2
+                + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + 8 AS size FROM c),
+e AS (SELECT *, sum(size) OVER w AS stream_end, lead(1) OVER w IS NULL AS is_last FROM s
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(stream_end) FILTER (role = 'assistant' OR is_last) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+_NEAREST_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) = (SELECT len(embedding) FROM embeddings GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
+q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 50 = 0),
+p AS (SELECT query_id, vec_id, list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))) AS score
+      FROM q, v WHERE query_id <> vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+#: For pages whose article is one <article> element without furniture, as in the tables at hand.
+_PAGES_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(p|h1|br|li|ul|ol|div)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+d AS (SELECT page_id, url, replace(replace(replace(replace(replace(regexp_replace(t, '&amp([^;]|$)', '&amp;\1', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t FROM b),
+f AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, length(text) AS n_chars FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(quality_rules.RULES))
-    return {"op1_quality_rules": _RULES_SQL.format(bits=bits, mask=quality_rules.DEFAULT.mask)}
+    return {
+        "op1_quality_rules": _RULES_SQL.format(bits=bits, mask=quality_rules.DEFAULT.mask),
+        "op3_chat_formatting": _CHAT_SQL,
+        "op7_additive_quantisation": _NEAREST_SQL,
+        "op9_html_extraction": _PAGES_SQL,
+    }
