@@ -1,12 +1,18 @@
 """SentencePiece encoding and decoding with an Aho-Corasick automaton.
 
 One pass over a text runs the automaton of all pieces; at each position its output links give every piece that ends
-there, and each relaxes the best score of the position: Viterbi over the unigram lattice. A character that no piece
-covers costs the smallest score less 10 and becomes byte pieces. Scores are added as integers where they are, so ties are
-exact; they go to the longer last piece, as the lattice's forward order has it.
+there, and each relaxes the position's best path: Viterbi over the lattice of pieces. What a path is worth depends on the
+model's kind:
 
-Pieces hold the space mark only at their start, so a text falls apart before each run of marks, and the ids of frequent
-chunks are kept. Decoding joins pieces and bytes, and takes off the mark that encoding put first.
+* unigram: the sum of the pieces' scores; a character that no piece covers costs the smallest score less 10. Ties go to
+  the longer last piece, as the lattice's forward order has it.
+* BPE: pieces have no sum to maximise; a path is worth nothing if two neighbours are not what merging makes of their
+  joined characters, and exactly one path of every prefix has no such neighbours: the one that merging gives. So the best
+  path is the library's own encoding, found without merging the text. Verdicts on neighbours are kept.
+
+Characters that no piece covers become byte pieces. Pieces hold the space mark only at their start, so a text falls apart
+before each run of marks, and the ids of frequent chunks are kept. Decoding joins pieces and bytes, and takes off the
+mark that encoding put first.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a text's own U+2581 is a space, as in the
 library; repeated rows are each encoded; an empty table gives no rows; other columns are ignored.
@@ -16,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,89 +34,141 @@ from pyspark.sql import functions as F
 
 from .common import Memo, mapped, spread, tokenizer_file
 
-SPACE = "▁"
+SPACE = "\u2581"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _UNKNOWN_PENALTY = 10
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
+#: Verdicts on neighbours that a worker keeps.
+KEPT_PAIRS = 500_000
+_UNIGRAM, _BPE = 1, 2
+_LOST, _OPEN = -1, -2  # instead of an id: a character that no piece covers; a prefix that no path has reached
 
 
 class Pieces:
     """The vocabulary of a model file's bytes, with its automaton."""
 
-    def __init__(self, model: bytes):
-        from sentencepiece import SentencePieceProcessor
+    def __init__(self, model: bytes, kind: int | None = None):
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(model)
+        self.kind = kind or proto.trainer_spec.model_type
+        if self.kind not in (_UNIGRAM, _BPE):
+            raise ValueError("only unigram and BPE models have pieces to search for")
         sp = SentencePieceProcessor(model_proto=model)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte_id: dict[int, int] = {}
         self.unknown = sp.unk_id()
+        self.score: dict[str, float] = {}
         automaton = ahocorasick.Automaton()
-        least = 0.0
         for i, piece in enumerate(self.pieces):
             if sp.is_byte(i):
                 self.byte_id[int(_BYTE.match(piece)[1], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 score = sp.get_score(i)
-                score = int(score) if score == int(score) else score
+                self.score[piece] = score = int(score) if score == int(score) else score
                 automaton.add_word(piece, (len(piece), i, score))
-                least = min(least, score)
         automaton.make_automaton()
-        self.automaton, self.lost = automaton, least - _UNKNOWN_PENALTY
+        self.automaton = automaton
+        self.lost = min(self.score.values(), default=0) - _UNKNOWN_PENALTY
+        self.single = frozenset(p for p in self.score if len(p) == 1)
         self.of_byte = {i: bytes([b]) for b, i in self.byte_id.items()}
-        self.chunks = Memo(self._chunk, 200_000)
+        self.pairs: dict[int, bool] = {}
+        self.chunks = Memo(self._chunk, 600_000)
+
+    def merged(self, text: str) -> list[str]:
+        """BPE by its definition: join the best-scored neighbours, the leftmost first, as long as there are any."""
+        parts, score = list(text), self.score
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                s = score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def neighbours(self, a: int, b: int) -> bool:
+        """Whether merging leaves pieces a and b as they are side by side (a may be lost, or the text's start)."""
+        k = (a + 1) * len(self.pieces) + b
+        known = self.pairs.get(k)
+        if known is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
+            want = [self.pieces[b]] if a < 0 else [self.pieces[a], self.pieces[b]]
+            known = self.pairs[k] = self.merged("".join(want)) == want
+        return known
 
     def segments(self, text: str) -> list[tuple[int, int, int]]:
-        """The best path over a text with marks: (start, end, id), id -1 for a character that no piece covers."""
+        """The best path over a text with marks: (start, end, id)."""
         n = len(text)
-        best: list[float | None] = [None] * (n + 1)
-        best[0] = 0
-        back = [(0, -1)] * (n + 1)
-        at = 0
+        id_of, start_of = self._merged_path(text) if self.kind == _BPE else self._scored_path(text)
+        out = []
+        while n:
+            out.append((start_of[n], n, id_of[n]))
+            n = start_of[n]
+        return out[::-1]
 
-        def lost(upto: int) -> None:
-            """Positions that no piece has reached yet up to ``upto``: an uncovered character each."""
+    def _merged_path(self, text: str) -> tuple[list[int], list[int]]:
+        """Last piece of each prefix, and where it starts, as merging has them."""
+        n, size, pairs = len(text), len(self.pieces), self.pairs
+        id_of, start_of = [_OPEN] * (n + 1), [0] * (n + 1)
+        id_of[0] = _LOST
+        if not self.single.issuperset(text):
+            for at, c in enumerate(text):
+                if c not in self.single:
+                    id_of[at + 1], start_of[at + 1] = _LOST, at
+        for last, (length, i, _) in self.automaton.iter(text):
+            end = last + 1
+            if id_of[end] != _OPEN:
+                continue
+            start = end - length
+            before = id_of[start]
+            fits = pairs.get((before + 1) * size + i)
+            if self.neighbours(before, i) if fits is None else fits:
+                id_of[end], start_of[end] = i, start
+        return id_of, start_of
+
+    def _scored_path(self, text: str) -> tuple[list[int], list[int]]:
+        """Last piece of each prefix's path with the largest sum, and where it starts."""
+        n, at = len(text), 0
+        id_of, start_of, best = [_OPEN] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+
+        def uncovered(upto: int) -> None:
             nonlocal at
             while at < upto:
                 value = best[at] + self.lost
-                if not covered[at] and (best[at + 1] is None or value > best[at + 1]):
-                    best[at + 1], back[at + 1] = value, (at, -1)
+                if text[at] not in self.single and (id_of[at + 1] == _OPEN or value > best[at + 1]):
+                    id_of[at + 1], start_of[at + 1], best[at + 1] = _LOST, at, value
                 at += 1
 
-        covered = [c in self.single for c in text]
         for last, (length, i, score) in self.automaton.iter(text):
             end = last + 1
-            lost(end)
+            uncovered(last)
             start = end - length
-            before = best[start]
-            if before is None:
-                continue
-            value, now = before + score, best[end]
-            if now is None or value > now or (value == now and start < back[end][0]):
-                best[end], back[end] = value, (start, i)
-        lost(n)
-        out = []
-        while n:
-            start, i = back[n]
-            out.append((start, n, i))
-            n = start
-        return out[::-1]
-
-    @property
-    def single(self) -> frozenset[str]:
-        if not hasattr(self, "_single"):
-            self._single = frozenset(p for p in self.pieces if len(p) == 1 and p in self.automaton)
-        return self._single
+            value = best[start] + score
+            if id_of[end] == _OPEN or value > best[end] or (value == best[end] and start < start_of[end]):
+                id_of[end], start_of[end], best[end] = i, start, value
+        uncovered(n)
+        return id_of, start_of
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for start, end, i in self.segments(chunk):
+        n = len(chunk)
+        id_of, start_of = self._merged_path(chunk) if self.kind == _BPE else self._scored_path(chunk)
+        ids: list[int] = []  # from the end
+        while n:
+            i, start = id_of[n], start_of[n]
             if i >= 0:
                 ids.append(i)
             elif self.byte_id:
-                ids += [self.byte_id[b] for b in chunk[start:end].encode("utf-8", "surrogatepass")]
+                ids += [self.byte_id[b] for b in reversed(chunk[start:n].encode("utf-8", "surrogatepass"))]
             else:
                 ids.append(self.unknown)
-        return np.asarray(ids, "<u4").tobytes()
+            n = start
+        ids.reverse()
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -119,23 +179,38 @@ class Pieces:
     def decode(self, ids: np.ndarray) -> str:
         parts, pieces, of_byte = [], self.pieces, self.of_byte
         raw = bytearray()
+
+        def flush() -> None:
+            if raw:
+                parts.append(raw.decode("utf-8", "surrogatepass" if b"\xed" in raw else "replace"))
+                raw.clear()
+
         for i in ids.tolist():
             b = of_byte.get(i)
             if b is not None:
                 raw += b
                 continue
-            if raw:
-                parts.append(raw.decode("utf-8", "surrogatepass" if b"\xed" in raw else "replace"))
-                raw = bytearray()
+            flush()
             parts.append(pieces[i])
-        if raw:
-            parts.append(raw.decode("utf-8", "surrogatepass" if b"\xed" in raw else "replace"))
+        flush()
         return "".join(parts).removeprefix(SPACE).replace(SPACE, " ")
 
 
+_LOADED: dict[int, Pieces] = {}
+
+
+def loaded(model: bytes) -> Pieces:
+    """The worker's vocabulary of a model; it outlives a task, and so do the chunks it knows."""
+    at = zlib.crc32(model)
+    if at not in _LOADED:
+        _LOADED.clear()
+        _LOADED[at] = Pieces(model)
+    return _LOADED[at]
+
+
 def _coded(box, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(box.value)
+        pieces = loaded(box.value)
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
@@ -166,7 +241,7 @@ def decode(df: DataFrame, ids_column: str = "ids", model: str | None = None) ->
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = Pieces(box.value)
+        pieces = loaded(box.value)
         for column in batches:
             yield pa.array([pieces.decode(np.array(ids or [], "<u4")) for ids in column.to_pylist()], pa.string())
 
