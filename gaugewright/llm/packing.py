@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, mapped, spread, texts, tokenizer_file
+from .common import mapped, spread, texts, tokenizer_file
 
 CAPACITY = 2048
 END_ID = 1
@@ -89,7 +90,7 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         dealt = differenced(sizes, k)
         if max(sum(sizes[i] for i in w) for w in dealt) <= capacity:
             return [w for w in dealt if w]
-        k += max(1, k // 256)
+        k += max(1, k // 128)
 
 
 Piece = tuple[int, int, int]  # (item, start, length)
@@ -131,40 +132,99 @@ def topped_up(dealt: list[list[int]], sizes: list[int], capacity: int = CAPACITY
     return out
 
 
+#: Words of letters that need no normal form but lower case, with marks after them: most words, one token run each.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#*$%&|]*)")
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 600_000
+
+
 class Encoder:
     """Ids of texts, as ``tokenizers`` gives them, word by word: this tokenizer drops white space and never joins
-    across it, so a word's ids do not depend on its neighbours. Ids of frequent words are kept."""
+    across it, so a word's ids do not depend on its neighbours. Ids of words are kept, up to a bound; words of letters
+    are looked up in lower case and without the marks after them, and encoded many at a time."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.known = Memo(self._one)
-
-    def _one(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.asarray(ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+
+    def _each(self, some: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(some), 8192):
+            out += [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some[at : at + 8192], add_special_tokens=False)]
+        return out
+
+    def _together(self, some: list[str]) -> list[bytes]:
+        """Ids of words of letters: each ends with the first piece that ends a word."""
+        out: list[bytes] = []
+        for at in range(0, len(some), 1024):
+            part = some[at : at + 1024]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
+            if len(ends) != len(part):
+                out += self._each(part)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[begin:end])
+                begin = end
+        return out
 
     def prepare(self, docs: list[list[bytes]]) -> None:
-        fresh = [w for w in {w for d in docs for w in d} if w not in self.known and len(w) <= 64]
-        if len(self.known) + len(fresh) > self.known.limit:
+        """Learn the words of some documents, so that :meth:`ids` finds them all."""
+        every = set().union(*docs)
+        fresh = every.difference(self.known)
+        if len(self.known) + len(fresh) > KEPT_WORDS:
             self.known.clear()
-        for at in range(0, len(fresh), 8192):
-            some = fresh[at : at + 8192]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+            self.plain.clear()
+            fresh = every
+        parts, others, letters = {}, [], set()
+        for w in fresh:
+            m = _PLAIN.fullmatch(t := w.decode("utf-8", "replace"))
+            if m is None or len(w) > 200:
+                others.append((w, t))
+            else:
+                parts[w] = pair = (m[1].lower(), m[2])
+                letters.update(pair)
+        letters = [t for t in letters if t and t not in self.plain]
+        core, marks = [t for t in letters if t.isalpha()], [t for t in letters if not t.isalpha()]
+        self.plain.update(zip(core, self._together(core), strict=True))
+        self.plain.update(zip(marks, self._each(marks), strict=True))
+        self.plain[""] = b""
+        plain = self.plain
+        for w, (a, b) in parts.items():
+            self.known[w] = plain[a] + plain[b] if b else plain[a]
+        for (w, _), ids in zip(others, self._each([t for _, t in others]), strict=True):
+            self.known[w] = ids
 
     def ids(self, found: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.known.__getitem__, found)), "<u4")
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder(spec: str) -> Encoder:
+    """The worker's encoder of a tokenizer; it outlives a task, and so do the words it knows."""
+    at = zlib.crc32(spec.encode())
+    if at not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[at] = Encoder(spec)
+    return _ENCODERS[at]
+
+
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def _packer(spec_box, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec_box.value)
+        words = encoder(spec_box.value)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 33
         rows: list[tuple] = []
@@ -200,9 +260,9 @@ def _packer(spec_box, capacity: int, end_id: int, with_ids: bool):
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 docs = [t.encode("utf-8", "surrogatepass").split() for t in texts(part.column(1))]
-                encoder.prepare(docs)
+                words.prepare(docs)
                 for doc, found in zip(part.column(0).to_pylist(), docs, strict=True):
-                    ids = np.append(encoder.ids(found), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(words.ids(found), np.uint32(end_id)).astype("<u4")
                     whole = len(ids) // capacity * capacity
                     for start in range(0, whole, capacity):
                         place([(doc, ids, start, capacity)])
