@@ -16,17 +16,17 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, spread, texts, tokenizer_file
+from .common import mapped, spread, tokenizer_file
 
 CAPACITY = 2048
 END_ID = 1
@@ -90,7 +90,7 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         dealt = differenced(sizes, k)
         if max(sum(sizes[i] for i in w) for w in dealt) <= capacity:
             return [w for w in dealt if w]
-        k += max(1, k // 128)
+        k += max(1, k // 64)
 
 
 Piece = tuple[int, int, int]  # (item, start, length)
@@ -132,16 +132,17 @@ def topped_up(dealt: list[list[int]], sizes: list[int], capacity: int = CAPACITY
     return out
 
 
-#: Words of letters that need no normal form but lower case, with marks after them: most words, one token run each.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#*$%&|]*)")
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 600_000
+#: A word of letters that need no normal form but lower case, with marks after them, is one token run each.
+_PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,200})(?P<marks>[.,;:!?#*$%&|]*)$"
+#: Words whose ids a worker keeps, and bytes of text that it takes apart at once (or one document).
+KEPT_WORDS = 1_000_000
+PART_BYTES = 8 << 20
 
 
 class Encoder:
     """Ids of texts, as ``tokenizers`` gives them, word by word: this tokenizer drops white space and never joins
-    across it, so a word's ids do not depend on its neighbours. Ids of words are kept, up to a bound; words of letters
-    are looked up in lower case and without the marks after them, and encoded many at a time."""
+    across it, so a word's ids do not depend on its neighbours. Different words of many texts are found at once; words of
+    letters are looked up in lower case and without the marks after them. Ids are kept, up to a bound."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -151,8 +152,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # whole words have a NUL before them
 
     def _each(self, some: list[str]) -> list[bytes]:
         out = []
@@ -176,35 +176,41 @@ class Encoder:
                 begin = end
         return out
 
-    def prepare(self, docs: list[list[bytes]]) -> None:
-        """Learn the words of some documents, so that :meth:`ids` finds them all."""
-        every = set().union(*docs)
-        fresh = every.difference(self.known)
-        if len(self.known) + len(fresh) > KEPT_WORDS:
-            self.known.clear()
-            self.plain.clear()
-            fresh = every
-        parts, others, letters = {}, [], set()
-        for w in fresh:
-            m = _PLAIN.fullmatch(t := w.decode("utf-8", "replace"))
-            if m is None or len(w) > 200:
-                others.append((w, t))
-            else:
-                parts[w] = pair = (m[1].lower(), m[2])
-                letters.update(pair)
-        letters = [t for t in letters if t and t not in self.plain]
-        core, marks = [t for t in letters if t.isalpha()], [t for t in letters if not t.isalpha()]
-        self.plain.update(zip(core, self._together(core), strict=True))
-        self.plain.update(zip(marks, self._each(marks), strict=True))
-        self.plain[""] = b""
-        plain = self.plain
-        for w, (a, b) in parts.items():
-            self.known[w] = plain[a] + plain[b] if b else plain[a]
-        for (w, _), ids in zip(others, self._each([t for _, t in others]), strict=True):
-            self.known[w] = ids
-
-    def ids(self, found: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.__getitem__, found)), "<u4")
+    def _learnt(self, keys: list[str]) -> list[bytes]:
+        """Ids of lower-case cores, marks, and (after a NUL) whole words."""
+        known = self.known
+        fresh = [k for k in keys if k not in known]
+        if len(known) + len(fresh) > KEPT_WORDS:
+            known.clear()
+            fresh = keys
+        core = [k for k in fresh if k.isalpha()]
+        known.update(zip(core, self._together(core), strict=True))
+        other = [k for k in fresh if not k.isalpha()]
+        known.update(zip(other, self._each([k.removeprefix("\0") for k in other]), strict=True))
+        return list(map(known.__getitem__, keys))
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column in a row, and where each text's begin (one more place than texts)."""
+        split = pc.ascii_split_whitespace(column)
+        coded = split.flatten().dictionary_encode()
+        different, word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        found = pc.extract_regex(different, _PLAIN)
+        plain = found.is_valid()
+        core = pc.if_else(plain, pc.utf8_lower(pc.struct_field(found, "core")), pc.binary_join_element_wise("\0", different, ""))
+        marks = pc.if_else(plain, pc.struct_field(found, "marks"), "")
+        core, marks = core.dictionary_encode(), marks.dictionary_encode()
+        pieces = self._learnt(core.dictionary.to_pylist() + marks.dictionary.to_pylist())
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        begin, raw = np.cumsum(size) - size, np.frombuffer(b"".join(pieces), "<u4")
+        part = np.empty((len(word), 2), np.int64)
+        part[:, 0] = core.indices.to_numpy(zero_copy_only=False)[word]
+        part[:, 1] = len(core.dictionary) + marks.indices.to_numpy(zero_copy_only=False)[word]
+        part = part.ravel()
+        count = size[part]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = raw[np.repeat(begin[part] - ends[:-1], count) + np.arange(ends[-1])]
+        offsets = split.offsets.to_numpy()
+        return ids, ends[2 * (offsets - offsets[0])]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -257,12 +263,14 @@ def _packer(spec_box, capacity: int, end_id: int, with_ids: bool):
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                docs = [t.encode("utf-8", "surrogatepass").split() for t in texts(part.column(1))]
-                words.prepare(docs)
-                for doc, found in zip(part.column(0).to_pylist(), docs, strict=True):
-                    ids = np.append(words.ids(found), np.uint32(end_id)).astype("<u4")
+            column = pc.fill_null(b.column(1), "")
+            reach = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + PART_BYTES, "right")))
+                every, places = words.ids(column.slice(at, stop - at))
+                for i, doc in enumerate(b.column(0).slice(at, stop - at).to_pylist()):
+                    ids = np.append(every[places[i] : places[i + 1]], np.uint32(end_id)).astype("<u4")
                     whole = len(ids) // capacity * capacity
                     for start in range(0, whole, capacity):
                         place([(doc, ids, start, capacity)])
@@ -271,6 +279,7 @@ def _packer(spec_box, capacity: int, end_id: int, with_ids: bool):
                         held += len(ids)
                     if len(rests) >= GROUP or held >= HELD_TOKENS:
                         deal()
+                at = stop
                 if rows:
                     yield out()
         if rests:
