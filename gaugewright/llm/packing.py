@@ -135,7 +135,7 @@ def topped_up(dealt: list[list[int]], sizes: list[int], capacity: int = CAPACITY
 #: A word of letters that need no normal form but lower case, with marks after them, is one token run each.
 _PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,200})(?P<marks>[.,;:!?#*$%&|]*)$"
 #: Words whose ids a worker keeps, and bytes of text that it takes apart at once (or one document).
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 PART_BYTES = 8 << 20
 
 

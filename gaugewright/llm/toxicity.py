@@ -25,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, fold, mapped, ship, spread
+from .common import fold, mapped, ship, spread
 
 ORDER = 8
 DISCOUNT = 0.75
 #: Labelled rows learnt from, at most (on average; rows are chosen by hash).
-SAMPLE = 16_000
+SAMPLE = 12_000
 #: N-grams seen less often in the labelled sample are left to the shared counts.
 LEAST_COUNT = 2
+#: Words whose ratios a task keeps.
+KEPT_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: A word is evidence if its log-likelihood ratio passes one of LEVELS, and NORMAL by its length.
 LEVELS, NORMAL = (2.0, 3.0, 4.0), 0.25
@@ -48,34 +50,89 @@ def grams(word: str) -> list[str]:
     return [p[i : i + ORDER] for i in range(len(p) - ORDER + 1)]
 
 
+def _codes(strings: list[str], width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of strings in a row, and where each begins (one more place than strings)."""
+    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.full(len(strings), width) if width else np.fromiter(map(len, strings), np.int64, len(strings))
+    return points, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _hashed(windows: np.ndarray) -> np.ndarray:
+    """64-bit keys of rows of code points."""
+    h = np.zeros(len(windows), np.uint64)
+    for k in range(windows.shape[1]):
+        h = (h ^ windows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class Table:
+    """Numbers by key: sorted arrays, 12 bytes an entry."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order].astype(np.float32)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a key is there, its number)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, self.values[at]
+
+
 @dataclass
 class Model:
     """``ratio``: of a seen n-gram, log P(toxic) - log P(ordinary); ``backoff``: the same for a letter that was never
     seen after a context, where the shared lower order cancels."""
 
-    ratio: dict[str, float] = field(default_factory=dict)
-    backoff: dict[str, float] = field(default_factory=dict)
+    ratio: Table
+    backoff: Table
     weights: list[float] | None = None
     center: list[float] = field(default_factory=lambda: [0.0] * _FEATURES)
     scale: list[float] = field(default_factory=lambda: [1.0] * _FEATURES)
 
+    def words(self, some: list[str]) -> list[tuple[float, float]]:
+        """Differences of the log-likelihoods of words: in all, and by length."""
+        out: list[tuple[float, float]] = []
+        for at in range(0, len(some), 20_000):
+            part = some[at : at + 20_000]
+            points, begin = _codes([padded(w) for w in part])
+            starts = np.concatenate([np.arange(a, b - ORDER + 1) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)])
+            windows = points[starts[:, None] + np.arange(ORDER)]
+            seen, value = self.ratio.get(_hashed(windows))
+            known, loose = self.backoff.get(_hashed(windows[:, :-1]))
+            value = np.where(seen, value, np.where(known, loose, 0.0))
+            count = np.diff(begin) - ORDER + 1
+            total = np.add.reduceat(value, np.cumsum(count) - count)
+            out += zip(total.tolist(), (total / count).tolist(), strict=True)
+        return out
+
     def word(self, w: str) -> tuple[float, float]:
-        """Difference of the log-likelihoods of one word: in all, and by its length."""
-        total, ratio, backoff = 0.0, self.ratio, self.backoff
-        for g in grams(w):
-            r = ratio.get(g)
-            total += backoff.get(g[:-1], 0.0) if r is None else r
-        return total, total / (len(w) + 1)
-
-    def features(self, text: str, memo: Memo) -> list[float]:
-        """Over the distinct words: mean and largest length-normalised ratio, words that are evidence, words."""
-        values = [memo[w] for w in set(_WORD.findall(text.lower()))]
-        n = len(values)
-        if not n:
-            return [0.0] * _FEATURES
-        normal = [v[1] for v in values]
-        told = [v[0] for v in values if v[1] > NORMAL]
-        return [sum(normal) / n, max(normal), *(math.log1p(sum(x > level for x in told)) for level in LEVELS), math.log1p(n)]
+        return self.words([w])[0]
+
+    def features(self, texts: list[str | None], known: dict[str, tuple[float, float]]) -> list[list[float]]:
+        """Per text, over its distinct words: mean and largest length-normalised ratio, words that are evidence, words.
+        ``known`` keeps what words were worth, up to KEPT_WORDS."""
+        found = [set(_WORD.findall((t or "").lower())) for t in texts]
+        fresh = list(set().union(*found).difference(known))
+        if len(known) + len(fresh) > KEPT_WORDS:
+            known.clear()
+            fresh = list(set().union(*found))
+        known.update(zip(fresh, self.words(fresh), strict=True))
+        out = []
+        for some in found:
+            if not some:
+                out.append([0.0] * _FEATURES)
+                continue
+            values = [known[w] for w in some]
+            normal = [v[1] for v in values]
+            told = [v[0] for v in values if v[1] > NORMAL]
+            out.append([sum(sorted(normal)) / len(normal), max(normal), *(math.log1p(sum(x > level for x in told)) for level in LEVELS), math.log1p(len(values))])
+        return out
+
+    def scores(self, texts: list[str | None], known: dict[str, tuple[float, float]], step: int = 256) -> list[float]:
+        return [self.score(f) for at in range(0, len(texts), step) for f in self.features(texts[at : at + step], known)]
 
     def score(self, features: list[float]) -> float:
         if self.weights is None:
@@ -120,14 +177,15 @@ def fitted(counts: dict[str, tuple[int, int]]) -> Model:
     def loose(c: int, h: str) -> float:
         return DISCOUNT * types[c][h] / held[c][h] if held[c].get(h) else 1.0
 
-    model = Model()
-    for h in held[0].keys() | held[1].keys():
-        model.backoff[h] = math.log(loose(1, h)) - math.log(loose(0, h))
-    for g, pair in counts.items():
+    contexts = list(held[0].keys() | held[1].keys())
+    backoff = np.array([math.log(loose(1, h)) - math.log(loose(0, h)) for h in contexts])
+    ratio = np.zeros(len(counts))
+    for i, (g, pair) in enumerate(counts.items()):
         h, p = g[:-1], lower(g)
         own = [(max(pair[c] - DISCOUNT, 0) / held[c][h] if held[c].get(h) else 0.0) + loose(c, h) * p for c in (0, 1)]
-        model.ratio[g] = math.log(own[1]) - math.log(own[0])
-    return model
+        ratio[i] = math.log(own[1]) - math.log(own[0])
+    keys = lambda strings, width: _hashed(_codes(strings, width)[0].reshape(-1, width))
+    return Model(Table(keys(list(counts), ORDER), ratio), Table(keys(contexts, ORDER - 1), backoff))
 
 
 def calibrated(model: Model, x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-2) -> Model:
@@ -157,17 +215,16 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for w in set(_WORD.findall((text or "").lower())):
                 known[bool(label)].update(grams(w))
-        if len(known[0]) + len(known[1]) > 400_000:
+        if len(known[0]) + len(known[1]) > 200_000:
             yield out()
     yield out()
 
 
 def _featured(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = box.value
-        memo = Memo(model.word)
+        model, known = box.value, {}
         for b in batches:
-            rows = [model.features(t or "", memo) for t in b.column(0).to_pylist()]
+            rows = model.features(b.column(0).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], ["x", "label"])
 
     return run
@@ -202,10 +259,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_column:
 
 def _scoring(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = box.value
-        memo = Memo(model.word)
+        model, known = box.value, {}
         for b in batches:
-            scores = [model.score(model.features(t or "", memo)) for t in b.column(b.num_columns - 1).to_pylist()]
+            scores = model.scores(b.column(b.num_columns - 1).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*b.schema.names[:-1], "score"])
 
     return run
@@ -226,9 +282,8 @@ def accepted(docs: DataFrame, model: Model, text_column: str = "text", threshold
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = box.value
-        memo = Memo(model.word)
+        model, known = box.value, {}
         for column in batches:
-            yield pa.array([model.score(model.features(t or "", memo)) for t in column.to_pylist()], pa.float64())
+            yield pa.array(model.scores(column.to_pylist(), known), pa.float64())
 
     return spread(docs).where(scored(F.col(text_column).cast("string")) < threshold)
