@@ -80,10 +80,8 @@ class EliasFano:
         values = values.astype(np.uint64)
         self.n = n = len(values)
         self.low_bits = low = int(min(56, max(0, bits - max(0, n - 1).bit_length()))) if n else 0
-        self.high_parts = (1 << (bits - low)) if bits > low else 1
-        highs = (values >> np.uint64(low)).astype(np.int64) if n else np.zeros(0, np.int64)
-        if n:
-            self.high_parts = int(highs[-1]) + 1
+        highs = (values >> np.uint64(low)).astype(np.int64)
+        self.high_parts = int(highs[-1]) + 1 if n else 1
         ones = np.zeros((n + self.high_parts + 64) // 64 * 64, np.uint8)
         ones[highs + np.arange(n)] = 1
         self.words = np.packbits(ones, bitorder="little").view("<u8")
@@ -290,7 +288,6 @@ class Batch:
     def by_shard(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per shard: its words (numbers sorted by key, contexts of foreign shards included) and its pairs (sorted)."""
         order = np.argsort(self.of_pair, kind="stable")
-        cuts = np.searchsorted(self.of_pair[order], np.arange(self.own.max() + 2 if len(self.own) else 1))
         top = max(int(self.own.max(initial=-1)), int(self.of_pair.max(initial=-1))) + 1
         cuts = np.searchsorted(self.of_pair[order], np.arange(top + 1))
         by_own = np.argsort(self.own, kind="stable")

@@ -217,7 +217,7 @@ _ENCODERS: dict[int, Encoder] = {}
 
 
 def encoder(spec: str) -> Encoder:
-    """The worker's encoder of a tokenizer; it outlives a task, and so do the words it knows."""
+    """The worker's encoder of a tokenizer; it outlives a task (the words it knows do not)."""
     at = zlib.crc32(spec.encode())
     if at not in _ENCODERS:
         _ENCODERS.clear()
@@ -286,6 +286,7 @@ def _packer(spec_box, capacity: int, end_id: int, with_ids: bool):
             deal()
         if rows:
             yield out()
+        words.known.clear()
 
     return run
 

@@ -74,7 +74,7 @@ class Pieces:
         self.single = frozenset(p for p in self.score if len(p) == 1)
         self.of_byte = {i: bytes([b]) for b, i in self.byte_id.items()}
         self.pairs: dict[int, bool] = {}
-        self.chunks = Memo(self._chunk, 600_000)
+        self.chunks = Memo(self._chunk, 400_000)
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: join the best-scored neighbours, the leftmost first, as long as there are any."""
@@ -200,7 +200,7 @@ _LOADED: dict[int, Pieces] = {}
 
 
 def loaded(model: bytes) -> Pieces:
-    """The worker's vocabulary of a model; it outlives a task, and so do the chunks it knows."""
+    """The worker's vocabulary of a model; it outlives a task, as do its verdicts (the chunks it knows do not)."""
     at = zlib.crc32(model)
     if at not in _LOADED:
         _LOADED.clear()
@@ -220,6 +220,7 @@ def _coded(box, with_ids: bool):
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64())][: 6 if with_ids else 5]
             names = ["n_pieces", "ids_sha256", "decoded_chars", "decoded_sha256", "same_text", "ids"][: len(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", *names])
+        pieces.chunks.clear()
 
     return run
 

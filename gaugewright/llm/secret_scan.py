@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, ship, spread
+from .common import mapped, released, ship, spread
 
 KINDS = ("assign", "access", "hex", "field")
 SAMPLE = 4000
@@ -333,5 +333,6 @@ def redact(df: DataFrame, model: Field, text_column: str = "text") -> DataFrame:
         model = box.value
         for column in batches:
             yield pa.array([t if t is None else masked(t, scan(t, model)[1]) for t in column.to_pylist()], pa.string())
+        released()
 
     return spread(df).withColumn(text_column, clean(F.col(text_column).cast("string")))

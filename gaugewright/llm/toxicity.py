@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, mapped, ship, spread
+from .common import fold, mapped, released, ship, spread
 
 ORDER = 8
 DISCOUNT = 0.75
@@ -285,5 +285,7 @@ def accepted(docs: DataFrame, model: Model, text_column: str = "text", threshold
         model, known = box.value, {}
         for column in batches:
             yield pa.array(model.scores(column.to_pylist(), known), pa.float64())
+        known.clear()
+        released()
 
     return spread(docs).where(scored(F.col(text_column).cast("string")) < threshold)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_LIMIT, mapped, spread, written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -47,6 +47,9 @@ FURNITURE_WORDS = frozenset(
 #: Start tags that end an open element of the same kind (fixed values).
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul p".split())
+#: Elements below this depth, and children of a wrapper's element beyond this number, are not told apart: the former join
+#: the element they are in, of the latter those of one kind become one repeated group. Texts are never cut.
+DEEPEST, WIDEST = 150, 48
 _SCOPE = frozenset("ul ol dl table article section div body html main".split())
 
 
@@ -99,7 +102,7 @@ def tree(html: str) -> Node:
                     break
         node = Node(tag, names_of(m[3]))
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or m[3].endswith("/") or len(stack) >= DEEPEST:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
@@ -128,6 +131,8 @@ def text_of(node: Node, inside: bool = True) -> str:
                 parts.append(entities.unescape(c) if "&" in c else c)
             elif not furniture(c.tag, c.words, inside):
                 walk(c, inside or c.tag in ("article", "main"))
+            elif c.tag not in INLINE and c.tag not in RAW:  # what is left out parts blocks as well
+                parts.append(" ")
         if block:
             parts.append(" ")
 
@@ -160,6 +165,8 @@ def folded(children: list[dict]) -> list[dict]:
     """Adjacent equal groups of siblings (one to three elements wide) become one repeated group."""
     if len(children) < 2:
         return children
+    if len(children) > 4 * WIDEST:
+        children = condensed(children)
     for width in (1, 2, 3):
         out: list[dict] = []
         for c in children:
@@ -174,7 +181,21 @@ def folded(children: list[dict]) -> list[dict]:
                         merged["r"] = True
                     out[i - width] = merged
         children = out
-    return children
+    return condensed(children) if len(children) > WIDEST else children
+
+
+def condensed(children: list[dict]) -> list[dict]:
+    """One optional repeated group for each kind of sibling, in the order in which kinds first stand."""
+    kinds: dict[tuple, dict] = {}
+    for c in children:
+        s = signature(c)
+        if s not in kinds:
+            kinds[s] = c
+            continue
+        kinds[s] = aligned(kinds[s], c)
+        if "g" in c:
+            kinds[s] |= {"n": max(kinds[s]["n"] - c["n"], c["n"]), "o": True, "r": True}
+    return list(kinds.values())
 
 
 def aligned(a: dict, b: dict) -> dict:
