@@ -249,7 +249,7 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     ship(df.sparkSession)
     found = near_duplicates(df, id_column, text_column, with_bits=True)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
-    stay, _ = written(stay.distinct(), "stay")
+    stay, _ = written(stay, "stay")
 
     @F.arrow_udf("long")
     def prints(column: pa.Array) -> pa.Array:
