@@ -39,6 +39,7 @@ class Observations:
     at: dict[str, str]
     kinds: dict[str, str]
     problem: str | None = None
+    counted: bool = True  # PLACE counts rows within a block
 
     def cell(self, name: str) -> Column:
         return quoted(self.at[name])
@@ -54,13 +55,21 @@ class Observations:
         return [F.col(FILE), F.col(BLOCK), F.col(PLACE)]
 
     def numbered(self, rows: DataFrame, wanted: DataFrame) -> dict[tuple, int]:
-        """Row numbers (the first row is 2) of a few wanted rows, from the row counts of blocks."""
+        """Row numbers (the first row is 2) of a few wanted rows: from the row counts of blocks, or, where columns order
+        the rows, from the rows before each."""
+        found = wanted.select(FILE, BLOCK, PLACE).collect()
+        key = lambda r: (r[FILE], r[BLOCK], r[PLACE])
+        if not self.counted:
+            names = wanted.schema[PLACE].dataType.names
+            place = lambda r: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r[PLACE], strict=True)])
+            before = rows.agg(*[F.count_if(F.col(PLACE) < place(r)).alias(f"n{i}") for i, r in enumerate(found)]).first() if found else ()
+            return {key(r): before[i] + 2 for i, r in enumerate(found)}
         blocks = rows.groupBy(FILE, BLOCK).agg(F.count("*").alias("n"), F.min(PLACE).alias("first")).orderBy(FILE, BLOCK).collect()
         before, at = 2, {}
         for b in blocks:  # as many as splits
             at[b[FILE], b[BLOCK]] = before - b["first"]
             before += b["n"]
-        return {(r[FILE], r[BLOCK], r[PLACE]): at[r[FILE], r[BLOCK]] + r[PLACE] for r in wanted.select(FILE, BLOCK, PLACE).collect()}
+        return {key(r): at[r[FILE], r[BLOCK]] + r[PLACE] for r in found}
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -109,8 +118,8 @@ def bound(df: DataFrame, label: str = "dataframe", order: list[str] | None = Non
     elif files:
         rows = _ordered(df)
     else:
-        rows = df.withColumns({FILE: F.lit(""), BLOCK: F.lit(0).cast("long"), PLACE: F.monotonically_increasing_id()})
-    return Observations(df.sparkSession, label, names, rows, {n: n for n in names}, kinds)
+        rows = df.withColumns({FILE: F.lit(""), BLOCK: F.spark_partition_id().cast("long"), PLACE: F.monotonically_increasing_id()})
+    return Observations(df.sparkSession, label, names, rows, {n: n for n in names}, kinds, counted=not order)
 
 
 def previous(rows: DataFrame, value: str, scopes: list[str], name: str) -> DataFrame:

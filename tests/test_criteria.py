@@ -395,3 +395,19 @@ def test_partition_count_does_not_matter(spark, tmp_path):
 
         assert not list(differences(one["metrics"], other["metrics"], c, 1e-9, 1e-9))
         assert one["status"] == other["status"]
+
+
+def test_row_numbers_of_dataframes(spark, tmp_path):
+    from gaugewright.sources.observations import bound, read
+
+    rows = demo.four_runs()
+    rows[20]["c1"] = rows[5]["Fx_ref"] = 99.0
+    data, at = demo.write(tmp_path, rows, demo.task(d4=demo.D4))
+    bundle = load_task_bundle(at)
+    ordered = spark.createDataFrame([r | {"place": i, "Fx_ref": float(r["Fx_ref"]), "c1": float(r["c1"])} for i, r in enumerate(rows)])
+    whole = spark.read.csv(str(data), header=True)
+    whole.coalesce(1).write.parquet(str(tmp_path / "data.parquet"))
+    for d in (data, bound(ordered.repartition(5), "x", ["place"]), whole, read(spark, tmp_path / "data.parquet"), read(spark, data, multiline=False)):
+        r = Assessment(d, bundle, spark).result("D1")
+        assert [(v.code, v.row_number) for v in r.violations] == [("measurement_out_of_range", 7), ("measurement_out_of_range", 22)]
+        assert Assessment(d, bundle, spark).result("D2").status == "INDETERMINATE"
