@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import mapped, written
 
-CODEBOOKS = 16
+CODEBOOKS = 32
 CODEWORDS = 256
 BEAM = 4
 #: Vectors that the codebooks are fitted to, at most.
@@ -38,7 +38,7 @@ BLOCK = 2048
 _ROWS = 8192
 
 
-def fit(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, rounds: int = 8, seed: int = 7) -> np.ndarray:
+def fit(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, rounds: int = 5, seed: int = 7) -> np.ndarray:
     """Codebooks (codebooks, codewords, dimensions) by k-means on what the ones before leave of the sample."""
     rng = np.random.default_rng(seed)
     k = max(1, min(codewords, len(x)))

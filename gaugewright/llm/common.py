@@ -7,6 +7,7 @@ import ctypes
 import gc
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -76,8 +77,11 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out anew where a small table has too few partitions to use the cores; large tables stay as they are."""
+    """Deal rows out anew where a small table has too few partitions to use the cores; large tables stay as they are, and
+    so does what already comes from a shuffle (its partitions are only known once it has run)."""
     n = df.sparkSession.sparkContext.defaultParallelism
+    if re.search("Join|Aggregate|Window|Exchange|Repartition|Sort|Limit|Union", df._jdf.queryExecution().sparkPlan().toString()):
+        return df
     return df.repartition(n) if df.rdd.getNumPartitions() * 2 <= n else df
 
 
