@@ -1,7 +1,8 @@
 """Assessments: evaluators over one dataset and one task, each criterion evaluated once.
 
 Criteria build on each other (D2 to D5 on D1, D6 on D5, D7 on all), and are pure functions of the data and the
-declarations, so an :class:`Assessment` keeps their results; the observations are read once into the block store.
+declarations, so an :class:`Assessment` keeps their results. Where observations say so (CSV does), the columns that the
+task uses are read once into the block store; ``storage`` of the observations decides.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 import os
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..declarations import CriterionStatus, TaskBundle
@@ -34,8 +34,9 @@ class Assessment:
     def data(self) -> Observations:
         d = self._dataset
         found = d if isinstance(d, Observations) else observations.bound(d) if isinstance(d, DataFrame) else observations.read(self.spark, d)
-        if found.rows is not None:
-            found.rows = found.rows.persist(StorageLevel.MEMORY_AND_DISK)
+        if found.rows is not None and found.storage:
+            found = found.only(used_columns(self.bundle))
+            found.rows = found.rows.persist(found.storage)
         return found
 
     def result(self, criterion: str) -> CriterionResult:
@@ -98,6 +99,14 @@ class Assessment:
             self.data.rows.unpersist()
 
 
+def used_columns(bundle: TaskBundle) -> list[str]:
+    """The columns that a task's criteria read."""
+    m, d2 = bundle.task.dataset_mapping, bundle.task.d2
+    named = [m.sensor_timestamp_column, m.reference_timestamp_column, m.run_id_column, m.configuration_id_column, *m.sensor_channels.values(), *m.reference_channels.values()]
+    named += [c.column for c in ((d2.conditions if d2 else None) or {}).values()]
+    return [c for c in named if c is not None]
+
+
 def verdict(d0: CriterionStatus, undeclared: bool, statuses: list[CriterionStatus]) -> tuple[CriterionStatus, str]:
     """A known failure beats missing evidence; an incomplete or contradictory claim comes before all."""
     s = CriterionStatus

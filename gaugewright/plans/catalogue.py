@@ -116,7 +116,7 @@ def d1_monotonic_lastfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     data = events(spark, sf_dir)
     rows = data.rows.withColumns({"run": data.text("user_id"), "t": F.when(F.col("event_id") % 5 != 0, F.col("sensor_t"))})
-    rows = previous(rows, "t", ["run"], "before")
+    rows = previous(rows, {"before": "t"}, ["run"])
     return rows.groupBy("run").agg(F.count_if(F.col("t") <= F.col("before")).alias("n_back"), F.count_if(F.col("before").isNull()).alias("n_first"))
 
 

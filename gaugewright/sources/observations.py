@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import csv
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,13 @@ class Observations:
     kinds: dict[str, str]
     problem: str | None = None
     counted: bool = True  # PLACE counts rows within a block
+    storage: StorageLevel | None = None  # where rows that are read several times are kept; none: they are read again
+
+    def only(self, names: list[str]) -> Observations:
+        """The same rows with the columns that hold these names, and their order."""
+        held = dict.fromkeys(self.at[n] for n in names if n in self.at)
+        kept = self.rows.select(*[quoted(c) for c in held], *[c for c in (FILE, BLOCK, PLACE) if c not in held])
+        return replace(self, rows=kept)
 
     def cell(self, name: str) -> Column:
         return quoted(self.at[name])
@@ -89,7 +97,8 @@ def _missing(path: str) -> str | None:
 
 
 def read(spark: SparkSession, path: str | os.PathLike, multiline: bool = True) -> Observations:
-    """A CSV file (or folder of them), or Parquet where the name says so."""
+    """A CSV file (or folder of them), or Parquet where the name says so. Cells of a CSV are worth keeping once they are cut
+    out; columns of a Parquet file are better read again."""
     path = str(path) if at_scheme(str(path)) else str(Path(path).expanduser().resolve())
     if problem := _missing(path):
         return Observations(spark, path, [], None, {}, {}, problem)
@@ -105,7 +114,7 @@ def read(spark: SparkSession, path: str | os.PathLike, multiline: bool = True) -
     held = [f"c{i}" for i in range(len(names))]
     reader = spark.read.schema(", ".join(f"{h} string" for h in held)).options(header=True, multiLine=multiline, escape='"', enforceSchema=True, mode="PERMISSIVE")
     rows = _ordered(reader.csv(path))
-    return Observations(spark, path, names, rows, dict(zip(names, held, strict=True)), dict.fromkeys(held, "string"))
+    return Observations(spark, path, names, rows, dict(zip(names, held, strict=True)), dict.fromkeys(held, "string"), storage=StorageLevel.MEMORY_AND_DISK)
 
 
 def bound(df: DataFrame, label: str = "dataframe", order: list[str] | None = None, files: bool = False) -> Observations:
@@ -122,17 +131,18 @@ def bound(df: DataFrame, label: str = "dataframe", order: list[str] | None = Non
     return Observations(df.sparkSession, label, names, rows, {n: n for n in names}, kinds, counted=not order)
 
 
-def previous(rows: DataFrame, value: str, scopes: list[str], name: str) -> DataFrame:
-    """Adds ``name``: the last non-null ``value`` before each row within its scope.
+def previous(rows: DataFrame, values: dict[str, str], scopes: list[str]) -> DataFrame:
+    """Adds columns (by name: of which value) with the last non-null value before each row within its scope.
 
     First within each block of the input, then across blocks by their last values, so that neither one hot scope nor a
-    table without scopes ends up in a single task.
+    table without scopes ends up in a single task. All values take one sort, one aggregation to a row per scope and
+    block, and one join that keeps the window's partitioning.
     """
-    inner = Window.partitionBy(*scopes, FILE, BLOCK).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn(name, F.last(value, ignorenulls=True).over(inner))
-    ends = rows.where(F.col(value).isNotNull()).groupBy(*scopes, FILE, BLOCK).agg(F.max_by(value, PLACE).alias("__end"))
-    blocks = rows.select(*scopes, FILE, BLOCK).distinct().join(ends, [*scopes, FILE, BLOCK], "left")
+    keys = [*scopes, FILE, BLOCK]
+    inner = Window.partitionBy(*keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(PLACE))).alias(f"__end_{n}") for n, v in values.items()])
     outer = Window.partitionBy(*scopes).orderBy(FILE, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.withColumn("__carried", F.last("__end", ignorenulls=True).over(outer)).where("__carried IS NOT NULL").select(*scopes, FILE, BLOCK, "__carried")
-    joined = rows.join(carried, [*scopes, FILE, BLOCK], "left")
-    return joined.withColumn(name, F.coalesce(name, "__carried")).drop("__carried")
+    carried = ends.select(*keys, *[F.last(f"__end_{n}", ignorenulls=True).over(outer).alias(f"__carried_{n}") for n in values])
+    within = rows.withColumns({n: F.last(v, ignorenulls=True).over(inner) for n, v in values.items()})
+    joined = within.join(carried, keys, "left")
+    return joined.withColumns({n: F.coalesce(n, f"__carried_{n}") for n in values}).drop(*[f"__carried_{n}" for n in values])
