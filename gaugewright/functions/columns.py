@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Numbers as Python's float() reads them, underscores between digits included; infinities and NaN are not finite anyway.
-NUMBER = r"^[\s\x1c-\x1f]*[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?[\s\x1c-\x1f]*$"
+_BLANK = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+NUMBER = rf"^{_BLANK}[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?{_BLANK}$"
 
 
 def quoted(name: str) -> Column:
@@ -34,7 +35,7 @@ def parsed(cell: Column, kind: str = "string") -> Column:
     """The finite number of a cell, or null. Cells that are numbers already only need to be finite."""
     if kind != "string":
         return finite(cell.cast("double"))
-    text = F.regexp_replace(F.regexp_replace(cell, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), "_", "")
+    text = F.regexp_replace(cell, r"[^0-9eE.+-]", "")
     return finite(F.when(cell.rlike(NUMBER), text.try_cast("double")))
 
 

@@ -106,7 +106,7 @@ def d1_first_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = validity.row_checks(events(spark, sf_dir), events_bundle())
     first = validity.first_violations(table, 50)
     told = F.array(*[F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(i).alias("seq"), F.lit(c.code).alias("code"))) for i, c in enumerate(table.checks)])
-    rows = first.select(F.col("__place.event_id").alias("event_id"), F.explode(F.filter(told, lambda x: x.isNotNull())).alias("t"))
+    rows = first.select(F.col("__place").alias("event_id"), F.explode(F.filter(told, lambda x: x.isNotNull())).alias("t"))
     return rows.select("event_id", "t.seq", "t.code").orderBy("event_id", "seq").limit(50)
 
 

@@ -68,8 +68,8 @@ class Observations:
         found = wanted.select(FILE, BLOCK, PLACE).collect()
         key = lambda r: (r[FILE], r[BLOCK], r[PLACE])
         if not self.counted:
-            names = wanted.schema[PLACE].dataType.names
-            place = lambda r: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r[PLACE], strict=True)])
+            names = getattr(wanted.schema[PLACE].dataType, "names", None)
+            place = lambda r: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r[PLACE], strict=True)]) if names else F.lit(r[PLACE])
             before = rows.agg(*[F.count_if(F.col(PLACE) < place(r)).alias(f"n{i}") for i, r in enumerate(found)]).first() if found else ()
             return {key(r): before[i] + 2 for i, r in enumerate(found)}
         blocks = rows.groupBy(FILE, BLOCK).agg(F.count("*").alias("n"), F.min(PLACE).alias("first")).orderBy(FILE, BLOCK).collect()
@@ -122,7 +122,7 @@ def bound(df: DataFrame, label: str = "dataframe", order: list[str] | None = Non
     kinds = {n: "string" if k == "string" else k for n, k in df.dtypes}
     names = df.columns
     if order:
-        first = F.struct(*[quoted(c) for c in order])
+        first = quoted(order[0]) if len(order) == 1 else F.struct(*[quoted(c) for c in order])
         rows = df.withColumns({FILE: F.lit(""), BLOCK: F.lit(0).cast("long"), PLACE: first})
     elif files:
         rows = _ordered(df)
