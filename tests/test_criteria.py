@@ -411,3 +411,24 @@ def test_row_numbers_of_dataframes(spark, tmp_path):
         r = Assessment(d, bundle, spark).result("D1")
         assert [(v.code, v.row_number) for v in r.violations] == [("measurement_out_of_range", 7), ("measurement_out_of_range", 22)]
         assert Assessment(d, bundle, spark).result("D2").status == "INDETERMINATE"
+
+
+def test_d4_does_not_depend_on_blocks(spark, tmp_path):
+    """Runs that lie in several files, some with fewer rows than a lag."""
+    d4 = demo.D4 | {"signals": [s | {"maximum_autocorrelation_lag": 3} for s in demo.D4["signals"]], "minimum_effective_sample_size": 0.1}
+    rng = np.random.default_rng(11)
+    names = [*demo.INPUTS, *(f"{a}_ref" for a in demo.AXES)]
+    rows = [r | dict(zip(names, map(float, x), strict=True)) for r, x in zip(demo.four_runs(), np.cumsum(rng.uniform(-0.3, 0.3, (32, 6)), 0), strict=True)]
+    data, at = demo.write(tmp_path, rows, demo.task(d4=d4))
+    whole = spark.read.csv(str(data), header=True).toPandas()
+    (tmp_path / "parts").mkdir()
+    for i, (a, b) in enumerate(((0, 3), (3, 5), (5, 6), (6, 20), (20, 32))):
+        whole.iloc[a:b].to_csv(tmp_path / "parts" / f"part-{i}.csv", index=False)
+    one, many = (Assessment(d, load_task_bundle(at), spark).result("D4") for d in (data, tmp_path / "parts"))
+    for k, told in one.metrics["signals"].items():
+        source, channel = k.split(".")
+        for run_id, mine in told["per_run"].items():
+            assert many.metrics["signals"][k]["per_run"][run_id]["autocorrelations"] == pytest.approx(mine["autocorrelations"], rel=1e-9)
+            values = [r[channel if source == "sensor" else f"{channel}_ref"] for r in rows if r["run_id"] == run_id]
+            assert mine["effective_sample_size"] == pytest.approx(brute_ess(values, 3))
+    assert codes(one) == codes(many) and sum(len(t["per_run"]) for t in one.metrics["signals"].values()) > 10
