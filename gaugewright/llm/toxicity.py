@@ -238,7 +238,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_column:
     n = marks.count()
     if n > sample:
         marks = marks.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-    rows = docs.select(F.col("doc_id").alias("id"), F.col(text_column).cast("string").alias("text")).join(marks, "id").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(5)))
+    # the marks are bounded by the sample, so they are sent to the texts and not the texts to them; an id's rows count once
+    rows = docs.select(F.col("doc_id").alias("id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(marks), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text")).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(5)))
     rows = rows.select("text", "label", "part").persist()  # bounded by the sample
     try:
         counted = mapped(rows.where("part < 4"), _counting, "gram string, ordinary long, toxic long")
