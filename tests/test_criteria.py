@@ -432,3 +432,24 @@ def test_d4_does_not_depend_on_blocks(spark, tmp_path):
             values = [r[channel if source == "sensor" else f"{channel}_ref"] for r in rows if r["run_id"] == run_id]
             assert mine["effective_sample_size"] == pytest.approx(brute_ess(values, 3))
     assert codes(one) == codes(many) and sum(len(t["per_run"]) for t in one.metrics["signals"].values()) > 10
+
+
+def test_d2_continuous_conditions(run):
+    d2 = copy.deepcopy(demo.D2)
+    d2["conditions"] = {"T": {"kind": "continuous", "source": "column", "column": "temp", "unit": "C", "minimum": 0.0, "maximum": 10.0, "grid_points": 2}, "rig": {"kind": "fixed", "source": "constant", "constant": 1.0, "claimed_value": 1.0}}
+    rows = [r | {"temp": t} for t in (0, 10) for r in demo.factorial()]
+    for i, r in enumerate(rows):
+        r["sensor_time_s"], r["reference_time_s"] = i * 0.01, i * 0.01
+    r = run(evaluate_d2, rows, demo.task(d2=d2))
+    assert (r.status, r.metrics["grid_shape"], list(r.metrics["strata"])) == ("PASS", [3, 3, 3, 2], ["rig=1.0"])
+    rows[7]["temp"] = "warm"
+    assert codes(run(evaluate_d2, rows, demo.task(d2=d2))) == ["invalid_condition_value"]
+    d2["conditions"]["T"]["column"] = "gone"
+    assert codes(run(evaluate_d2, rows, demo.task(d2=d2))) == ["missing_condition_column"]
+
+
+def test_d4_without_its_configuration_column(run):
+    rows = [{k: v for k, v in r.items() if k != "configuration_id"} for r in demo.four_runs()]
+    r = run(evaluate_d4, rows, demo.task(d4=demo.D4))
+    assert r.metrics["violations_by_code"] == {"declared_run_not_observed": 4, "minimum_configuration_runs_not_met": 2, "minimum_effective_sample_size_not_met": 1, "minimum_independent_runs_not_met": 1, "missing_required_column": 1}
+    assert (r.metrics["rows_evaluated"], r.metrics["limiting_signal"], r.metrics["minimum_effective_sample_size_observed"]) == (0, "sensor.c1", 0.0)
