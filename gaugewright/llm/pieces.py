@@ -73,6 +73,10 @@ class Pieces:
         self.lost = min(self.score.values(), default=0) - _UNKNOWN_PENALTY
         self.single = frozenset(p for p in self.score if len(p) == 1)
         self.of_byte = {i: bytes([b]) for b, i in self.byte_id.items()}
+        # bytes below 128 are characters, those above only parts of some
+        self.texts = [self.of_byte[i].decode("ascii") if i in self.of_byte and self.of_byte[i] < b"\x80" else p for i, p in enumerate(self.pieces)]
+        self.is_part = np.zeros(len(self.pieces), bool)
+        self.is_part[[i for i, b in self.of_byte.items() if b >= b"\x80"]] = True
         self.pairs: dict[int, bool] = {}
         self.chunks = Memo(self._chunk, 400_000)
 
@@ -177,7 +181,9 @@ class Pieces:
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, _CHUNK.findall(marked))), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
-        parts, pieces, of_byte = [], self.pieces, self.of_byte
+        if not self.is_part[ids].any():  # every id is a text of its own
+            return "".join(map(self.texts.__getitem__, ids.tolist())).removeprefix(SPACE).replace(SPACE, " ")
+        parts, texts, of_byte = [], self.texts, self.of_byte
         raw = bytearray()
 
         def flush() -> None:
@@ -191,7 +197,7 @@ class Pieces:
                 raw += b
                 continue
             flush()
-            parts.append(pieces[i])
+            parts.append(texts[i])
         flush()
         return "".join(parts).removeprefix(SPACE).replace(SPACE, " ")
 
