@@ -3,13 +3,15 @@
 Pages of one host share templates. A host's wrapper is a regular expression without unions over tags and text: it starts
 as one page and is aligned with one page after another. Where strings differ, a text slot takes their place; where tags
 differ, what only one side has becomes optional, and what repeats side by side becomes a repeated group. The expression
-is kept as a tree, since its tags nest: a node has a tag, its class words, how often it may occur, and aligned children.
+is kept as a tree, since its tags nest: a node has a tag, its names (of class, id and role), how often it may occur, and aligned children.
 
 Wrappers are inferred from every page: each task folds its pages into one wrapper per host, and these are merged in two
 steps (a salted one first), so no task gets all pages of a host, and what is merged has the size of templates, not of
 pages. A wrapper tells where a host's articles are: in the innermost ``article`` or ``main`` that holds text slots, or
 else in the element whose own blocks hold most variable text. Extraction aligns a page with its wrapper and returns the
 text below that place without furniture (menus, headers, footers, side columns, notices, adverts, forms, comments).
+Within an article only furniture's tags, and containers with a whole name of it, are left out; outside, no element that
+holds the article or most of the text is furniture for a part of its name.
 
 Text: character references are decoded, white space becomes one space within a block, and blocks are joined by one space.
 
@@ -24,6 +26,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,6 +47,11 @@ FURNITURE_TAGS = frozenset("head nav footer aside form script style noscript tem
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related reply replies share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that with one of those make up a whole name of furniture (``share-bar``, ``site-nav``); elements that such a name
+#: makes furniture also within an article (fixed values).
+PLAIN_WORDS = frozenset("area bar block bottom box button buttons container icons inner links list main page post site slot top wrap wrapper".split())
+CONTAINERS = frozenset("div section header ul ol dl table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of the same kind (fixed values).
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul p".split())
@@ -54,18 +62,18 @@ _SCOPE = frozenset("ul ol dl table article section div body html main".split())
 
 
 class Node:
-    """An element: tag, class words, children (nodes and strings)."""
+    """An element: tag, names (of class, id and role), children (nodes and strings)."""
 
-    __slots__ = ("children", "tag", "words")
+    __slots__ = ("children", "names", "tag")
 
     def __init__(self, tag: str, names: frozenset[str] = frozenset()):
-        self.tag, self.words, self.children = tag, names, []
+        self.tag, self.names, self.children = tag, names, []
 
 
 def names_of(attributes: str) -> frozenset[str]:
     if "=" not in attributes:
         return frozenset()
-    return frozenset(w for m in _NAMED.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w)
+    return frozenset(w for m in _NAMED.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split())
 
 
 def tree(html: str) -> Node:
@@ -113,14 +121,81 @@ def tree(html: str) -> Node:
     return root
 
 
-def furniture(tag: str, names: frozenset[str], inside: bool) -> bool:
-    """Whether an element is none of the article; an article's own ``header`` holds its title and stays."""
-    return tag in FURNITURE_TAGS or (tag == "header" and not inside) or bool(names & FURNITURE_WORDS and tag not in ("html", "body", "article", "main"))
+@lru_cache(1 << 14)
+def words_of(name: str) -> frozenset[str]:
+    return frozenset(w for w in _SPLIT.split(name) if w)
+
+
+def looks(tag: str, names: frozenset[str], inside: bool) -> int:
+    """0: no furniture; 1: furniture unless it holds the article or most of the text; 2: furniture by its tag or by a whole
+    name. Within an article only the latter counts, and its own ``header`` holds its title and stays."""
+    if tag in FURNITURE_TAGS:
+        return 1 if tag == "form" and not inside else 2
+    if tag == "header" and not inside:
+        return 2
+    if not names or tag in ("html", "body", "article", "main"):
+        return 0
+    hits = [w for w in map(words_of, names) if w & FURNITURE_WORDS]
+    if tag in CONTAINERS and any(w <= FURNITURE_WORDS | PLAIN_WORDS for w in hits):
+        return 2
+    return 1 if hits and not inside and tag not in HEADINGS else 0
+
+
+def _element(x) -> tuple:
+    """Tag, names and children of an element of a page or a wrapper."""
+    return (x.tag, x.names, x.children) if isinstance(x, Node) else (x["g"], frozenset(x["w"]), x["k"])
+
+
+def _size(x) -> int | None:
+    """Characters of a text of a page or a wrapper; None for elements."""
+    return len(x.strip()) if isinstance(x, str) else x["c"] if isinstance(x, dict) and "t" in x else None
+
+
+def opened(root) -> set[int]:
+    """Elements outside articles that look like furniture, but are none (by ``id``): those whose name only in part is
+    furniture's, and that hold an article or most of the text; and, where no article (on pages without any: no text) lies
+    outside furniture, the heaviest that holds what there is."""
+    order, size, rest, holds, at = [root], {}, {}, {}, 0  # rest: characters outside what is furniture by tag or whole name
+    while at < len(order):
+        order += [c for c in _element(order[at])[2] if _size(c) is None and _element(c)[0] not in RAW and _element(c)[0] not in ("head", "svg")]
+        at += 1
+    for x in reversed(order):
+        tag, _, children = _element(x)
+        inner = [c for c in children if id(c) in size]
+        size[id(x)] = sum(_size(c) or 0 for c in children) + sum(size[id(c)] for c in inner)
+        rest[id(x)] = sum(_size(c) or 0 for c in children) + sum(rest[id(c)] for c in inner if looks(*_element(c)[:2], False) < 2)
+        holds[id(x)] = tag in ("article", "main") or any(holds[id(c)] for c in inner)
+    out: set[int] = set()
+    start, semantic = root, holds[id(root)]
+    while start is not None:
+        todo, wholly, reached = [start], [], False
+        start = None
+        while todo:
+            x = todo.pop()
+            for c in _element(x)[2]:
+                if (n := _size(c)) is not None:
+                    reached |= bool(n) and not semantic
+                elif id(c) in size:
+                    tag, names, _ = _element(c)
+                    seems = looks(tag, names, False)
+                    if tag in ("article", "main"):
+                        reached = True
+                    elif seems == 0 or (seems == 1 and (holds[id(c)] or 2 * rest[id(c)] > rest[id(root)])):
+                        if seems:
+                            out.add(id(c))
+                        todo.append(c)
+                    elif seems == 2 and (holds[id(c)] if semantic else size[id(c)] and tag in CONTAINERS - {"header"}):
+                        wholly.append(c)
+        if not reached and wholly:
+            start = max(wholly, key=lambda c: size[id(c)])
+            out.add(id(start))
+    return out
 
 
 def text_of(node: Node, inside: bool = True) -> str:
-    """Text of an element without furniture."""
+    """Text of an element without furniture; ``inside``: it lies in an article, or is one."""
     parts: list[str] = []
+    kept = frozenset() if inside else opened(node)
 
     def walk(x: Node, inside: bool) -> None:
         block = x.tag not in INLINE
@@ -129,7 +204,7 @@ def text_of(node: Node, inside: bool = True) -> str:
         for c in x.children:
             if isinstance(c, str):
                 parts.append(entities.unescape(c) if "&" in c else c)
-            elif not furniture(c.tag, c.words, inside):
+            elif not looks(c.tag, c.names, inside) or id(c) in kept:
                 walk(c, inside or c.tag in ("article", "main"))
             elif c.tag not in INLINE and c.tag not in RAW:  # what is left out parts blocks as well
                 parts.append(" ")
@@ -142,7 +217,7 @@ def text_of(node: Node, inside: bool = True) -> str:
 
 # --- wrappers -------------------------------------------------------------------------------------------------------
 # An item of a wrapper: a text {"t": string, or null for a slot, "n": pages, "c": characters} or an element
-# {"g": tag, "w": class words, "k": children, "n": pages, "o": optional, "r": repeated}. Plain data, so that it travels.
+# {"g": tag, "w": names, "k": children, "n": pages, "o": optional, "r": repeated}. Plain data, so that it travels.
 
 
 def signature(item: dict) -> tuple:
@@ -158,7 +233,7 @@ def started(node: Node) -> dict:
                 children.append({"t": s if len(s) <= 200 else None, "n": 1, "c": len(s)})
         elif c.tag not in ("script", "style"):
             children.append(started(c))
-    return {"g": node.tag, "w": sorted(node.words), "k": folded(children), "n": 1, "o": False, "r": False}
+    return {"g": node.tag, "w": sorted(node.names), "k": folded(children), "n": 1, "o": False, "r": False}
 
 
 def folded(children: list[dict]) -> list[dict]:
@@ -243,7 +318,7 @@ def variable_text(item: dict, own: bool = False) -> int:
     """Characters in the text slots of an element, furniture apart; ``own``: only those of its blocks and inline parts."""
     if "t" in item:
         return item["c"] if item["t"] is None or item["n"] == 1 else 0
-    return sum(0 if "g" in c and furniture(c["g"], frozenset(c["w"]), True) else variable_text(c) for c in item["k"]) if not own else sum(
+    return sum(0 if "g" in c and looks(c["g"], frozenset(c["w"]), True) else variable_text(c) for c in item["k"]) if not own else sum(
         variable_text(c) for c in item["k"] if "t" in c or c["g"] in INLINE or c["g"] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "table", "figure")
     )
 
@@ -251,14 +326,16 @@ def variable_text(item: dict, own: bool = False) -> int:
 def place(wrapper: dict) -> list[list]:
     """Path of signatures from the root to where a host's articles are."""
     found: list[tuple[tuple, list]] = []
+    kept = opened(wrapper)
 
     def walk(item: dict, path: list, depth: int) -> None:
         if "t" in item:
             return
         for c in item["k"]:
-            if "g" in c and not furniture(c["g"], frozenset(c["w"]), any(p[0] in ("article", "main") for p in path)):
+            if "g" in c and (id(c) in kept or not looks(c["g"], frozenset(c["w"]), any(p[0] in ("article", "main") for p in path))):
+                words = frozenset().union(*map(words_of, c["w"]))
                 at = [*path, list(signature(c))]
-                semantic = 2 if c["g"] == "article" or "articlebody" in c["w"] else 1 if c["g"] == "main" or "main" in c["w"] else 0
+                semantic = 2 if c["g"] == "article" or "articlebody" in words else 1 if c["g"] == "main" or "main" in words else 0
                 weight = variable_text(c) if semantic else variable_text(c, own=True)
                 if weight:
                     found.append(((semantic, weight, -depth), at))
@@ -276,7 +353,7 @@ def extract(html: str | None, path: list[list]) -> str:
     hits = [root] if path else []
     for step in path:
         want = tuple(step)
-        hits = [c for h in hits for c in h.children if not isinstance(c, str) and (c.tag, *sorted(c.words)) == want]
+        hits = [c for h in hits for c in h.children if not isinstance(c, str) and (c.tag, *sorted(c.names)) == want]
     if not hits:
         own = place(started(root))
         if own and own != path:

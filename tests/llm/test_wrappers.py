@@ -58,3 +58,27 @@ def test_odd_rows(spark):
     assert by[1] == "" and by[2] == "plain text" and by[4] == " ".join(["w"] * 5000) and by[5] == "deep"
     assert by[6] == " ".join(f"{i} w" for i in range(900))
     assert wrappers.extracted(df.where("false")).count() == 0
+
+
+def extracts(*bodies):
+    """Texts of pages of one host, without Spark."""
+    pages = [page(b) for b in bodies]
+    wrapper = wrappers.started(wrappers.tree(pages[0]))
+    for p in pages[1:]:
+        wrapper = wrappers.aligned(wrapper, wrappers.started(wrappers.tree(p)))
+    return [wrappers.extract(p, wrappers.place(wrapper)) for p in pages]
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "no-sidebar", "navbar-offset", "has-banner", "has-ads", "banner"])
+def test_furniture_words_do_not_hide_the_article(name):
+    for tag in ("div", "form"):
+        for inner in ("<article><p>One</p><p>two</p></article>", "<div class='story'><p>One</p><p>two</p></div>"):
+            assert extracts(f"<{tag} class='{name}'>{inner}<div class='sidebar'>s</div></{tag}>") == ["One two"]
+    teaser = "<div class='related'><article class='t'><p>Other news that is longer</p></article></div>"
+    assert extracts(f"<div class='{name} x-ads'><article>A</article></div>{teaser}")[0] == ("A" if name != "banner" else "Other news that is longer")
+
+
+def test_furniture_words_within_an_article():
+    kept = "<h2 id='related-work'>Related</h2><section id='comments-on-x'><p>On x</p></section><p class='notice-period'>Month</p>"
+    left_out = "<div class='comments'><p>c</p></div><div class='share-bar'>s</div><ul class='social links'><li>l</ul><aside>a</aside>"
+    assert extracts(f"<article><h1>T</h1>{kept}{left_out}</article>") == ["T Related On x Month"]
