@@ -7,8 +7,9 @@ is kept as a tree, since its tags nest: a node has a tag, its names (of class, i
 
 Wrappers are inferred from every page: each task folds its pages into one wrapper per host, and these are merged in two
 steps (a salted one first), so no task gets all pages of a host, and what is merged has the size of templates, not of
-pages. A wrapper tells where a host's articles are: in the innermost ``article`` or ``main`` that holds text slots, or
-else in the element whose own blocks hold most variable text. Extraction aligns a page with its wrapper and returns the
+pages. A wrapper tells where a host's articles are: in the heaviest ``article`` or ``main`` that holds text slots, or
+else in the innermost element that holds all variable text which is no furniture; where that is the page's body, its
+children that are the same on all pages are left out. Extraction aligns a page with its wrapper and returns the
 text below that place without furniture (menus, headers, footers, side columns, notices, adverts, forms, comments).
 Within an article only furniture's tags, and containers with a whole name of it, are left out; outside, no element that
 holds the article or most of the text is furniture for a part of its name.
@@ -192,8 +193,9 @@ def opened(root) -> set[int]:
     return out
 
 
-def text_of(node: Node, inside: bool = True) -> str:
-    """Text of an element without furniture; ``inside``: it lies in an article, or is one."""
+def text_of(node: Node, inside: bool = True, without: frozenset[tuple] = frozenset()) -> str:
+    """Text of an element without furniture; ``inside``: it lies in an article, or is one; outside, an element with text of
+    its own is as an article to what it holds. ``without``: signatures of its children that are left out."""
     parts: list[str] = []
     kept = frozenset() if inside else opened(node)
 
@@ -204,8 +206,8 @@ def text_of(node: Node, inside: bool = True) -> str:
         for c in x.children:
             if isinstance(c, str):
                 parts.append(entities.unescape(c) if "&" in c else c)
-            elif not looks(c.tag, c.names, inside) or id(c) in kept:
-                walk(c, inside or c.tag in ("article", "main"))
+            elif (not looks(c.tag, c.names, inside) or id(c) in kept) and not (without and x is node and (c.tag, *sorted(c.names)) in without):
+                walk(c, inside or c.tag in ("article", "main") or (c.tag not in PAGE and any(k.strip() if isinstance(k, str) else k.tag in OWN for k in c.children)))
             elif c.tag not in INLINE and c.tag not in RAW:  # what is left out parts blocks as well
                 parts.append(" ")
         if block:
@@ -314,52 +316,86 @@ def expression(item: dict) -> str:
     return f"( {body} ){mark}" if mark else body
 
 
-def variable_text(item: dict, own: bool = False) -> int:
-    """Characters in the text slots of an element, furniture apart; ``own``: only those of its blocks and inline parts."""
+def variable_text(item: dict) -> int:
+    """Characters in the text slots of an element in an article, furniture apart."""
     if "t" in item:
         return item["c"] if item["t"] is None or item["n"] == 1 else 0
-    return sum(0 if "g" in c and looks(c["g"], frozenset(c["w"]), True) else variable_text(c) for c in item["k"]) if not own else sum(
-        variable_text(c) for c in item["k"] if "t" in c or c["g"] in INLINE or c["g"] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "table", "figure")
-    )
+    return sum(variable_text(c) for c in item["k"] if "t" in c or not looks(c["g"], frozenset(c["w"]), True))
 
 
-def place(wrapper: dict) -> list[list]:
-    """Path of signatures from the root to where a host's articles are."""
-    found: list[tuple[tuple, list]] = []
+#: Elements that hold whole pages, and children that make up an element's own text (fixed values).
+PAGE = frozenset(("", "html", "body"))
+OWN = INLINE | HEADINGS | {"p", "blockquote", "pre", "ul", "ol", "table", "figure"}
+
+
+def place(wrapper: dict) -> dict:
+    """Where a host's articles are: ``path`` of signatures from the root, whether that is ``inside`` an article, and
+    ``without``, the signatures of the path's last element's children that are the same on all pages.
+
+    The heaviest ``article``, or else the heaviest ``main``; on hosts without them the innermost element that holds all
+    variable text which is no furniture."""
     kept = opened(wrapper)
+    found: list[tuple[tuple, list]] = []
 
-    def walk(item: dict, path: list, depth: int) -> None:
-        if "t" in item:
-            return
+    def left(c: dict, inside: bool) -> bool:
+        return "t" in c or id(c) in kept or not looks(c["g"], frozenset(c["w"]), inside)
+
+    def walk(item: dict, path: list, depth: int, inside: bool) -> None:
         for c in item["k"]:
-            if "g" in c and (id(c) in kept or not looks(c["g"], frozenset(c["w"]), any(p[0] in ("article", "main") for p in path))):
-                words = frozenset().union(*map(words_of, c["w"]))
+            if "g" in c and left(c, inside):
                 at = [*path, list(signature(c))]
-                semantic = 2 if c["g"] == "article" or "articlebody" in words else 1 if c["g"] == "main" or "main" in words else 0
-                weight = variable_text(c) if semantic else variable_text(c, own=True)
-                if weight:
+                semantic = 2 if c["g"] == "article" or _named(c, "articlebody", "article-body") else 1 if c["g"] == "main" or _named(c, "main", "main-content") else 0
+                if semantic and (weight := variable_text(c)):
                     found.append(((semantic, weight, -depth), at))
-                walk(c, at, depth + 1)
+                walk(c, at, depth + 1, inside or c["g"] in ("article", "main"))
+
+    walk(wrapper, [], 0, False)
+    if found:
+        return {"path": max(found, key=lambda f: f[0])[1], "inside": True, "without": []}
+
+    def weight(c: dict) -> int:
+        if "t" in c:
+            return variable_text(c)
+        inside = c["g"] not in PAGE and own(c)
+        return sum(weight(k) for k in c["k"] if left(k, inside))
+
+    def own(item: dict) -> bool:
+        return any(variable_text(c) for c in item["k"] if "t" in c or (c["g"] in OWN and left(c, False)))
+
+    item, path = wrapper, []
+    while not own(item):
+        holding = [c for c in item["k"] if left(c, False) and weight(c)]
+        if len(holding) != 1:
+            break
+        item = holding[0]
+        path.append(list(signature(item)))
+    same = [c for c in item["k"] if item["g"] in PAGE and "g" in c and c["g"] not in OWN and c["n"] > 1 and not weight(c)] if weight(item) else []
+    return {"path": path, "inside": item["g"] not in PAGE and own(item), "without": [list(signature(c)) for c in same]}
+
+
+def _named(item: dict, *names: str) -> bool:
+    return item["g"] in ("div", "section", "td") and any(n in item["w"] for n in names)
 
-    walk(wrapper, [], 0)
-    return max(found, key=lambda f: f[0])[1] if found else []
+
+def _at(root: Node, path: list) -> list[Node]:
+    hits = [root]
+    for step in path:
+        want = tuple(step)
+        hits = [c for h in hits for c in h.children if not isinstance(c, str) and (c.tag, *sorted(c.names)) == want]
+    return hits
 
 
-def extract(html: str | None, path: list[list]) -> str:
+def extract(html: str | None, where: dict | None) -> str:
     """The article's text of a page, at a wrapper's place; without one, or off it, where the same rules find it."""
     if not html:
         return ""
     root = tree(html)
-    hits = [root] if path else []
-    for step in path:
-        want = tuple(step)
-        hits = [c for h in hits for c in h.children if not isinstance(c, str) and (c.tag, *sorted(c.names)) == want]
+    hits = _at(root, where["path"]) if where else []
     if not hits:
-        own = place(started(root))
-        if own and own != path:
-            return extract(html, own)
-        return text_of(root, False)
-    return " ".join(t for t in map(text_of, hits) if t)
+        where = place(started(root))
+        hits = _at(root, where["path"])
+    without = frozenset(map(tuple, where["without"]))
+    return " ".join(t for t in (text_of(h, where["inside"], without) for h in hits) if t)
 
 
 # --- Spark ----------------------------------------------------------------------------------------------------------
@@ -443,7 +479,7 @@ def _extracting(box):
             out = []
             where = b.column(3).to_pylist()
             for at, page in zip(where, b.column(2).to_pylist(), strict=True):
-                text = (known.get(at) if known is not None else at) or "[]"
+                text = (known.get(at) if known is not None else at) or "null"
                 if text not in read:
                     if len(read) > 10_000:
                         read.clear()

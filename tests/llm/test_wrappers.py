@@ -82,3 +82,12 @@ def test_furniture_words_within_an_article():
     kept = "<h2 id='related-work'>Related</h2><section id='comments-on-x'><p>On x</p></section><p class='notice-period'>Month</p>"
     left_out = "<div class='comments'><p>c</p></div><div class='share-bar'>s</div><ul class='social links'><li>l</ul><aside>a</aside>"
     assert extracts(f"<article><h1>T</h1>{kept}{left_out}</article>") == ["T Related On x Month"]
+
+
+def test_all_blocks_of_an_article_without_its_tag():
+    sections = "<div class='post'><h1>T{0}</h1><section id='intro'><p>Intro {0}</p></section><section id='methods'><p>Methods are longer {0}</p></section></div>"
+    lead = "<div class='lead'><p>Lead {0}</p></div><div class='story'><p>Story is longer {0}</p><h2 id='related-work'>Same</h2></div><div class='box'>Same everywhere</div>"
+    title = "<div class='site-nav'>menu {0}</div><h1 class='main-title'>T{0}</h1><div class='entry'><p>Entry {0}</p></div><div class='box'>Same everywhere</div>"
+    for body, text in ((sections, "T{0} Intro {0} Methods are longer {0}"), (lead, "Lead {0} Story is longer {0} Same"), (title, "T{0} Entry {0}")):
+        assert extracts(*(body.format(i) for i in range(3))) == [text.format(i) for i in range(3)]
+    assert extracts(sections.format(1)) == ["T1 Intro 1 Methods are longer 1"]
