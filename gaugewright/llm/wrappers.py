@@ -26,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,8 +57,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of the same kind (fixed values).
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul p".split())
-#: Elements below this depth, and children of a wrapper's element beyond this number, are not told apart: the former join
-#: the element they are in, of the latter those of one kind become one repeated group. Texts are never cut.
+#: In wrappers, elements below this depth, and children of an element beyond this number, are not told apart: of the former
+#: the text joins the element they are in, of the latter those of one kind become one repeated group. Pages are read and
+#: their texts taken at any depth.
 DEEPEST, WIDEST = 150, 48
 _SCOPE = frozenset("ul ol dl table article section div body html main".split())
 
@@ -80,7 +82,14 @@ def names_of(attributes: str) -> frozenset[str]:
 def tree(html: str) -> Node:
     """The elements of a page, as far as it can be read."""
     root = Node("")
-    stack = [root]
+    stack, scopes, places = [root], [0], defaultdict(list)  # places: where in the stack each tag is open
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop().tag].pop()
+            if scopes[-1] == len(stack):
+                scopes.pop()
+
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
@@ -94,30 +103,26 @@ def tree(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag in _SCOPE:
-                    break
+            if places[tag] and (tag not in INLINE or places[tag][-1] > scopes[-1]):
+                close(places[tag][-1])
             continue
         if tag in _ENDS_P or tag in CLOSES:
             ends = CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
+            last = max(places[t][-1] if places[t] else 0 for t in ends)
+            if last > scopes[-1]:
+                close(last)
         node = Node(tag, names_of(m[3]))
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") or len(stack) >= DEEPEST:
+        if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             node.children.append(html[at : end.start() if end else n])
             at = end.end() if end else n
             continue
+        places[tag].append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
         stack.append(node)
     return root
 
@@ -199,21 +204,28 @@ def text_of(node: Node, inside: bool = True, without: frozenset[tuple] = frozens
     parts: list[str] = []
     kept = frozenset() if inside else opened(node)
 
-    def walk(x: Node, inside: bool) -> None:
-        block = x.tag not in INLINE
-        if block:
+    todo: list[tuple[Iterator, Node, bool]] = []
+
+    def enter(x: Node, inside: bool) -> None:
+        if x.tag not in INLINE:
             parts.append(" ")
-        for c in x.children:
+        todo.append((iter(x.children), x, inside))
+
+    enter(node, inside)
+    while todo:
+        rest, x, inside = todo[-1]
+        for c in rest:
             if isinstance(c, str):
                 parts.append(entities.unescape(c) if "&" in c else c)
             elif (not looks(c.tag, c.names, inside) or id(c) in kept) and not (without and x is node and (c.tag, *sorted(c.names)) in without):
-                walk(c, inside or c.tag in ("article", "main") or (c.tag not in PAGE and any(k.strip() if isinstance(k, str) else k.tag in OWN for k in c.children)))
+                enter(c, inside or c.tag in ("article", "main") or (c.tag not in PAGE and any(k.strip() if isinstance(k, str) else k.tag in OWN for k in c.children)))
+                break
             elif c.tag not in INLINE and c.tag not in RAW:  # what is left out parts blocks as well
                 parts.append(" ")
-        if block:
-            parts.append(" ")
-
-    walk(node, inside)
+        else:
+            todo.pop()
+            if x.tag not in INLINE:
+                parts.append(" ")
     return _SPACE.sub(" ", "".join(parts)).strip()
 
 
@@ -226,7 +238,7 @@ def signature(item: dict) -> tuple:
     return ("#",) if "t" in item else (item["g"], *item["w"])
 
 
-def started(node: Node) -> dict:
+def started(node: Node, depth: int = 1) -> dict:
     """The wrapper of one page: its own repeated siblings are folded into groups."""
     children: list[dict] = []
     for c in node.children:
@@ -234,7 +246,10 @@ def started(node: Node) -> dict:
             if s := _SPACE.sub(" ", c).strip():
                 children.append({"t": s if len(s) <= 200 else None, "n": 1, "c": len(s)})
         elif c.tag not in ("script", "style"):
-            children.append(started(c))
+            if depth < DEEPEST:
+                children.append(started(c, depth + 1))
+            elif not looks(c.tag, c.names, True) and (s := text_of(c)):
+                children.append({"t": s if len(s) <= 200 else None, "n": 1, "c": len(s)})
     return {"g": node.tag, "w": sorted(node.names), "k": folded(children), "n": 1, "o": False, "r": False}
 
 

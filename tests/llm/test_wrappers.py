@@ -91,3 +91,12 @@ def test_all_blocks_of_an_article_without_its_tag():
     for body, text in ((sections, "T{0} Intro {0} Methods are longer {0}"), (lead, "Lead {0} Story is longer {0} Same"), (title, "T{0} Entry {0}")):
         assert extracts(*(body.format(i) for i in range(3))) == [text.format(i) for i in range(3)]
     assert extracts(sections.format(1)) == ["T1 Intro 1 Methods are longer 1"]
+
+
+def test_deep_elements():
+    nest = "<div>" * 200 + "<p>deep</p><script>var a = 1;</script><nav>menu</nav><div class='comments'>c</div>" + "</div>" * 200
+    assert extracts(f"<div class='wrap'><article><p>before</p>{nest}<p>after</p></article></div><p>outside</p>") == ["before deep after"]
+    assert extracts(f"<div class='post'><p>before</p>{nest}<p>after</p></div>") == ["before deep after"]
+    n = 50_000
+    assert extracts(f"<article>{'<div><b>' * n}x{'</i></div>' * n}<p>after</p></article>") == ["x after"]
+    assert extracts("<article>" + "<div>" * 140 + "".join(f"<span>{i}" for i in range(300)) + "</div>" * 140 + "end</article>") == ["".join(map(str, range(300))) + " end"]
