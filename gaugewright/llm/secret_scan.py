@@ -10,7 +10,7 @@ chosen by a hash of the id), with all that they leave as the opposite. Training
 backward sums on the driver, over a bounded number of runs.
 
 Defined results: a null or empty text has no spans; repeated rows are each scanned; an empty table gives no rows; without
-any secret to learn from the field adds nothing; other columns are ignored. Places count code points, end exclusive.
+any secret to learn from the field only completes lexemes that patterns cover in part; other columns are ignored. Places count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LEXEME = re.compile(r"""[^\x20\x09-\x0D"'`,;:=<>()\[\]{}|]+""")
+_APART = re.compile(r"""[\x20\x09-\x0D"'`,;:=<>()\[\]{}|]""")
 _HINT = re.compile(r"[0-9]|[a-z][A-Z]")
 #: Words before a value that may announce a secret (fixed values).
 CUES = frozenset("password passwd pwd pass secret token key apikey api_key auth bearer authorization credential credentials private access".split())
@@ -263,8 +264,22 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text
     return trained([(Run([(0, 0)] * len(t), [tuple(f) for f in fs]), t) for fs, t in zip(table["features"].to_pylist(), table["tags"].to_pylist(), strict=True)])
 
 
+def completed(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Lexemes that a pattern's span covers only in part: the rest is secret too. Hex runs in paths are left as they are."""
+    out, begin, end = [], 0, 0
+    for kind, a, b in base:
+        if not begin < b <= end:
+            begin, end = b, m.start() if (m := _APART.search(text, b)) else len(text)
+            while begin and not _APART.match(text, begin - 1):
+                begin -= 1
+        if (begin < a or b < end) and (begin, end) not in out[-1:] and not (kind == "hex" and text.find("/", begin, end) >= 0):
+            out.append((begin, end))
+    return out
+
+
 def scan(text: str, model: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """The patterns' spans, and all spans; what the field finds inside or across a pattern's span adds nothing."""
+    """The patterns' spans, and all spans; what the field finds within one pattern's span adds nothing. A lexeme that a
+    pattern covers only in part is never O."""
     base = base_spans(text)
     extra = []
     if model.index:
@@ -279,9 +294,11 @@ def scan(text: str, model: Field) -> tuple[list[tuple[str, int, int]], list[tupl
                 while end < len(tags) and tags[end] == I:
                     end += 1
                 a, b = run.spans[at][0], run.spans[end - 1][1]
-                if not any(s[1] < b and a < s[2] for s in base):
+                if not any(s[1] <= a and b <= s[2] for s in base):
                     extra.append(("field", a, b))
                 at = end
+    if base:
+        extra += [("field", a, b) for a, b in completed(text, base) if not any(s[1] <= a and b <= s[2] for s in extra)]
     return base, ordered(base + extra)
 
 

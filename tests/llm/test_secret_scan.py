@@ -81,3 +81,17 @@ def test_masking(spark):
     assert s.masked("abcdef", [("x", 1, 3), ("y", 2, 5)]) == "a" + s.MASK + "f"
     assert s.redact(samples.odd(spark), model).columns == samples.odd(spark).columns
     assert [r.text for r in s.redact(samples.odd(spark), model).where("doc_id = 1").collect()] == [None]
+
+
+def test_secrets_that_patterns_catch_in_part(spark):
+    for model in (s.learn(corpus(spark)), s.Field()):
+        for c in "!$@#%&*?~":
+            for value in (f"hunter2{c}Secret99", f"correct{c}horse", f"abc123{c}9f8e7d6c{c}"):
+                text = f'lo password: "{value}" mi'
+                base, every = s.scan(text, model)
+                assert base == brute_base(text) and set(base) <= set(every)
+                assert s.masked(text, every) == f'lo {s.MASK}" mi'
+        key = "Zk" + "0123456789abcdef" * 2 + "XyZ12"
+        assert s.masked(f"ba {key} mi", s.scan(f"ba {key} mi", model)[1]) == f"ba {s.MASK} mi"
+        assert s.scan("token=abcdef12 mi", s.Field())[1] == [("assign", 0, 14)]
+    assert s.completed("g".join(["0123456789abcdef" * 2] * 3000), s.base_spans("g".join(["0123456789abcdef" * 2] * 3000))) == [(0, 98_999)]
