@@ -110,11 +110,12 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", *MEASURES])
 
 
-def mask(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The failure bits of a row of measurements."""
+def mask(rules: tuple[Rule, ...] = RULES, within: str | None = None) -> Column:
+    """The failure bits of a row of measurements, which lie in columns or in a struct column's fields (``within``)."""
     bits = F.lit(0).cast("long")
     for i, r in enumerate(rules):
-        bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        fails = r.fails if within is None else re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"`{within}`.\1", r.fails)
+        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
     return bits
 
 
@@ -164,15 +165,8 @@ def measured_struct(text: Column) -> Column:
 def passing(df: DataFrame, policy: Policy = DEFAULT, text_column: str = "text") -> DataFrame:
     """The rows whose texts a policy keeps, with all their columns and no others."""
     ship(df.sparkSession)
-    enforced = tuple(r for r in RULES if BIT[r.name] & (policy.mask | BASE.mask))
     name = "__measured"
     while name in df.columns:
         name += "_"
     rows = spread(df).withColumn(name, measured_struct(F.col(text_column).cast("string")))
-    failed = F.lit(False)
-    for r in enforced:
-        fails = r.fails
-        for m in MEASURES:
-            fails = re.sub(rf"\b{m}\b", f"`{name}`.{m}", fails)
-        failed = failed | F.expr(fails)
-    return rows.where(~failed).select(*[f"`{c}`" for c in df.columns])
+    return rows.where(mask(within=name).bitwiseAND(F.lit(policy.mask | BASE.mask)) == 0).select(*[f"`{c}`" for c in df.columns])

@@ -20,6 +20,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op1_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy fails, alone and together, over the whole ledger."""
+    return quality_rules.ablation(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
@@ -66,7 +71,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        op1_quality_rules, op2_toxicity, op3_chat_formatting, op4_simhash, op5_secret_scan, op6_sentencepiece,
+        op1_quality_rules, op1_rule_ablation, op2_toxicity, op3_chat_formatting, op4_simhash, op5_secret_scan, op6_sentencepiece,
         op7_additive_quantisation, op8_packing, op9_html_extraction, op10_lm_scoring,
     ]
     return {f.__name__: f for f in named}

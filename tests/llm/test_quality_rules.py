@@ -43,3 +43,23 @@ def test_policies_and_ablation(spark):
         assert told[name].n_failed == sum(m & bit > 0 for m in masks)
         assert told[name].n_only == sum(m & q.DEFAULT.mask == bit for m in masks)
         assert told[name].n_kept_without == sum(m & rest == 0 for m in masks)
+
+
+def test_the_ledger_s_bits_are_what_is_filtered_and_ablated(spark):
+    texts = [samples.prose(1), samples.prose(2).upper(), samples.prose(3).replace(" ", "### "), "too short", None, *(t for _, t in samples.ODD)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = {r.doc_id: r.fail_bits for r in q.ledger(df).collect()}
+    within = df.select("doc_id", q.measured_struct(df.text).alias("m")).select("doc_id", q.mask(within="m").alias("bits"))
+    assert {r.doc_id: r.bits for r in within.collect()} == bits
+    for p in q.POLICIES.values():
+        assert {r.doc_id for r in q.passing(df, p).collect()} == {i for i, b in bits.items() if not b & (p.mask | q.BASE.mask)}
+
+
+def test_ablation_is_a_query(spark):
+    from gaugewright.llm.queries import queries
+
+    told = queries()["op1_rule_ablation"](spark, samples.SF).collect()
+    kept = queries()["op1_quality_rules"](spark, samples.SF).where("kept").count()
+    n = spark.read.parquet(f"{samples.SF}/documents.parquet").count()
+    assert {r.rule for r in told} == set(q.DEFAULT.rules)
+    assert all(r.n_kept == kept and r.n_kept_without == kept + r.n_only and r.n_rows == n for r in told)
