@@ -6,8 +6,9 @@ decodes. Lexemes without a digit or an inner change of case can only be O (a con
 apart into short runs of the others, each decoded exactly on its own.
 
 There are no labels: the field learns from what the patterns find in at most ``sample`` documents (a documented bound;
-chosen by a hash of the id), with all that they leave as the opposite. Training maximises the likelihood with forward and
-backward sums on the driver, over a bounded number of runs.
+chosen by a hash of the id), with what they leave as the opposite. Training maximises the likelihood with forward and
+backward sums on the driver, over all runs of the sample that hold a secret and at most ``negatives`` of the others (chosen
+by a hash).
 
 Defined results: a null or empty text has no spans; repeated rows are each scanned; an empty table gives no rows; without
 any secret to learn from the field only completes lexemes that patterns cover in part; other columns are ignored. Places count code points, end exclusive.
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, released, ship, spread
+from .common import mapped, released, removed, ship, spread, written
 
 KINDS = ("assign", "access", "hex", "field")
 SAMPLE = 4000
-#: Runs of lexemes that the field is trained on, at most.
+#: Runs of lexemes without a secret that the field is trained on, at most.
 RUNS = 6000
 MASK = "[SECRET]"
 
@@ -244,8 +245,8 @@ def examples(text: str) -> list[tuple[Run, list[int]]]:
     return out
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> Field:
-    """Train the field on a bounded sample of documents."""
+def learn(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", negatives: int = RUNS) -> Field:
+    """Train the field on a bounded sample of documents: on all their runs with a secret, and at most ``negatives`` others."""
     n = docs.count()
     some = docs.select(F.col(text_column).cast("string").alias("text"), F.xxhash64(F.lit("field"), F.col(id_column)).alias("h"))
     if n > sample:
@@ -259,9 +260,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text
                 ["h", "features", "tags"],
             )
 
-    table = mapped(some, found, "h long, features array<array<string>>, tags array<int>")
-    table = table.orderBy(F.xxhash64("h", F.to_json(F.struct("features"))), F.size("tags")).limit(RUNS).toArrow()
-    return trained([(Run([(0, 0)] * len(t), [tuple(f) for f in fs]), t) for fs, t in zip(table["features"].to_pylist(), table["tags"].to_pylist(), strict=True)])
+    table, path = written(mapped(some, found, "h long, features array<array<string>>, tags array<int>"), "runs")
+    secret = F.exists("tags", lambda t: t != O)
+    order = (F.xxhash64("h", F.to_json(F.struct("features"))), F.size("tags"))
+    parts = [table.where(secret).orderBy(*order).toArrow(), table.where(~secret).orderBy(*order).limit(negatives).toArrow()]
+    removed(docs.sparkSession, path)
+    taken = [(Run([(0, 0)] * len(t), [tuple(f) for f in fs]), t) for p in parts for fs, t in zip(p["features"].to_pylist(), p["tags"].to_pylist(), strict=True)]
+    return trained(taken)
 
 
 def completed(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:

@@ -95,3 +95,16 @@ def test_secrets_that_patterns_catch_in_part(spark):
         assert s.masked(f"ba {key} mi", s.scan(f"ba {key} mi", model)[1]) == f"ba {s.MASK} mi"
         assert s.scan("token=abcdef12 mi", s.Field())[1] == [("assign", 0, 14)]
     assert s.completed("g".join(["0123456789abcdef" * 2] * 3000), s.base_spans("g".join(["0123456789abcdef" * 2] * 3000))) == [(0, 98_999)]
+
+
+def test_rare_secrets_are_learnt_among_many_numbers(spark):
+    rows = [(i, samples.prose(i, 20) + " " + " , lo ".join(str(10**7 + i * 9973 + j) for j in range(40))) for i in range(300)]
+    rows += [(1000 + i, f'{samples.prose(i, 9)} token = "{(i * 7919 + 7) ** 11:040x}" {samples.prose(i, 5)}') for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = s.learn(docs, negatives=300)
+    planted = 'lo ke token "3f9a8b7c6d9A8B7C6D9a8b7c6d9A8B7C6D" mi'
+    base, every = s.scan(planted, model)
+    assert not base and [planted[a:b] for _, a, b in every] == ["3f9a8b7c6d9A8B7C6D9a8b7c6d9A8B7C6D"]
+    assert not any(s.scan(t, model)[1] for i, t in rows if i < 1000)
+    upper = 'lo ke token "3F9A8B7C6D9A8B7C6D9A8B7C6D9A8B7C6D" mi'
+    assert [upper[a:b] for k, a, b in s.scan(upper, s.learn(corpus(spark)))[1] if k == "field"] == ["3F9A8B7C6D9A8B7C6D9A8B7C6D9A8B7C6D"]
