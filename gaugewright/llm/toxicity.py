@@ -1,67 +1,97 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary texts, give each word's likelihood letter by letter. Their highest order has counts
-of its own class; below it both back off to the same continuation counts, gathered from both classes. So a rare
-expression, of which a class knows nothing, gets the same shared estimate from either and tells nothing; one that a
-class knows well tells much. A word's verdict is the difference of the two log-likelihoods by its length; a document's
-is a calibrated combination of the mean over its distinct words and of the words that tell much.
-
-Labels are learnt from at most ``sample`` labelled rows (a documented bound; chosen by a hash of the id). Counts are of
-documents that hold a word. Defined results: a null or empty text has no word and gets the score of that; ids without a
-label or with a null one are not learnt from; a label given several times counts once, as the highest; without labels of
-both classes every score is 0; repeated rows are each scored; other columns are ignored.
+A text is read as its whole sequence of lower-case words, each letter by letter with an end mark. A letter's context is
+its word so far (up to seven characters); a word's first letter has the end of the word before it. Two models, of toxic
+and of ordinary texts, have counts c_c of their own for each context and back off to one Kneser-Ney chain P(x | h') of
+continuation counts, gathered from both, with one back-off weight l(h) = D T(h) / c(h) from both classes' counts:
+
+    P_c(x | h) = (1 - l(h)) Q_c(x | h) + l(h) P(x | h'),
+    Q_c(x | h) = (max(c_c(hx) - D, 0) + (S + D T_c(h)) q(x | h)) / (S + c_c(h)),
+
+T being the different letters after h, q the discounted counts of both classes, and S a strength. An expression that is
+rare in a class thus gets nearly the same estimate from either model and tells little; one that no labelled text holds
+gets the same and tells nothing. All n-grams, also those seen once, are in the shared counts.
+
+Toxic texts are ordinary ones with toxic words here and there, so their likelihood of a word is (1 - e) P_0 + e P_1. A
+text's value is the difference of the two log-likelihoods of its sequence by its length (and PRIOR_WORDS more, so that a
+few words don't tell more than they can); one slope and one intercept, fitted on texts that the counts do not know, make
+it a probability. A text without words gets the share of toxic labels.
+
+Labels are learnt from at most ``sample`` labelled rows and ``sample_bytes`` of their texts (documented bounds; rows are
+chosen by a hash of the id), so the model that is sent to the tasks is bounded too. Counts are of documents that hold a
+word. Defined results: a null or empty text has no word; very long texts are read whole, in time linear in them; ids
+without a label or with a null one are not learnt from; a label given several times counts once, as the highest; without
+labels of both classes every score is the share of toxic labels (0 without any); repeated rows are each scored, and
+learnt from once; an empty table gives no rows; other columns are ignored (``accepted`` keeps them).
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, mapped, released, ship, spread
+from .common import fold, mapped, released, removed, ship, spread, written
 
 ORDER = 8
 DISCOUNT = 0.75
-#: Labelled rows learnt from, at most (on average; rows are chosen by hash).
-SAMPLE = 12_000
-#: N-grams seen less often in the labelled sample are left to the shared counts.
-LEAST_COUNT = 2
+#: S, e and the words added to a text's length.
+STRENGTH, SHARE, PRIOR_WORDS = 10.0, 0.01, 20
+#: Labelled rows learnt from (on average; rows are chosen by hash), and bytes of their texts, at most.
+SAMPLE, SAMPLE_BYTES = 12_000, 96 << 20
 #: Words whose ratios a task keeps.
 KEPT_WORDS = 150_000
-_WORD = re.compile(r"[^\W\d_]+")
-#: A word is evidence if its log-likelihood ratio passes one of LEVELS, and NORMAL by its length.
-LEVELS, NORMAL = (2.0, 3.0, 4.0), 0.25
-_FEATURES = 6
+#: Marks that are no letters: a word's start and end, and what stands before the word before.
+_START, _END, _BEFORE = "\x02", "\x03", "\x04"
 
 
-def padded(word: str) -> str:
-    return "\x02" * (ORDER - 1) + word + "\x03"
+def sequence(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case words of all texts of a column in a row, and where each text's begin (one more place than texts)."""
+    plain = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), "\0", "\1")  # NUL marks absent letters
+    split = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+    flat, offsets = split.flatten(), split.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)
+    kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return flat.filter(full), kept[offsets - offsets[0]]
 
 
-def grams(word: str) -> list[str]:
-    p = padded(word)
-    return [p[i : i + ORDER] for i in range(len(p) - ORDER + 1)]
+def opening(before: str, word: str) -> str:
+    """A word's first letter with its context; ``before``: the word before it, or none."""
+    return _BEFORE + (before or _START)[-2:] + _START + word[0]
 
 
-def _codes(strings: list[str], width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of strings in a row, and where each begins (one more place than strings)."""
-    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    sizes = np.full(len(strings), width) if width else np.fromiter(map(len, strings), np.int64, len(strings))
-    return points, np.concatenate([[0], np.cumsum(sizes)])
+    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")
+    return points, np.concatenate([[0], np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))])
 
 
-def _hashed(windows: np.ndarray) -> np.ndarray:
+def _windows(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of words (rows of ORDER code points, zeros first) for every letter but the first, and the word's end; and the
+    number of them of each word."""
+    points, begin = _codes(["\0" * (ORDER - 3) + _START + w + _END for w in strings])
+    size = np.diff(begin) - ORDER + 1
+    first = np.repeat(begin[:-1], size)
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return points[(first + within)[:, None] + np.arange(ORDER)], size
+
+
+def _openings(strings: list[str]) -> np.ndarray:
+    return _codes([s.rjust(ORDER, "\0") for s in strings])[0].reshape(-1, ORDER)
+
+
+def _hashed(rows: np.ndarray) -> np.ndarray:
     """64-bit keys of rows of code points."""
-    h = np.zeros(len(windows), np.uint64)
-    for k in range(windows.shape[1]):
-        h = (h ^ windows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        h = (h ^ rows[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
 
@@ -83,121 +113,154 @@ class Table:
 
 @dataclass
 class Model:
-    """``ratio``: of a seen n-gram, log P(toxic) - log P(ordinary); ``backoff``: the same for a letter that was never
-    seen after a context, where the shared lower order cancels."""
+    """``ratio``: of a seen n-gram, log P(toxic) - log P(ordinary); others have the same probability in both classes.
+    ``prior``: share of toxic labels."""
 
     ratio: Table
-    backoff: Table
-    weights: list[float] | None = None
-    center: list[float] = field(default_factory=lambda: [0.0] * _FEATURES)
-    scale: list[float] = field(default_factory=lambda: [1.0] * _FEATURES)
-
-    def words(self, some: list[str]) -> list[tuple[float, float]]:
-        """Differences of the log-likelihoods of words: in all, and by length."""
-        out: list[tuple[float, float]] = []
+    prior: float = 0.0
+    slope: float | None = None
+    intercept: float = 0.0
+
+    def ratios(self, rows: np.ndarray) -> np.ndarray:
+        """Differences of the log-likelihoods of the grams' last letters."""
+        seen, value = self.ratio.get(_hashed(rows))
+        return np.where(seen, value, 0.0).astype(np.float64)
+
+    def words(self, some: list[str]) -> np.ndarray:
+        """Of words, without their first letter."""
+        out = [np.zeros(0)]
         for at in range(0, len(some), 20_000):
-            part = some[at : at + 20_000]
-            points, begin = _codes([padded(w) for w in part])
-            starts = np.concatenate([np.arange(a, b - ORDER + 1) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)])
-            windows = points[starts[:, None] + np.arange(ORDER)]
-            seen, value = self.ratio.get(_hashed(windows))
-            known, loose = self.backoff.get(_hashed(windows[:, :-1]))
-            value = np.where(seen, value, np.where(known, loose, 0.0))
-            count = np.diff(begin) - ORDER + 1
-            total = np.add.reduceat(value, np.cumsum(count) - count)
-            out += zip(total.tolist(), (total / count).tolist(), strict=True)
+            rows, size = _windows(some[at : at + 20_000])
+            out.append(np.add.reduceat(self.ratios(rows), np.cumsum(size) - size))
+        return np.concatenate(out)
+
+    def values(self, column: pa.Array, known: dict[str, float], step: int = 256) -> list[tuple[float, int]]:
+        """Per text: the difference of its sequence's log-likelihoods, and its words. ``known`` keeps what words are worth."""
+        out: list[tuple[float, int]] = []
+        for at in range(0, len(column), step):
+            out += self._values(column.slice(at, step), known)
         return out
 
-    def word(self, w: str) -> tuple[float, float]:
-        return self.words([w])[0]
-
-    def features(self, texts: list[str | None], known: dict[str, tuple[float, float]]) -> list[list[float]]:
-        """Per text, over its distinct words: mean and largest length-normalised ratio, words that are evidence, words.
-        ``known`` keeps what words were worth, up to KEPT_WORDS."""
-        found = [set(_WORD.findall((t or "").lower())) for t in texts]
-        fresh = list(set().union(*found).difference(known))
+    def _values(self, column: pa.Array, known: dict[str, float]) -> list[tuple[float, int]]:
+        flat, begin = sequence(column)
+        size = np.diff(begin)
+        if not len(flat):
+            return [(0.0, 0)] * len(size)
+        coded = flat.dictionary_encode()
+        different, word = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        fresh = [w for w in different if w not in known]
         if len(known) + len(fresh) > KEPT_WORDS:
             known.clear()
-            fresh = list(set().union(*found))
-        known.update(zip(fresh, self.words(fresh), strict=True))
-        out = []
-        for some in found:
-            if not some:
-                out.append([0.0] * _FEATURES)
-                continue
-            values = [known[w] for w in some]
-            normal = [v[1] for v in values]
-            told = [v[0] for v in values if v[1] > NORMAL]
-            out.append([sum(sorted(normal)) / len(normal), max(normal), *(math.log1p(sum(x > level for x in told)) for level in LEVELS), math.log1p(len(values))])
-        return out
-
-    def scores(self, texts: list[str | None], known: dict[str, tuple[float, float]], step: int = 256) -> list[float]:
-        return [self.score(f) for at in range(0, len(texts), step) for f in self.features(texts[at : at + step], known)]
-
-    def score(self, features: list[float]) -> float:
-        if self.weights is None:
-            return 0.0
-        z = self.weights[0] + sum(w * (x - c) / s for w, x, c, s in zip(self.weights[1:], features, self.center, self.scale, strict=True))
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
-
-
-def fitted(counts: dict[str, tuple[int, int]]) -> Model:
-    """The model of n-gram counts (ordinary, toxic). Interpolated Kneser-Ney; one discount for all orders."""
-    shared: list[Counter] = [Counter() for _ in range(ORDER)]  # by length: continuation counts
-    level = set(counts)
-    for n in range(ORDER - 1, 0, -1):
-        for g in level:
-            shared[n][g[1:]] += 1
-        level = set(shared[n])
-    totals = [Counter() for _ in range(ORDER)]
-    kinds = [Counter() for _ in range(ORDER)]
-    for n in range(1, ORDER):
-        for g, c in shared[n].items():
-            totals[n][g[:-1]] += c
-            kinds[n][g[:-1]] += 1
-    letters = len(shared[1]) + 1
-
-    def lower(g: str) -> float:
-        """Shared probability of a gram's last letter after the ones before it."""
-        p = 1 / letters
-        for n in range(1, ORDER):
-            part = g[-n:]
-            if total := totals[n].get(part[:-1]):
-                p = (max(shared[n].get(part, 0) - DISCOUNT, 0) + DISCOUNT * kinds[n][part[:-1]] * p) / total
-        return p
-
-    held = [Counter(), Counter()]
-    types = [Counter(), Counter()]
-    for g, pair in counts.items():
-        for c in (0, 1):
-            if pair[c]:
-                held[c][g[:-1]] += pair[c]
-                types[c][g[:-1]] += 1
-
-    def loose(c: int, h: str) -> float:
-        return DISCOUNT * types[c][h] / held[c][h] if held[c].get(h) else 1.0
-
-    contexts = list(held[0].keys() | held[1].keys())
-    backoff = np.array([math.log(loose(1, h)) - math.log(loose(0, h)) for h in contexts])
-    ratio = np.zeros(len(counts))
-    for i, (g, pair) in enumerate(counts.items()):
-        h, p = g[:-1], lower(g)
-        own = [(max(pair[c] - DISCOUNT, 0) / held[c][h] if held[c].get(h) else 0.0) + loose(c, h) * p for c in (0, 1)]
-        ratio[i] = math.log(own[1]) - math.log(own[0])
-    keys = lambda strings, width: _hashed(_codes(strings, width)[0].reshape(-1, width))
-    return Model(Table(keys(list(counts), ORDER), ratio), Table(keys(contexts, ORDER - 1), backoff))
-
-
-def calibrated(model: Model, x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-2) -> Model:
-    """Logistic weights over the features, by Newton's method."""
-    model.center, model.scale = x.mean(0).tolist(), (x.std(0) + 1e-6).tolist()
-    a = np.column_stack([np.ones(len(x)), (x - model.center) / model.scale])
-    w = np.zeros(a.shape[1])
+            fresh = different
+        worth = dict(zip(fresh, self.words(fresh).tolist(), strict=True))
+        known.update((w, x) for w, x in worth.items() if len(w) <= 64)  # very long words are not kept
+        own = np.array([known[w] if w in known else worth[w] for w in different])
+        # openings: the word before's last two characters, and the first one
+        tails: dict[str, int] = {_START: 0}
+        firsts: dict[str, int] = {}
+        tail = np.array([tails.setdefault(w[-2:], len(tails)) for w in different])
+        first = np.array([firsts.setdefault(w[0], len(firsts)) for w in different])
+        before = np.zeros(len(word), np.int64)
+        before[1:] = tail[word[:-1]]
+        before[begin[:-1][size > 0]] = 0
+        pair, place = np.unique(before * len(firsts) + first[word], return_inverse=True)
+        tail_of, first_of = list(tails), list(firsts)
+        opens = self.ratios(_openings([opening(tail_of[p // len(firsts)], first_of[p % len(firsts)]) for p in pair.tolist()]))
+        value = np.log1p(SHARE * np.expm1(np.minimum(own[word] + opens[place], 50.0)))
+        total = np.bincount(np.repeat(np.arange(len(size)), size), weights=value, minlength=len(size))
+        return list(zip(total.tolist(), size.tolist(), strict=True))
+
+    def score(self, value: float, n_words: int) -> float:
+        if self.slope is None or not n_words:
+            return self.prior
+        return float(_logistic(self.intercept + self.slope * normalised(value, n_words)))
+
+    def scores(self, column: pa.Array, known: dict[str, float]) -> list[float]:
+        return [self.score(v, n) for v, n in self.values(column, known)]
+
+
+def normalised(value: float, n_words: int) -> float:
+    return value / (n_words + PRIOR_WORDS)
+
+
+def _logistic(z):
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def shared(rows: np.ndarray) -> np.ndarray:
+    """P(x | h') of each gram hx (distinct rows), h' being h without its first character: interpolated Kneser-Ney down to
+    single letters. A count is the number of different longer grams (among all grams' endings)."""
+    length = (rows != 0).sum(1)  # zeros only stand first
+    below, place, continued = [], [], []  # by length: its grams; where their endings are among the next shorter; counts
+    now = np.zeros((0, ORDER), rows.dtype)
+    for n in range(ORDER, 0, -1):
+        ends = now.copy()
+        if len(ends):
+            ends[:, ORDER - n - 1] = 0
+        both = np.concatenate([ends, rows[length >= n] if n == ORDER else rows[length == n]])
+        _, first, inverse = np.unique(_hashed(both), return_index=True, return_inverse=True)
+        continued.append(np.bincount(inverse[: len(ends)], minlength=len(first)))
+        place.append(inverse[: len(ends)])
+        now = both[first]
+        below.append(now)
+    letters = len(below[-1]) + 1
+    lower = np.zeros(0)
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n in range(1, ORDER + 1):
+        at = ORDER - n
+        base = lower[place[at + 1]] if n > 1 else np.full(len(below[at]), 1 / letters)
+        count = continued[at]
+        lower = _interpolated(_contexts(below[at]), count, base)
+        by_length[n] = (np.sort(_hashed(below[at])), base)  # grams lie by key
+    base = np.zeros(len(rows))
+    for n, (keys, of) in by_length.items():
+        here = length == n
+        base[here] = of[np.searchsorted(keys, _hashed(rows[here]))]
+    return base
+
+
+def _contexts(rows: np.ndarray) -> np.ndarray:
+    return np.unique(_hashed(rows[:, :-1]), return_inverse=True)[1]
+
+
+def _interpolated(context: np.ndarray, counts: np.ndarray, base: np.ndarray) -> np.ndarray:
+    if not len(context):
+        return np.zeros(0)
+    total, kinds = np.bincount(context, weights=counts), np.bincount(context, weights=counts > 0)
+    t = total[context]
+    return np.where(t > 0, (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds[context] * base) / np.maximum(t, 1), base)
+
+
+def fitted(words: list[str], openings: list[str], counts: np.ndarray, prior: float = 0.0) -> Model:
+    """The model of words, then openings, with ``counts`` (ordinary, toxic) of documents that hold them."""
+    rows, size = _windows(words)
+    rows = np.concatenate([rows, _openings(openings)])
+    each = np.concatenate([np.repeat(counts[: len(words)], size, axis=0), counts[len(words) :]])
+    keys, first, inverse = np.unique(_hashed(rows), return_index=True, return_inverse=True)
+    rows = rows[first]
+    held = [np.bincount(inverse, weights=each[:, c], minlength=len(keys)) for c in (0, 1)]
+    del each, inverse
+    context = _contexts(rows)
+    sums = lambda x: np.bincount(context, weights=x)[context]
+    pool = held[0] + held[1]
+    total, kinds = sums(pool), sums(pool > 0)
+    loose = DISCOUNT * kinds / total
+    both = (pool - DISCOUNT) / (total - DISCOUNT * kinds)
+    below = loose * shared(rows)
+    log = [np.log((1 - loose) * (np.maximum(h - DISCOUNT, 0) + (STRENGTH + DISCOUNT * sums(h > 0)) * both) / (STRENGTH + sums(h)) + below) for h in held]
+    return Model(Table(keys, log[1] - log[0]), prior)
+
+
+def calibrated(model: Model, x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> Model:
+    """Slope and intercept by logistic regression (Newton's method)."""
+    scale = float(np.abs(x).mean()) or 1.0
+    a = np.column_stack([np.ones(len(x)), x / scale])
+    w = np.zeros(2)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+        p = _logistic(a @ w)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (y - p) - ridge * w)
         w += np.clip(step, -2, 2)
-    model.weights = w.tolist()
+    model.intercept, model.slope = float(w[0]), float(w[1] / scale)
     return model
 
 
@@ -206,64 +269,78 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         keys = list(known[0].keys() | known[1].keys())
-        arrays = [pa.array(keys, pa.string()), *(pa.array([k[g] for g in keys], pa.int64()) for k in known)]
+        arrays = [pa.array([k[0] for k in keys], pa.bool_()), pa.array([k[1] for k in keys], pa.string()), *(pa.array([k[g] for g in keys], pa.int64()) for k in known)]
         for k in known:
             k.clear()
-        return pa.RecordBatch.from_arrays(arrays, ["gram", "ordinary", "toxic"])
+        return pa.RecordBatch.from_arrays(arrays, ["opens", "gram", "ordinary", "toxic"])
 
     for b in batches:
-        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for w in set(_WORD.findall((text or "").lower())):
-                known[bool(label)].update(grams(w))
-        if len(known[0]) + len(known[1]) > 200_000:
-            yield out()
+        flat, begin = sequence(b.column(0))
+        for i, label in enumerate(b.column(1).to_pylist()):
+            found = flat.slice(begin[i], begin[i + 1] - begin[i]).to_pylist()
+            known[bool(label)].update((False, w) for w in set(found))
+            known[bool(label)].update((True, g) for g in set(map(opening, ["", *found], found)))
+            if len(known[0]) + len(known[1]) > 200_000:
+                yield out()
     yield out()
 
 
-def _featured(box):
+def _valued(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = box.value, {}
         for b in batches:
-            rows = model.features(b.column(0).to_pylist(), known)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], ["x", "label"])
+            x = [normalised(v, n) for v, n in model.values(b.column(0), known)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column(1)], ["x", "label"])
 
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_column: str = "text", learn_fold=lambda f: f != 0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, text_column: str = "text", learn_fold=lambda f: f != 0) -> Model:
     """Learn from labelled documents whose :func:`fold` passes. Of the bounded sample, four fifths give counts and one
-    fifth, which the counts do not know, the calibration."""
+    fifth, which the counts do not know, the calibration (all, if that has labels of one class only)."""
+    spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     marks = marks.where(learn_fold(fold("id"))).groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20))
     n = marks.count()
     if n > sample:
-        marks = marks.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
+        marks = marks.where(drawn < int((1 << 20) * sample / n))
     # the marks are bounded by the sample, so they are sent to the texts and not the texts to them; an id's rows count once
     rows = docs.select(F.col("doc_id").alias("id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(marks), "id")
     rows = rows.groupBy("id", "label").agg(F.min("text").alias("text")).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(5)))
-    rows = rows.select("text", "label", "part").persist()  # bounded by the sample
-    try:
-        counted = mapped(rows.where("part < 4"), _counting, "gram string, ordinary long, toxic long")
-        counted = counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).where(F.col("ordinary") + F.col("toxic") >= LEAST_COUNT)
-        table = counted.toArrow()  # its size is bounded by the sample
-        counts = {g: (a, b) for g, a, b in zip(table["gram"].to_pylist(), table["ordinary"].to_pylist(), table["toxic"].to_pylist(), strict=True)}
-        model = fitted(counts)
-        box = docs.sparkSession.sparkContext.broadcast(model)
-        held = mapped(rows.where("part = 4"), _featured(box), "x array<double>, label int").toArrow()
-        box.unpersist()
-    finally:
-        rows.unpersist()
-    y = np.array(held["label"].to_pylist(), float)
-    if len(y) and 0 < y.sum() < len(y):
-        calibrated(model, np.array(held["x"].to_pylist(), float), y)
-    return model
+    rows, path = written(rows, "labelled")
+    size, n, n_toxic = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if size > sample_bytes:  # the hash's lower end already stands for the sample
+        least = (1 << 20) * min(1.0, sample / max(n, 1))
+        rows = rows.where(drawn < int(least * sample_bytes / size))
+    rows = rows.select("text", "label", "part")
+    prior = n_toxic / n if n else 0.0
+    if not 0 < n_toxic < n:
+        removed(spark, path)
+        return Model(Table(np.zeros(0, np.uint64), np.zeros(0)), prior)
+    counted = mapped(rows.where("part < 4"), _counting, "opens boolean, gram string, ordinary long, toxic long")
+    table = counted.groupBy("opens", "gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()  # bounded by the sample
+    opens = table["opens"].combine_chunks()
+    parts = [table.filter(pc.invert(opens)), table.filter(opens)]
+    counts = np.concatenate([np.column_stack([p["ordinary"].to_numpy(), p["toxic"].to_numpy()]) for p in parts])
+    model = fitted(parts[0]["gram"].to_pylist(), parts[1]["gram"].to_pylist(), counts, prior)
+    del table, parts, counts
+    box = spark.sparkContext.broadcast(model)
+    held = mapped(rows.where("part = 4"), _valued(box), "x double, label int").toArrow()
+    y = held["label"].to_numpy().astype(float)
+    if not 0 < y.sum() < len(y):
+        held = mapped(rows.select("text", "label"), _valued(box), "x double, label int").toArrow()
+        y = held["label"].to_numpy().astype(float)
+    box.unpersist()
+    removed(spark, path)
+    return calibrated(model, held["x"].to_numpy(), y)
 
 
 def _scoring(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = box.value, {}
         for b in batches:
-            scores = model.scores(b.column(b.num_columns - 1).to_pylist(), known)
+            scores = model.scores(b.column(b.num_columns - 1), known)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*b.schema.names[:-1], "score"])
 
     return run
@@ -286,7 +363,7 @@ def accepted(docs: DataFrame, model: Model, text_column: str = "text", threshold
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, known = box.value, {}
         for column in batches:
-            yield pa.array(model.scores(column.to_pylist(), known), pa.float64())
+            yield pa.array(model.scores(column, known), pa.float64())
         known.clear()
         released()
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -20,7 +21,7 @@ def test_pipeline_matches_brute_force(spark):
     labels = spark.read.parquet(f"{samples.SF}/labels.parquet")
     model = toxicity.learn(docs.select("doc_id", "text"), labels)
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
-    rows = [(d, t) for d, t in rows if model.scores([t], {})[0] < 0.5]
+    rows = [(d, t) for d, t in rows if model.scores(pa.array([t], pa.string()), {})[0] < 0.5]
     names = quality_rules.MEASURES
 
     def good(text):
