@@ -3,29 +3,36 @@
 Pages of one host share templates. A host's wrapper is a regular expression without unions over tags and text: it starts
 as one page and is aligned with one page after another. Where strings differ, a text slot takes their place; where tags
 differ, what only one side has becomes optional, and what repeats side by side becomes a repeated group. The expression
-is kept as a tree, since its tags nest: a node has a tag, its names (of class, id and role), how often it may occur, and aligned children.
-
-Wrappers are inferred from every page: each task folds its pages into one wrapper per host, and these are merged in two
-steps (a salted one first), so no task gets all pages of a host, and what is merged has the size of templates, not of
-pages. A wrapper tells where a host's articles are: in the heaviest ``article`` or ``main`` that holds text slots, or
-else in the innermost element that holds all variable text which is no furniture; where that is the page's body, its
-children that are the same on all pages are left out. Extraction aligns a page with its wrapper and returns the
-text below that place without furniture (menus, headers, footers, side columns, notices, adverts, forms, comments).
-Within an article only furniture's tags, and containers with a whole name of it, are left out; outside, no element that
-holds the article or most of the text is furniture for a part of its name.
+is kept as a tree, since its tags nest: a node has a tag, its names (of class, id and role), how often it may occur, and
+aligned children; children are aligned by their longest common subsequence. Strings that stand on every page of a host,
+wherever they stand, are kept as its constants. No depth, width or length changes what is inferred.
+
+Wrappers are inferred from every page: each task folds its pages into one wrapper per host, and these are merged in a
+tree of steps, so no task gets all pages of a host, and what is merged has the size of templates, not of pages. A wrapper
+tells where a host's articles are: in the heaviest ``article`` or ``main`` that holds text slots, or else in the innermost
+element that holds all variable text which is no furniture; where that is the page's body, its children that are the same
+on all pages are left out. Extraction aligns a page with its wrapper and returns the text below that place without
+furniture (menus, headers, footers, side columns, notices, adverts, forms, comments) and without the wrapper's constants:
+blocks of text that are the same on all of at least LEAST_PAGES pages, as long as they are the smaller part of the page's
+text (on hosts whose pages are copies of each other, constants tell nothing). Within an article only furniture's tags, and
+containers with a whole name of it, are left out; outside, no element that holds the article or most of the text is
+furniture for a part of its name.
 
 Text: character references are decoded, white space becomes one space within a block, and blocks are joined by one space.
 
 Defined results: a null or empty html gives an empty text; a url without a host belongs to the host ''; broken or cut-off
-html is read as far as it goes; a page that its wrapper does not match is read by the same rules without it; repeated
-rows are each extracted; an empty table gives no rows; other columns are ignored.
+html is read as far as it goes, at any depth; very long pages are read whole; a page that its wrapper does not match is
+read by the same rules without it; repeated rows are each extracted; an empty table gives no rows; other columns, also
+ones named like the result's (``text``, ``n_chars``, ``host``), are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,12 +41,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT, mapped, spread, written
+from .common import BROADCAST_LIMIT, mapped, removed, spread, written
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
 #: Elements without content, elements whose content is not markup, and elements that do not part blocks (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -57,10 +65,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of the same kind (fixed values).
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul p".split())
-#: In wrappers, elements below this depth, and children of an element beyond this number, are not told apart: of the former
-#: the text joins the element they are in, of the latter those of one kind become one repeated group. Pages are read and
-#: their texts taken at any depth.
-DEEPEST, WIDEST = 150, 48
+#: A block of text is a host's constant if it stands on all of at least so many pages, and is left out of a page if its
+#: constants are at most this share of the text.
+LEAST_PAGES, MOST_CONSTANT = 4, 0.25
 _SCOPE = frozenset("ul ol dl table article section div body html main".split())
 
 
@@ -72,6 +79,11 @@ class Node:
     def __init__(self, tag: str, names: frozenset[str] = frozenset()):
         self.tag, self.names, self.children = tag, names, []
 
+    def signature(self) -> tuple[str, ...]:
+        """What is compared in alignment: tag and names. Numbers in names, and names of headings and inline elements
+        (which often name one page's part), tell nothing."""
+        return (self.tag, *sorted({_DIGITS.sub("0", n) for n in self.names})) if self.names and self.tag not in INLINE | HEADINGS else (self.tag,)
+
 
 def names_of(attributes: str) -> frozenset[str]:
     if "=" not in attributes:
@@ -113,7 +125,7 @@ def tree(html: str) -> Node:
                 close(last)
         node = Node(tag, names_of(m[3]))
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID:  # a slash at a tag's end tells nothing: it may belong to an attribute
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
@@ -198,17 +210,17 @@ def opened(root) -> set[int]:
     return out
 
 
-def text_of(node: Node, inside: bool = True, without: frozenset[tuple] = frozenset()) -> str:
-    """Text of an element without furniture; ``inside``: it lies in an article, or is one; outside, an element with text of
-    its own is as an article to what it holds. ``without``: signatures of its children that are left out."""
-    parts: list[str] = []
-    kept = frozenset() if inside else opened(node)
-
+def blocks_of(node: Node, inside: bool = True, without: frozenset[tuple] = frozenset(), every: bool = False) -> list[str]:
+    """Blocks of text of an element without furniture; ``inside``: it lies in an article, or is one; outside, an element
+    with text of its own is as an article to what it holds. ``without``: signatures of its children that are left out;
+    ``every``: furniture stays."""
+    parts: list[str | None] = []  # None parts blocks
+    kept = frozenset() if inside or every else opened(node)
     todo: list[tuple[Iterator, Node, bool]] = []
 
     def enter(x: Node, inside: bool) -> None:
         if x.tag not in INLINE:
-            parts.append(" ")
+            parts.append(None)
         todo.append((iter(x.children), x, inside))
 
     enter(node, inside)
@@ -217,48 +229,60 @@ def text_of(node: Node, inside: bool = True, without: frozenset[tuple] = frozens
         for c in rest:
             if isinstance(c, str):
                 parts.append(entities.unescape(c) if "&" in c else c)
-            elif (not looks(c.tag, c.names, inside) or id(c) in kept) and not (without and x is node and (c.tag, *sorted(c.names)) in without):
+            elif (c.tag not in RAW if every else not looks(c.tag, c.names, inside) or id(c) in kept) and not (without and x is node and c.signature() in without):
                 enter(c, inside or c.tag in ("article", "main") or (c.tag not in PAGE and any(k.strip() if isinstance(k, str) else k.tag in OWN for k in c.children)))
                 break
             elif c.tag not in INLINE and c.tag not in RAW:  # what is left out parts blocks as well
-                parts.append(" ")
+                parts.append(None)
         else:
             todo.pop()
             if x.tag not in INLINE:
-                parts.append(" ")
-    return _SPACE.sub(" ", "".join(parts)).strip()
+                parts.append(None)
+    out, at = [], 0
+    for i, p in enumerate([*parts, None]):
+        if p is None:
+            if i > at and (text := _SPACE.sub(" ", "".join(parts[at:i])).strip()):
+                out.append(text)
+            at = i + 1
+    return out
+
+
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 # --- wrappers -------------------------------------------------------------------------------------------------------
-# An item of a wrapper: a text {"t": string, or null for a slot, "n": pages, "c": characters} or an element
-# {"g": tag, "w": names, "k": children, "n": pages, "o": optional, "r": repeated}. Plain data, so that it travels.
+# An item of a wrapper: a text {"t": digest of a string, or null for a slot, "n": pages, "c": characters} or an element
+# {"g": tag, "w": names, "s": signature, "k": children, "n": pages, "o": optional, "r": repeated}; the root has "e" too,
+# digests of the blocks that stand on every page. Functions recurse as deep as pages nest, in Python frames only.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 
 def signature(item: dict) -> tuple:
-    return ("#",) if "t" in item else (item["g"], *item["w"])
+    return ("#",) if "t" in item else tuple(item["s"])
+
 
+def wrapper_of(root: Node) -> dict:
+    """The wrapper of one page."""
+    return started(root) | {"e": sorted(set(map(digest, blocks_of(root, every=True))))}
 
-def started(node: Node, depth: int = 1) -> dict:
-    """The wrapper of one page: its own repeated siblings are folded into groups."""
+
+def started(node: Node) -> dict:
+    """The wrapper of one page's element: its own repeated siblings are folded into groups."""
     children: list[dict] = []
     for c in node.children:
         if isinstance(c, str):
             if s := _SPACE.sub(" ", c).strip():
-                children.append({"t": s if len(s) <= 200 else None, "n": 1, "c": len(s)})
+                children.append({"t": digest(s), "n": 1, "c": len(s)})
         elif c.tag not in ("script", "style"):
-            if depth < DEEPEST:
-                children.append(started(c, depth + 1))
-            elif not looks(c.tag, c.names, True) and (s := text_of(c)):
-                children.append({"t": s if len(s) <= 200 else None, "n": 1, "c": len(s)})
-    return {"g": node.tag, "w": sorted(node.names), "k": folded(children), "n": 1, "o": False, "r": False}
+            children.append(started(c))
+    return {"g": node.tag, "w": sorted(node.names), "s": list(node.signature()), "k": folded(children), "n": 1, "o": False, "r": False}
 
 
 def folded(children: list[dict]) -> list[dict]:
     """Adjacent equal groups of siblings (one to three elements wide) become one repeated group."""
     if len(children) < 2:
         return children
-    if len(children) > 4 * WIDEST:
-        children = condensed(children)
     for width in (1, 2, 3):
         out: list[dict] = []
         for c in children:
@@ -273,58 +297,113 @@ def folded(children: list[dict]) -> list[dict]:
                         merged["r"] = True
                     out[i - width] = merged
         children = out
-    return condensed(children) if len(children) > WIDEST else children
-
-
-def condensed(children: list[dict]) -> list[dict]:
-    """One optional repeated group for each kind of sibling, in the order in which kinds first stand."""
-    kinds: dict[tuple, dict] = {}
-    for c in children:
-        s = signature(c)
-        if s not in kinds:
-            kinds[s] = c
-            continue
-        kinds[s] = aligned(kinds[s], c)
-        if "g" in c:
-            kinds[s] |= {"n": max(kinds[s]["n"] - c["n"], c["n"]), "o": True, "r": True}
-    return list(kinds.values())
+    return children
+
+
+def common(x: list, y: list, every: int = 256) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by a row of bits for each of x's items (Hyyro, 2004). Only each ``every``th
+    row is kept, the others are made again on the way back."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    a, b = x[head : len(x) - tail], y[head : len(y) - tail]
+    ends = [(i, i) for i in range(head)], [(len(x) - i, len(y) - i) for i in range(tail, 0, -1)]
+    places: dict = {}
+    for j, v in enumerate(b):
+        places[v] = places.get(v, 0) | 1 << j
+    full = (1 << len(b)) - 1
+
+    def step(row: int, v) -> int:
+        met = row & places.get(v, 0)
+        return ((row + met) | (row - met)) & full
+
+    marks, row = [full], full
+    for i, v in enumerate(a):
+        row = step(row, v)
+        if (i + 1) % every == 0:
+            marks.append(row)
+    pairs, i, j = [], len(a), len(b)
+    first, rows = len(a) + 1, []  # rows first, first + 1, ... are at hand
+
+    def at(i: int) -> int:
+        nonlocal first, rows
+        if i < first:
+            first = i // every * every
+            rows = [marks[i // every]]
+            for v in a[first : first + every]:
+                rows.append(step(rows[-1], v))
+        return rows[i - first]
+
+    while i and j:
+        if at(i) >> (j - 1) & 1:
+            j -= 1
+        elif i > 1 and not at(i - 1) >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((head + i, head + j))
+    return [*ends[0], *pairs[::-1], *ends[1]]
 
 
 def aligned(a: dict, b: dict) -> dict:
     """One wrapper for two with the same signature: differing strings become slots, unmatched elements optional."""
     if "t" in a:
         return {"t": a["t"] if a["t"] == b["t"] else None, "n": a["n"] + b["n"], "c": a["c"] + b["c"]}
-    out = {"g": a["g"], "w": a["w"], "n": a["n"] + b["n"], "o": a["o"] or b["o"], "r": a["r"] or b["r"]}
+    names = a["w"] if a["w"] == b["w"] else sorted({*a["w"]} & {*b["w"]})
+    out = {"g": a["g"], "w": names, "s": a["s"], "n": a["n"] + b["n"], "o": a["o"] or b["o"], "r": a["r"] or b["r"]}
+    if "e" in a and "e" in b:
+        out["e"] = sorted({*a["e"]} & {*b["e"]})
     x, y = a["k"], b["k"]
     sx, sy = [signature(i) for i in x], [signature(i) for i in y]
     if sx == sy:
         out["k"] = [aligned(i, j) for i, j in zip(x, y, strict=True)]
         return out
-    # longest common subsequence of signatures; what only one side has is optional
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if sx[i] == sy[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
     merged: list[dict] = []
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and sx[i] == sy[j]:
-            merged.append(aligned(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            merged.append(x[i] if "t" in x[i] else x[i] | {"o": True})
-            i += 1
-        else:
-            merged.append(y[j] if "t" in y[j] else y[j] | {"o": True})
-            j += 1
+    i = j = 0
+    for p, q in [*common(sx, sy), (len(x), len(y))]:
+        merged += [c if "t" in c else c | {"o": True} for c in (*x[i:p], *y[j:q])]
+        if p < len(x):
+            merged.append(aligned(x[p], y[q]))
+        i, j = p + 1, q + 1
     out["k"] = folded(merged)
     return out
 
 
+def flat(wrapper: dict) -> str:
+    """A wrapper as JSON, its elements in a row with their number of children, so that no depth is too much."""
+    out, todo = [], [wrapper]
+    while todo:
+        item = todo.pop()
+        if "g" in item:
+            out.append({**item, "k": len(item["k"])})
+            todo += reversed(item["k"])
+        else:
+            out.append(item)
+    return json.dumps(out)
+
+
+def unflat(data: str) -> dict:
+    items = json.loads(data)
+    todo: list[list] = [[1, []]]  # children still to come, and those that came
+    top = todo[0][1]
+    for item in items:
+        while not todo[-1][0]:
+            todo.pop()
+        todo[-1][0] -= 1
+        todo[-1][1].append(item)
+        if "g" in item:
+            n, item["k"] = item["k"], []
+            todo.append([n, item["k"]])
+    return top[0]
+
+
 def expression(item: dict) -> str:
     """The wrapper as a regular expression."""
     if "t" in item:
-        return "#TEXT" if item["t"] is None else item["t"]
+        return "#TEXT" if item["t"] is None else f"#{item['t']}"
     inner = " ".join(map(expression, item["k"]))
     body = f"<{item['g']}{'.' if item['w'] else ''}{'.'.join(item['w'])}> {inner} </{item['g']}>"
     mark = ("*" if item["o"] else "+") if item["r"] else "?" if item["o"] else ""
@@ -332,10 +411,8 @@ def expression(item: dict) -> str:
 
 
 def variable_text(item: dict) -> int:
-    """Characters in the text slots of an element in an article, furniture apart."""
-    if "t" in item:
-        return item["c"] if item["t"] is None or item["n"] == 1 else 0
-    return sum(variable_text(c) for c in item["k"] if "t" in c or not looks(c["g"], frozenset(c["w"]), True))
+    """Characters of a text slot; a constant has none, unless only one page tells."""
+    return item["c"] if item["t"] is None or item["n"] == 1 else 0
 
 
 #: Elements that hold whole pages, and children that make up an element's own text (fixed values).
@@ -344,38 +421,68 @@ OWN = INLINE | HEADINGS | {"p", "blockquote", "pre", "ul", "ol", "table", "figur
 
 
 def place(wrapper: dict) -> dict:
-    """Where a host's articles are: ``path`` of signatures from the root, whether that is ``inside`` an article, and
-    ``without``, the signatures of the path's last element's children that are the same on all pages.
+    """Where a host's articles are: ``path`` of signatures from the root, whether that is ``inside`` an article,
+    ``without``, the signatures of the path's last element's children that are the same on all pages, and ``same``, the
+    host's constants.
 
     The heaviest ``article``, or else the heaviest ``main``; on hosts without them the innermost element that holds all
     variable text which is no furniture."""
+    same_text = wrapper["e"] if wrapper["n"] >= LEAST_PAGES else []
     kept = opened(wrapper)
-    found: list[tuple[tuple, list]] = []
+    found: list[tuple[tuple, tuple]] = []
 
     def left(c: dict, inside: bool) -> bool:
         return "t" in c or id(c) in kept or not looks(c["g"], frozenset(c["w"]), inside)
 
-    def walk(item: dict, path: list, depth: int, inside: bool) -> None:
+    weights: dict[int, int] = {}  # of elements in an article, by id; those below come first
+
+    def weigh(item: dict) -> int:
+        total = 0
+        for c in item["k"]:
+            if "t" in c:
+                total += variable_text(c)
+            else:
+                below = weigh(c)
+                total += 0 if looks(c["g"], frozenset(c["w"]), True) else below
+        weights[id(item)] = total
+        return total
+
+    def walk(item: dict, path: tuple | None, depth: int, inside: bool) -> None:
         for c in item["k"]:
             if "g" in c and left(c, inside):
-                at = [*path, list(signature(c))]
+                at = (path, signature(c))
                 semantic = 2 if c["g"] == "article" or _named(c, "articlebody", "article-body") else 1 if c["g"] == "main" or _named(c, "main", "main-content") else 0
-                if semantic and (weight := variable_text(c)):
-                    found.append(((semantic, weight, -depth), at))
+                if semantic and weights[id(c)]:
+                    found.append(((semantic, weights[id(c)], -depth), at))
                 walk(c, at, depth + 1, inside or c["g"] in ("article", "main"))
 
-    walk(wrapper, [], 0, False)
+    weigh(wrapper)
+    walk(wrapper, None, 0, False)
     if found:
-        return {"path": max(found, key=lambda f: f[0])[1], "inside": True, "without": []}
+        at, path = max(found, key=lambda f: f[0])[1], []
+        while at:
+            path.append(list(at[1]))
+            at = at[0]
+        return {"path": path[::-1], "inside": True, "without": [], "same": same_text}
+
+    told: dict[int, int] = {}
 
     def weight(c: dict) -> int:
         if "t" in c:
             return variable_text(c)
-        inside = c["g"] not in PAGE and own(c)
-        return sum(weight(k) for k in c["k"] if left(k, inside))
+        if id(c) not in told:
+            inside, total = c["g"] not in PAGE and own(c), 0
+            for k in c["k"]:
+                if left(k, inside):
+                    total += weight(k)
+            told[id(c)] = total
+        return told[id(c)]
 
     def own(item: dict) -> bool:
-        return any(variable_text(c) for c in item["k"] if "t" in c or (c["g"] in OWN and left(c, False)))
+        for c in item["k"]:
+            if variable_text(c) if "t" in c else c["g"] in OWN and left(c, False) and weights[id(c)]:
+                return True
+        return False
 
     item, path = wrapper, []
     while not own(item):
@@ -385,7 +492,7 @@ def place(wrapper: dict) -> dict:
         item = holding[0]
         path.append(list(signature(item)))
     same = [c for c in item["k"] if item["g"] in PAGE and "g" in c and c["g"] not in OWN and c["n"] > 1 and not weight(c)] if weight(item) else []
-    return {"path": path, "inside": item["g"] not in PAGE and own(item), "without": [list(signature(c)) for c in same]}
+    return {"path": path, "inside": item["g"] not in PAGE and own(item), "without": [list(signature(c)) for c in same], "same": same_text}
 
 
 def _named(item: dict, *names: str) -> bool:
@@ -396,7 +503,7 @@ def _at(root: Node, path: list) -> list[Node]:
     hits = [root]
     for step in path:
         want = tuple(step)
-        hits = [c for h in hits for c in h.children if not isinstance(c, str) and (c.tag, *sorted(c.names)) == want]
+        hits = [c for h in hits for c in h.children if not isinstance(c, str) and c.signature() == want]
     return hits
 
 
@@ -407,16 +514,22 @@ def extract(html: str | None, where: dict | None) -> str:
     root = tree(html)
     hits = _at(root, where["path"]) if where else []
     if not hits:
-        where = place(started(root))
+        where = place(wrapper_of(root))
         hits = _at(root, where["path"])
-    without = frozenset(map(tuple, where["without"]))
-    return " ".join(t for t in (text_of(h, where["inside"], without) for h in hits) if t)
+    without, same = frozenset(map(tuple, where["without"])), frozenset(where["same"])
+    blocks = [b for h in hits for b in blocks_of(h, where["inside"], without)]
+    if same:
+        own = [b for b in blocks if digest(b) not in same]
+        if sum(map(len, own)) >= (1 - MOST_CONSTANT) * sum(map(len, blocks)):
+            blocks = own
+    return " ".join(blocks)
 
 
 # --- Spark ----------------------------------------------------------------------------------------------------------
 #: Wrappers that a task holds at once while it folds pages.
 HELD = 2000
-_SALTS = 16
+#: Wrappers of a host that are merged in one step, about.
+FAN = 64
 
 
 def host(url: Column) -> Column:
@@ -427,14 +540,14 @@ def _folding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, dict] = {}
 
     def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], ["host", "wrapper"])
+        made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([flat(w) for w in held.values()], pa.string())], ["host", "wrapper"])
         held.clear()
         return made
 
     for b in batches:
         for at, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if page:
-                new = started(tree(page))
+                new = wrapper_of(tree(page))
                 held[at] = aligned(held[at], new) if at in held else new
         if len(held) >= HELD:
             yield out()
@@ -442,42 +555,42 @@ def _folding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host: one wrapper at a time."""
-    now = wrapper = None
+    """Rows (part, wrapper, host) sorted by host and part: one wrapper at a time."""
+    now = wrapper = host = None
     for b in batches:
         done: list[tuple[str, dict]] = []
-        for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            new = json.loads(text)
+        for at, text, of in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            new = unflat(text)
             if at == now:
                 wrapper = aligned(wrapper, new)
                 continue
             if wrapper is not None:
-                done.append((now, wrapper))
-            now, wrapper = at, new
+                done.append((host, wrapper))
+            now, wrapper, host = at, new, of
         yield _wrapped(done)
-    yield _wrapped([(now, wrapper)] if wrapper is not None else [])
+    yield _wrapped([(host, wrapper)] if wrapper is not None else [])
 
 
 def _wrapped(done: list[tuple[str, dict]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([h for h, _ in done], pa.string()), pa.array([json.dumps(w) for _, w in done], pa.string())], ["host", "wrapper"])
+    return pa.RecordBatch.from_arrays([pa.array([h for h, _ in done], pa.string()), pa.array([flat(w) for _, w in done], pa.string())], ["host", "wrapper"])
 
 
 def infer(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(host, wrapper as JSON) of every host, from all its pages."""
     slim = spread(pages.select(host(F.col(url_column)).alias("host"), F.col(html_column).cast("string").alias("html")))
-    parts = mapped(slim, _folding, "host string, wrapper string")
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(_SALTS)))
-    for keys in (["host", "salt"], ["host"]):
-        rows = salted.repartition(*keys).sortWithinPartitions(*keys, "wrapper").select("host", "wrapper")
-        salted = mapped(rows, _merging, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(_SALTS)))
-        if keys == ["host", "salt"]:
-            continue
-    return salted.select("host", "wrapper")
+    parts, path = written(mapped(slim, _folding, "host string, wrapper string"), "wrappers")
+    while (most := parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        salt = F.pmod(F.xxhash64("wrapper"), F.lit(-(-most // FAN)))
+        rows = parts.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper")
+        parts, after = written(mapped(rows.select(F.concat_ws("/", "host", "salt").alias("part"), "wrapper", "host"), _merging, "host string, wrapper string"), "wrappers")
+        removed(pages.sparkSession, path)
+        path = after
+    return parts
 
 
 def _placing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        paths = [json.dumps(place(json.loads(w))) for w in b.column(1).to_pylist()]
+        paths = [json.dumps(place(unflat(w))) for w in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string())], ["host", "path"])
 
 

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from gaugewright.llm import wrappers
 
@@ -35,9 +37,12 @@ def test_inference_finds_slots_groups_and_options():
     pages = ["<div><h2>Fixed</h2><p>a</p><p>b</p></div>", "<div><h2>Fixed</h2><p>c</p><i>new</i></div>", "<div><h2>Fixed</h2><p>d</p><p>e</p><p>f</p></div>"]
     wrapper = None
     for p in pages:
-        new = wrappers.started(wrappers.tree(p))
+        new = wrappers.wrapper_of(wrappers.tree(p))
         wrapper = new if wrapper is None else wrappers.aligned(wrapper, new)
-    assert wrappers.expression(wrapper["k"][0]) == "<div> <h2> Fixed </h2> ( <p> #TEXT </p> )+ ( <i> new </i> )? </div>"
+    fixed, new = (f"#{wrappers.digest(t)}" for t in ("Fixed", "new"))
+    assert wrappers.expression(wrapper["k"][0]) == f"<div> <h2> {fixed} </h2> ( <p> #TEXT </p> )+ ( <i> {new} </i> )? </div>"
+    assert wrapper["e"] == [wrappers.digest("Fixed")]
+    assert wrappers.unflat(wrappers.flat(wrapper)) == wrapper
 
 
 def test_wrappers_do_not_depend_on_dealing(spark):
@@ -63,9 +68,9 @@ def test_odd_rows(spark):
 def extracts(*bodies):
     """Texts of pages of one host, without Spark."""
     pages = [page(b) for b in bodies]
-    wrapper = wrappers.started(wrappers.tree(pages[0]))
+    wrapper = wrappers.wrapper_of(wrappers.tree(pages[0]))
     for p in pages[1:]:
-        wrapper = wrappers.aligned(wrapper, wrappers.started(wrappers.tree(p)))
+        wrapper = wrappers.unflat(wrappers.flat(wrappers.aligned(wrapper, wrappers.wrapper_of(wrappers.tree(p)))))
     return [wrappers.extract(p, wrappers.place(wrapper)) for p in pages]
 
 
@@ -100,3 +105,32 @@ def test_deep_elements():
     n = 50_000
     assert extracts(f"<article>{'<div><b>' * n}x{'</i></div>' * n}<p>after</p></article>") == ["x after"]
     assert extracts("<article>" + "<div>" * 140 + "".join(f"<span>{i}" for i in range(300)) + "</div>" * 140 + "end</article>") == ["".join(map(str, range(300))) + " end"]
+
+
+@given(st.lists(st.integers(0, 4), max_size=40), st.lists(st.integers(0, 4), max_size=40))
+def test_common_is_a_longest_common_subsequence(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+    for every in (3, 256):
+        got = wrappers.common(x, y, every)
+        assert len(got) == best[-1][-1] and all(x[i] == y[j] for i, j in got)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
+
+
+def test_raw_elements_and_slashes():
+    for body in ("<script src='/x.js'/>var y=2;</script>", "<script src=/x.js/>var y=2;</script>", "<style/>p{}</style>", "<aside data-u=/a/>ADVERT</aside>", "<div class='ad'/>ADVERT</div>"):
+        assert extracts(f"<article><p>before</p>{body}<p>after</p></article>") == ["before after"], body
+
+
+def test_constants_of_a_host_are_left_out():
+    body = "<article><h1>Title {0}</h1><p>A paragraph about {0} and more of it, written for {0}, and then some more words about {0}.</p><p>Subscribe to our daily letter now</p><p>Another one {0}, as long as it is.</p><section class='social-science'>On {0}</section></article>"
+    text = "Title {0} A paragraph about {0} and more of it, written for {0}, and then some more words about {0}. Another one {0}, as long as it is. On {0}"
+    assert extracts(*(body.format(i) for i in range(5))) == [text.format(i) for i in range(5)]
+    bare = body.replace("article>", "div>").replace("<section class='social-science'>On {0}</section>", "")
+    assert extracts(*(bare.format(i) for i in range(5))) == [text.removesuffix(" On {0}").format(i) for i in range(5)]
+    assert "Subscribe" in extracts(*(body.format(i) for i in range(2)))[0]  # too few pages to tell
+    assert extracts(*[body.format(1)] * 6)[0].count("Subscribe") == 1  # copies of one page: all is constant, so nothing is told
+    near = "<article>" + "".join(f"<p>Paragraph {i}</p>" for i in range(20)) + "<p>{0}</p></article>"
+    assert len(extracts(*(near.format(i) for i in range(5)))[0].split()) == 41
