@@ -1,7 +1,7 @@
 """Tall-skinny QR over a DataFrame's rows, and what follows from its small factor on the driver.
 
-Each task folds its rows into one p x p factor (R of [R; batch]); factors are folded again in fewer tasks, so the driver
-gets a bounded number of them. Singular values of R are those of the whole matrix, without squaring its condition as a
+Each task folds its rows into one p x p factor (R of [R; batch]); the factors are shuffled and folded again in fewer tasks,
+so rows are read by as many tasks as they have partitions, and the driver gets a bounded number of factors. Singular values of R are those of the whole matrix, without squaring its condition as a
 Gram matrix would.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_FOLDS = 32
+_FOLDS = 8
 
 
 def _folded(width: int):
@@ -25,7 +25,7 @@ def _folded(width: int):
                 rows = np.asarray(b.column(0).flatten(), float).reshape(-1, width)
                 r = np.linalg.qr(np.vstack([r, rows]), mode="r")
                 n += int(np.asarray(b.column(1)).sum())
-        if n:
+        if len(r):  # rows of a factor without its first, which has the number, may come alone
             yield pa.RecordBatch.from_arrays([pa.array(r.tolist(), pa.list_(pa.float64())), pa.array([n] + [0] * (len(r) - 1), pa.int64())], ["row", "n"])
 
     return run
@@ -36,7 +36,7 @@ def factor(rows: DataFrame, columns: list) -> tuple[np.ndarray, int]:
     width = len(columns)
     matrix = rows.select(F.array(*columns).alias("row"), F.lit(1).cast("long").alias("n"))
     schema = "row array<double>, n long"
-    parts = matrix.mapInArrow(_folded(width), schema).coalesce(_FOLDS).mapInArrow(_folded(width), schema).toArrow()
+    parts = matrix.mapInArrow(_folded(width), schema).repartition(_FOLDS).mapInArrow(_folded(width), schema).toArrow()
     if not parts.num_rows:
         return np.zeros((0, width)), 0
     stacked = np.array(parts["row"].to_pylist(), float)

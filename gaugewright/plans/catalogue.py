@@ -4,6 +4,7 @@ The tables hold no calibration data, so roles are bound to their columns by a ta
 
 * E, ``events``: runs are users, configurations event types; the sensor's clock is ``ts`` (set back at every eleventh
   event), the reference's is off by some milliseconds; the sensor reads ``value``, the reference half of it and one.
+* C, ``events`` again, with event types as runs and the event's key as time.
 * L, ``lineitem``: runs are line numbers (1 to 4 develop, 5 to 7 test), strata return flag and line status; inputs are
   quantity, discount and tax, the output is the discounted price.
 
@@ -13,6 +14,8 @@ before (a fitted model, a split).
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -31,8 +34,10 @@ from ..declarations import (
 )
 from ..functions.linalg import factor
 from ..operators import coverage, holdout, identifiability, performance, replication, validity
+from ..results import CriterionResult
 from ..sources.observations import Observations, bound
-from .assessment import Assessment, verdict
+from . import scenarios
+from .assessment import Assessment, evaluate_d1, evaluate_d2, evaluate_d3, evaluate_d4, evaluate_d5, evaluate_d6, verdict
 
 ROUND = 6
 DEVELOPMENT, TEST = ["1", "2", "3", "4"], ["5", "6", "7"]
@@ -190,11 +195,12 @@ z AS (SELECT place, signal, sum(n / below) AS ess, count(*) AS n_runs FROM x WHE
 
 # --- L ---------------------------------------------------------------------------------------------------------------
 def lines(spark: SparkSession, sf_dir: str) -> Observations:
-    """Rows ordered, and timed, by a hash of all their columns."""
+    """Rows ordered by order key, equal keys (lines are not unique) by a hash of all columns; time follows that order."""
     df = _table(spark, sf_dir, "lineitem")
-    t = F.shiftrightunsigned(F.xxhash64(*df.columns), 12).cast("double")
-    df = df.select("*", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), t.alias("t"))
-    return bound(df, "lineitem", ["t"])
+    df = df.withColumn("part", F.shiftrightunsigned(F.xxhash64(*df.columns), 32))
+    time = F.col("l_orderkey") + F.col("part") / F.lit(2.0**32)
+    df = df.select("*", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), time.alias("t"))
+    return bound(df, "lineitem", ["l_orderkey", "part"])
 
 
 _SPANS = {"q": ("l_quantity", 1.0, 50.0, 6), "d": ("l_discount", 0.0, 0.1, 5), "x": ("l_tax", 0.0, 0.08, 5)}
@@ -337,7 +343,7 @@ def d3_gram_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d3_rank_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n = factor(_inputs(spark, sf_dir), [F.lit(1.0), F.col("z0"), F.col("z1"), F.col("z2")])
     s = np.linalg.svd(r, compute_uv=False)
-    return spark.createDataFrame([(n, int((s > 1e-12 * s[0]).sum()), float(s[0] / s[-1]))], "n_rows long, design_rank int, condition_number double")
+    return spark.createDataFrame([(n, int((s > 1e-12 * s[0]).sum()), round(float(s[0] / s[-1]), 6))], "n_rows long, design_rank int, condition_number double")
 
 
 # --- D5, D6 ----------------------------------------------------------------------------------------------------------
@@ -484,13 +490,192 @@ def assessment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("criterion_id", "status", F.size("missing_evidence").alias("n_missing"), F.size("violations").alias("n_violations"))
 
 
+# --- whole criteria ---------------------------------------------------------------------------------------------------
+_ITEMS = "item string, word string, number double"
+
+
+def _told(spark: SparkSession, result: CriterionResult, metrics: dict[str, str], **more) -> DataFrame:
+    """A result as rows: its status, counts by code, and the metrics named (path by dots, to the item's name)."""
+    rows = [("status", result.status.value, None)]
+    rows += [(f"code:{c}", None, float(n)) for c, n in sorted((result.metrics.get("violations_by_code") or {}).items())]
+    for path, item in metrics.items():
+        value = result.metrics
+        for k in path.split("/"):
+            value = value[k]
+        rows.append((item, value, None) if isinstance(value, str) else (item, None, round(float(value), 4)))
+    rows += [(k, None, float(v)) for k, v in more.items()]
+    return spark.createDataFrame(rows, _ITEMS)
+
+
+def d1_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = evaluate_d1(events(spark, sf_dir), events_bundle(), spark)
+    listed = max(v.row_number for v in r.violations)
+    return _told(spark, r, {"rows_evaluated": "rows", "invalid_rows": "invalid", "maximum_absolute_time_offset_s": "offset", "total_violations": "total"}, n_listed=len(r.violations), last_listed_row=listed)
+
+
+def csv_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E as a CSV file: written to the folder that tasks share, scanned as text, and evaluated by D1."""
+    data = events(spark, sf_dir)
+    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()  # one's own where none is set, as in tests
+    path = f"{home.rstrip('/')}/gaugewright-csv-{uuid.uuid4().hex}"
+    data.rows.select("event_id", "user_id", "event_type", "value", "sensor_t", "reference_t", "force").coalesce(1).sortWithinPartitions("event_id").write.csv(path, header=True)
+    r = evaluate_d1(path, events_bundle(), spark)
+    return _told(spark, r, {"rows_evaluated": "rows", "invalid_rows": "invalid", "maximum_absolute_time_offset_s": "offset", "total_violations": "total"}, n_listed=len(r.violations), last_listed_row=max(v.row_number for v in r.violations))
+
+
+def d2_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = evaluate_d2(lines(spark, sf_dir), lines_bundle(), spark)
+    named = {"samples_used": "samples", "samples_inside_claim_domain": "inside", "samples_outside_claim_domain": "outside", "estimated_fill_distance": "fill_distance", "grid_point_count": "points", "excluded_grid_point_count": "excluded"}
+    return _told(spark, r, named | {f"achieved_{k}/{a}": f"{k}_{a}" for k in ("minimum", "maximum") for a in _SPANS})
+
+
+def d3_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = evaluate_d3(lines(spark, sf_dir), lines_bundle(), spark)
+    named = {"samples_used": "samples", "design_matrix_rank": "rank", "sensitivity_matrix_rank": "sensitivity_rank", "condition_number": "condition"}
+    return _told(spark, r, named | {f"normalized_achieved_{k}/{a}": f"{k}_{a}" for k in ("minimum", "maximum") for a in _SPANS})
+
+
+_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def clean_events(spark: SparkSession, sf_dir: str) -> Observations:
+    df = _table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.col("event_id").cast("double").alias("t"), (F.col("value") * 0.5 + 1.0).alias("force"))
+    return bound(df, "events", ["event_id"])
+
+
+def clean_bundle() -> TaskBundle:
+    """Event types as runs; ``view`` shares its acquisition with ``signup``, and one run is declared that is never seen."""
+    evidence = [{"run_id": r, "acquisition_id": "signup" if r == "view" else r, "separate_acquisition": True, "initialization_completed": True, "zeroing_completed": True} for r in (*_TYPES, "refund")]
+    task = {
+        "task_id": "clean",
+        "dataset_mapping": {"sensor_timestamp_column": "t", "reference_timestamp_column": "t", "run_id_column": "event_type", "sensor_channels": {"v": "value"}, "reference_channels": {"F": "force"}},
+        "d1": {"maximum_reference_uncertainty": {"F": 0.1}, **_D1},
+        "d4": {
+            "dependence_method_id": "lags", "stationarity_reviewed": True, "minimum_independent_runs": 5, "minimum_runs_per_configuration": {}, "minimum_effective_sample_size": 1e9,
+            "signals": [{"source": "sensor", "channel": "v", "maximum_autocorrelation_lag": 2}, {"source": "reference", "channel": "F", "maximum_autocorrelation_lag": 1}],
+            "initialization_procedure_id": "i", "zeroing_procedure_id": "z", "run_evidence": evidence,
+        },
+    }
+    wide = {"valid_min": -1e6, "valid_max": 1e6}
+    return _bundle(task, {"v": {"unit": "u", **wide}}, {"F": {"unit": "N", "expanded_uncertainty": 0.05, **wide}}, {"reference_to_sensor_rotation": [[1.0]]})
+
+
+def d4_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = evaluate_d4(clean_events(spark, sf_dir), clean_bundle(), spark)
+    named = {"rows_evaluated": "rows", "observed_run_count": "runs", "verified_independent_run_count": "verified", "effective_sample_sizes/sensor.v": "ess_v", "effective_sample_sizes/reference.F": "ess_F", "limiting_signal": "limiting"}
+    return _told(spark, r, named | {f"signals/sensor.v/per_run/{t}/effective_sample_size": f"ess_{t}" for t in _TYPES[:-1]})
+
+
+def d5_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = evaluate_d5(lines(spark, sf_dir), revenue_bundle(), spark)
+    named = {"development_sample_count": "development", "test_sample_count": "test", "development_design_rank": "rank", "test_rmse/revenue": "rmse", "observed_unit_count": "units", "split_manifest_sha256": "split"}
+    return _told(spark, r, named)
+
+
+def d6_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = evaluate_d6(lines(spark, sf_dir), revenue_bundle(), spark)
+    axis, region = "axes/revenue", "regions/large/axes/revenue"
+    named = {f"{axis}/rmse_estimate": "rmse", f"{axis}/confidence_interval/lower": "low", f"{axis}/confidence_interval/upper": "high", f"{region}/rmse_estimate": "region_rmse", f"{region}/confidence_interval/lower": "region_low", f"{region}/confidence_interval/upper": "region_high"}
+    return _told(spark, r, named | {"calibration_acceptance_status": "acceptance", "test_sample_count": "test"})
+
+
+def _scenario(criterion: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return scenarios.outcomes(spark, criterion)
+
+    query.__name__ = f"{criterion.lower()}_scenarios"
+    query.__doc__ = f"What {criterion} says of each of its scenarios (made-up tasks with one fault each)."
+    return query
+
+
+def d7_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenarios.provenance_outcomes(spark)
+
+
+def register_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenarios.register_outcomes(spark)
+
+
+def _status_items(status: str, items: dict[str, str]) -> str:
+    """SQL of rows like those of ``_told``: a status, and numbers by item (``'...'``: words)."""
+    parts = [f"SELECT 'status' AS item, {status} AS word, CAST(NULL AS DOUBLE) AS number"]
+    for k, e in items.items():
+        parts.append(f"SELECT '{k}', {e}, NULL" if e.startswith(("'", "(SELECT word", "sha256")) else f"SELECT '{k}', NULL, round(CAST({e} AS DOUBLE), 4)")
+    return " UNION ALL ".join(parts)
+
+
+#: Largest and smallest eigenvalue of the design's cross-products, by power iteration (of the matrix, and of what the
+#: largest leaves of it); m holds the ten entries.
+_POWER = """
+m AS (SELECT {entries} FROM lineitem),
+big AS (WITH RECURSIVE p(k, a, b, c, d, l) AS (SELECT 0, CAST(1 AS DOUBLE), CAST(0.9 AS DOUBLE), CAST(0.8 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL
+  SELECT k + 1, u / s, v / s, w / s, x / s, s FROM (SELECT k, u, v, w, x, sqrt(u * u + v * v + w * w + x * x) AS s FROM
+    (SELECT k, g00 * a + g01 * b + g02 * c + g03 * d AS u, g01 * a + g11 * b + g12 * c + g13 * d AS v, g02 * a + g12 * b + g22 * c + g23 * d AS w, g03 * a + g13 * b + g23 * c + g33 * d AS x FROM p, m WHERE k < {steps})))
+  SELECT l FROM p ORDER BY k DESC LIMIT 1),
+small AS (WITH RECURSIVE p(k, a, b, c, d, l) AS (SELECT 0, CAST(1 AS DOUBLE), CAST(0.9 AS DOUBLE), CAST(0.8 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL
+  SELECT k + 1, u / s, v / s, w / s, x / s, s FROM (SELECT k, u, v, w, x, sqrt(u * u + v * v + w * w + x * x) AS s FROM
+    (SELECT k, (t.l - g00) * a - g01 * b - g02 * c - g03 * d AS u, (t.l - g11) * b - g01 * a - g12 * c - g13 * d AS v, (t.l - g22) * c - g02 * a - g12 * b - g23 * d AS w, (t.l - g33) * d - g03 * a - g13 * b - g23 * c AS x FROM p, m, big t WHERE k < {steps})))
+  SELECT (SELECT l FROM big) - l AS l FROM p ORDER BY k DESC LIMIT 1)
+"""
+_D = "INDETERMINATE"
+#: What each scenario must give: case, status, codes with counts, what is missing.
+_EXPECTED = {
+    "D0": [
+        ("complete", "PASS", "", ""), ("bare", _D, "", "task.claim,task.d2,task.d3,task.d6,task.d4,task.d5"), ("model_family", "FAIL", "model_family_mismatch:1", ""),
+        ("inputs", "FAIL", "sensor_input_mismatch:1", ""), ("outputs", "FAIL", "reference_output_mismatch:1", ""), ("domain", "FAIL", "operating_domain_mismatch:1", ""),
+        ("conditions", "FAIL", "operating_condition_mismatch:1", ""), ("metrics", "FAIL", "performance_requirement_mismatch:1", ""),
+        ("unit_open", _D, "", "task.claim.generalization.independent_unit"), ("axis_open", _D, "", "task.d2.domain.Fy.maximum"),
+    ],
+    "D1": [
+        ("good", "PASS", "", ""), ("late", "FAIL", "non_monotonic_timestamp:1,synchronization_exceeded:1", ""), ("high", "FAIL", "measurement_out_of_range:1", ""),
+        ("back", "FAIL", "non_monotonic_timestamp:1,synchronization_exceeded:1", ""), ("nan", "FAIL", "invalid_numeric_value:1", ""), ("no_run", "FAIL", "invalid_run_id:1", ""),
+        ("no_column", "FAIL", "missing_required_column:1", ""), ("policy_open", _D, "", "task.d1.invalid_observation_policy_id"), ("unreviewed", "FAIL", "exclusions_not_reviewed:1", ""),
+        ("uncertain", "FAIL", "reference_uncertainty_exceeded:1", ""), ("mirrored", "FAIL", "invalid_coordinate_rotation:1", ""), ("unknown", "FAIL", "unknown_sensor_channel:1", ""),
+    ],
+    "D2": [
+        ("grid", "PASS", "", ""), ("centre", "FAIL", "fill_distance_exceeded:1", ""), ("gate", _D, "", "prerequisite.D1_PASS"), ("too_many", _D, "", "task.d2.grid_within_software_limit"),
+        ("regions_open", _D, "", "task.d2.excluded_regions"), ("region_unknown", "FAIL", "unknown_exclusion_dimension:1", ""), ("condition_gone", "FAIL", "missing_condition_column:1", ""),
+    ],
+    "D3": [
+        ("full_rank", "PASS", "", ""), ("same_inputs", "FAIL", "condition_number_exceeded:1,rank_deficient:1", ""), ("strict", "FAIL", "condition_number_exceeded:1", ""),
+        ("two_outputs", "FAIL", "output_dimension_mismatch:1", ""), ("test_open", _D, "", "task.d3.model_specific_test_id"),
+    ],
+    "D4": [
+        ("four", "PASS", "", ""), ("five_asked", "FAIL", "minimum_independent_runs_not_met:1", ""), ("spirals_asked", "FAIL", "minimum_configuration_runs_not_met:1", ""),
+        ("ess_asked", "FAIL", "minimum_effective_sample_size_not_met:1", ""), ("drifting", "FAIL", "stationarity_not_supported:1", ""),
+        ("shared_acquisition", "FAIL", "duplicate_acquisition_id:1,minimum_configuration_runs_not_met:1,minimum_effective_sample_size_not_met:1,minimum_independent_runs_not_met:1", ""),
+        ("evidence_open", _D, "", "task.d4.run_evidence.lissajous_02"), ("two_configurations", "FAIL", "multiple_configurations_per_run:1", ""), ("flat", "FAIL", "autocorrelation_undefined_constant_signal:1", ""),
+    ],
+    "D5": [
+        ("split", "PASS", "", ""), ("overlap", "FAIL", "development_test_unit_overlap:1", ""), ("no_test", "FAIL", "empty_test_partition:1,minimum_test_units_not_met:1,observed_unit_not_partitioned:1", ""),
+        ("unseen", "FAIL", "declared_unit_not_observed:1", ""), ("unassigned", "FAIL", "observed_unit_not_partitioned:1", ""), ("not_frozen", "FAIL", "split_not_frozen_before_development:1", ""),
+        ("leak", "FAIL", "test_data_used_during_development:1", ""), ("fed_back", "FAIL", "test_results_fed_back_into_development:1", ""),
+    ],
+    "D6": [
+        ("precise", "PASS", "", ""), ("too_wide", "FAIL", "metric_interval_too_wide:1", ""), ("few_units", "FAIL", "insufficient_independent_test_units_for_bootstrap:1", ""),
+        ("thin_region", "FAIL", "insufficient_regional_test_units:1", ""), ("axes", "FAIL", "performance_axis_mismatch:1", ""),
+    ],
+    "D7": [
+        ("as_recorded", "PASS", "", ""), ("package", "FAIL", "evidence_package_id_mismatch:1", ""), ("not_listed", "FAIL", "active_input_not_manifested:1", ""),
+        ("other_role", "FAIL", "active_input_role_mismatch:1", ""), ("seed", "FAIL", "random_seed_mismatch:1", ""), ("seed_open", _D, "", "evidence.random_seeds.d6.bootstrap"),
+        ("result_open", _D, "", "evidence.criterion_results.D0"), ("edited", "FAIL", "evidence_hash_mismatch:1", ""), ("other_result", "FAIL", "criterion_result_not_reproduced:1", ""),
+        ("no_json", "FAIL", "criterion_result_unreadable:1", ""), ("gone", "FAIL", "criterion_result_unreadable:1,evidence_file_missing:1", ""), ("no_manifest", _D, "", "task.d7.evidence_manifest_path"),
+    ],
+}
+_REGISTERS = [
+    ("aligned", True, True, True, 6, "", "", 3, 2), ("other_order", True, False, True, 6, "", "", 3, 2), ("short", False, False, True, 6, "task.d5", "", 3, 2),
+    ("settled", False, False, True, 6, "", "task.old", 4, 3), ("other_task", False, True, False, 6, "", "", 3, 2), ("other_count", False, True, True, 6, "", "", 3, 2),
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         d1_violations_by_code, d1_row_summary, d1_first_violations, d1_monotonic_lastfinite, d2_fill_distance_by_stratum, d2_worst_point, d2_support_counts,
         d2_achieved_extent, d2_rotated_extent, d2_excluded_grid, d3_normalized_extent, d3_gram_check, d3_rank_condition, d4_run_counts, d4_config_conflicts,
         d4_evidence_outer, d4_acquisition_owner, d4_autocorrelation, d4_ess_by_signal, d4_limiting_signal, d5_partition_audit, d5_split_digest,
         d5_ols_coefficients, d5_test_rmse, d6_run_stats, d6_bootstrap_rmse, d6_bootstrap_ci, d6_region_support, d6_region_ci, d7_manifest_audit,
-        register_audit_counts, overall_rollup, assessment_rows,
+        register_audit_counts, overall_rollup, assessment_rows, d1_evaluation, csv_evaluation, d2_evaluation, d3_evaluation, d4_evaluation, d5_evaluation,
+        d6_evaluation, *map(_scenario, ("D0", "D1", "D2", "D3", "D4", "D5", "D6")), d7_scenarios, register_scenarios,
     ]
     return {f.__name__: f for f in named}
 
@@ -507,7 +692,36 @@ def oracle_sql() -> dict[str, str]:
     columns = {k: c for k, (c, *_) in _SPANS.items()}
     d5 = revenue_bundle().task.d5
     canonical = '{"development_units":["' + '","'.join(sorted(d5.development_units)) + '"],"test_units":["' + '","'.join(sorted(d5.test_units)) + '"],"validation_unit":"run"}'
-    return {
+    entries = ", ".join(f"sum({design[i]} * {design[j]}) AS g{i}{j}" for i in range(4) for j in range(i, 4)) + ", count(*) AS n"
+    power = _POWER.format(entries=entries, steps=600)
+    coded = lambda rows: "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + ') t("case", status, codes, missing)'
+    first = "(SELECT event_id, seq FROM v ORDER BY event_id, seq LIMIT 50)"
+    place = f"(SELECT count(*) + 1 FROM e WHERE event_id <= (SELECT max(event_id) FROM {first}))"
+    d1 = f"WITH {_EVENTS} " + _status_items("'FAIL'", {"rows": "(SELECT count(*) FROM e)", "invalid": "(SELECT count(DISTINCT event_id) FROM v)", "offset": "(SELECT max(abs(s - r)) FROM e)", "total": "(SELECT count(*) FROM v)", "n_listed": f"(SELECT count(*) FROM {first})", "last_listed_row": place}) + " UNION ALL SELECT 'code:' || code, NULL, CAST(count(*) AS DOUBLE) FROM v GROUP BY code"
+    evaluated = {"d1_evaluation": d1, "csv_evaluation": d1} | {f"{c.lower()}_scenarios": coded(rows) for c, rows in _EXPECTED.items()}
+    cover = {
+        "samples": "(SELECT count(*) FROM lineitem)", "inside": "(SELECT count(*) FILTER (i) FROM c)", "outside": "(SELECT count(*) FILTER (NOT i) FROM c)", "fill_distance": "(SELECT max(h) FROM k)",
+        "points": "(SELECT sum(n_evaluated) FROM k)", "excluded": "(SELECT sum(n_excluded) FROM k)",
+        **{f"{f}imum_{k}": f"(SELECT {f}({c}) FROM lineitem)" for k, c in columns.items() for f in ("min", "max")},
+    }
+    evaluated["d2_evaluation"] = f"WITH {_GRID}, k AS (SELECT layer, count(*) FILTER (NOT (q <= 15 AND status = 'O')) AS n_evaluated, count(*) FILTER (q <= 15 AND status = 'O') AS n_excluded, max(coalesce(d, 'Infinity'::DOUBLE)) FILTER (NOT (q <= 15 AND status = 'O')) AS h FROM d GROUP BY layer), c AS (SELECT l_returnflag IN ('A', 'N', 'R') AND l_linestatus IN ('F', 'O') AND (l_quantity - 1.0) / 49.0 BETWEEN 0 AND 1 AND l_discount / CAST(0.1 AS DOUBLE) BETWEEN 0 AND 1 AND l_tax / CAST(0.08 AS DOUBLE) BETWEEN 0 AND 1 AS i FROM lineitem) " + _status_items("(SELECT CASE WHEN max(h) <= 0.2 THEN 'PASS' ELSE 'FAIL' END FROM k)", cover) + " UNION ALL SELECT 'code:fill_distance_exceeded', NULL, CAST(1 AS DOUBLE) FROM k HAVING max(h) > 0.2"
+    rank = "(SELECT CASE WHEN (SELECT l FROM small) > 1e-10 * (SELECT l FROM big) THEN 4 END)"
+    condition = "(SELECT sqrt((SELECT l FROM big) / (SELECT l FROM small)))"
+    identified = {"samples": "(SELECT n FROM m)", "rank": rank, "sensitivity_rank": f"3 * {rank}", "condition": condition, **{f"{f}imum_{k}": f"(SELECT {f}({e}) FROM lineitem)" for k, e in z.items() for f in ("min", "max")}}
+    evaluated["d3_evaluation"] = f"WITH {power} " + _status_items(f"(SELECT CASE WHEN {condition} <= 5 THEN 'PASS' ELSE 'FAIL' END)", identified) + f" UNION ALL SELECT 'code:condition_number_exceeded', NULL, CAST(1 AS DOUBLE) WHERE {condition} > 5"
+    lags = "a AS (SELECT event_type AS run, event_id, value - avg(value) OVER (PARTITION BY event_type) AS a FROM events), k AS (SELECT *, lag(a) OVER o AS a1, lag(a, 2) OVER o AS a2 FROM a WINDOW o AS (PARTITION BY run ORDER BY event_id)), g AS (SELECT run, count(*) / (1 + 2 * (sum(a * a1) + sum(a * a2)) / sum(a * a)) AS v, count(*) / (1 + 2 * sum(a * a1) / sum(a * a)) AS f FROM k GROUP BY run), s AS (SELECT sum(v) AS v, sum(f) AS f FROM g WHERE run <> 'view')"
+    repeated = {"rows": "(SELECT count(*) FROM events)", "runs": "(SELECT count(DISTINCT event_type) FROM events)", "verified": "(SELECT count(DISTINCT event_type) - 1 FROM events)", "ess_v": "(SELECT v FROM s)", "ess_F": "(SELECT f FROM s)", "limiting": "(SELECT word FROM (SELECT CASE WHEN v <= f THEN 'sensor.v' ELSE 'reference.F' END AS word FROM s))", **{f"ess_{t}": f"(SELECT v FROM g WHERE run = '{t}')" for t in _TYPES[:-1]}, **{f"code:{c}": "1" for c in ("declared_run_not_observed", "duplicate_acquisition_id", "minimum_effective_sample_size_not_met", "minimum_independent_runs_not_met")}}
+    evaluated["d4_evaluation"] = f"WITH {lags} " + _status_items("'FAIL'", repeated)
+    held = {"development": "(SELECT count(*) FROM t)", "test": "(SELECT count(*) FROM h)", "rank": "4", "rmse": "(SELECT sqrt(avg(err * err)) FROM h)", "units": "(SELECT count(DISTINCT unit) FROM l)", "split": f"sha256('{canonical}')"}
+    evaluated["d5_evaluation"] = f"WITH {_OLS} " + _status_items("'PASS'", held)
+    spans = f"b0 AS (SELECT * FROM ({{}})), {_drawn(SEED).replace('b AS', 'b1 AS')}, {_drawn(SEED + 1).replace('b AS', 'b2 AS')}, r1 AS (SELECT sqrt(sum(q) / sum(n)) AS e FROM b1 JOIN r ON r.unit = b1.unit GROUP BY repetition), r2 AS (SELECT sqrt(sum(z) / sum(m)) AS e FROM b2 JOIN r ON r.unit = b2.unit GROUP BY repetition)".removeprefix("b0 AS (SELECT * FROM ({})), ")
+    performed = {"rmse": "(SELECT sqrt(sum(q) / sum(n)) FROM r)", "low": "(SELECT quantile_cont(e, 0.05) FROM r1)", "high": "(SELECT quantile_cont(e, 0.95) FROM r1)", "region_rmse": "(SELECT sqrt(sum(z) / sum(m)) FROM r)", "region_low": "(SELECT quantile_cont(e, 0.05) FROM r2)", "region_high": "(SELECT quantile_cont(e, 0.95) FROM r2)", "acceptance": "'PASS'", "test": "(SELECT count(*) FROM h)"}
+    evaluated["d6_evaluation"] = f"WITH {_OLS}, {spans} " + _status_items("'PASS'", performed)
+    evaluated["d3_rank_condition"] = f"WITH {power} SELECT n AS n_rows, CAST({rank} AS INTEGER) AS design_rank, round({condition}, 6) AS condition_number FROM m"
+    told = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in _REGISTERS)
+    evaluated["register_scenarios"] = f'SELECT * FROM (VALUES {told}) t("case", aligned, order_matches, task_id_matches, n_missing, unlisted, settled, n_first_class, n_first_stage)'
+    evaluated["assessment_rows"] = "SELECT * FROM (VALUES " + ", ".join(f"('D{i}', '{'NOT_APPLICABLE' if i == 7 else 'PASS'}', 0, 0)" for i in range(8)) + ") t(criterion_id, status, n_missing, n_violations)"
+    return evaluated | {
         "d1_violations_by_code": f"WITH {_EVENTS} SELECT code, count(*) AS n_violations FROM v GROUP BY code",
         "d1_row_summary": f"WITH {_EVENTS} SELECT (SELECT count(*) FROM e) AS n_rows, (SELECT count(DISTINCT event_id) FROM v) AS n_invalid, (SELECT round(max(abs(s - r)), 6) FROM e) AS max_offset_s",
         "d1_first_violations": f"WITH {_EVENTS} SELECT event_id, CAST(seq AS INTEGER) AS seq, code FROM v ORDER BY event_id, seq LIMIT 50",

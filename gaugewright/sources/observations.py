@@ -18,6 +18,7 @@ from pathlib import Path
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from ..functions.columns import parsed, quoted, stripped
 
@@ -118,12 +119,14 @@ def read(spark: SparkSession, path: str | os.PathLike, multiline: bool = True) -
 
 
 def bound(df: DataFrame, label: str = "dataframe", order: list[str] | None = None, files: bool = False) -> Observations:
-    """A DataFrame as observations. ``order``: columns that order its rows; without them, the order they are read in."""
+    """A DataFrame as observations. ``order``: columns that order its rows, of which the first also deals them to blocks;
+    without them, the order they are read in, which holds only as long as the DataFrame is read alike each time (as from
+    files; not behind a shuffle)."""
     kinds = {n: "string" if k == "string" else k for n, k in df.dtypes}
     names = df.columns
     if order:
-        first = quoted(order[0]) if len(order) == 1 else F.struct(*[quoted(c) for c in order])
-        rows = df.withColumns({FILE: F.lit(""), BLOCK: F.lit(0).cast("long"), PLACE: first})
+        place = quoted(order[0]) if len(order) == 1 else F.struct(*[quoted(c) for c in order])
+        rows = df.withColumns({FILE: F.lit(""), BLOCK: block_of(df, order[0]), PLACE: place})
     elif files:
         rows = _ordered(df)
     else:
@@ -131,6 +134,38 @@ def bound(df: DataFrame, label: str = "dataframe", order: list[str] | None = Non
     return Observations(df.sparkSession, label, names, rows, {n: n for n in names}, kinds, counted=not order)
 
 
+def block_of(df: DataFrame, column: str) -> Column:
+    """The block of a row by its place in the order: ranges of the first ordering column with about as many rows each.
+
+    Borders are chosen once, as the column's approximate quantiles, and are part of the plan, so every reading deals alike;
+    where they lie changes no result. Rows with the same value share a block; columns that are no numbers, times or texts
+    make one block.
+    """
+    blocks = min(1024, max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    kind = df.schema[column].dataType
+    if isinstance(kind, StringType):  # texts: borders from a sample by hash
+        n = df.count()
+        some = df.select(quoted(column).alias("v")).where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 16 * blocks / max(n, 1))) + 1)
+        values = sorted(r["v"] for r in some.where("v IS NOT NULL").limit(64 * blocks).collect())
+        ends = [values[i * len(values) // blocks] for i in range(1, blocks)] if values else []
+        value = quoted(column)
+    elif isinstance(kind, NumericType | DateType | TimestampType | TimestampNTZType):
+        value = quoted(column) if isinstance(kind, NumericType) else F.unix_date(quoted(column)) if isinstance(kind, DateType) else F.unix_micros(quoted(column).cast("timestamp"))
+        ends = df.agg(F.percentile_approx(value.cast("double"), F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 4 * blocks)).first()[0] or []
+        value = value.cast("double")
+    else:
+        return F.lit(0).cast("long")
+    ends = sorted({e for e in ends if e == e})
+
+    def between(low: int, high: int) -> Column:  # by halves: as many comparisons a row as the number of blocks has bits
+        if low == high:
+            return F.lit(low).cast("long")
+        middle = (low + high) // 2
+        return F.when(value < F.lit(ends[middle]), between(low, middle)).otherwise(between(middle + 1, high))
+
+    return F.when(value.isNull(), F.lit(-1).cast("long")).otherwise(between(0, len(ends)))
+
+
 def previous(rows: DataFrame, values: dict[str, str], scopes: list[str]) -> DataFrame:
     """Adds columns (by name: of which value) with the last non-null value before each row within its scope.
 

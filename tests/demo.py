@@ -1,140 +1,4 @@
-"""Small synthetic calibration tasks, written to a folder and changed by the tests."""
+"""The small synthetic calibration tasks, under the name that the tests use."""
 
-from __future__ import annotations
-
-import copy
-import csv
-import itertools
-import math
-from pathlib import Path
-
-import yaml
-
-AXES = ("Fx", "Fy", "Fz")
-INPUTS = ("c1", "c2", "c3")
-
-SENSOR = {"instrument_id": "made_up_sensor", "kind": "sensor", "channels": {c: {"unit": "count", "valid_min": -10.0, "valid_max": 10.0} for c in INPUTS}}
-REFERENCE = {
-    "instrument_id": "made_up_reference", "kind": "reference", "calibration_certificate_id": "certificate-1",
-    "channels": {a: {"unit": "N", "valid_min": -20.0, "valid_max": 20.0, "expanded_uncertainty": 0.02} for a in AXES},
-}
-SETUP = {
-    "setup_id": "made_up_rig", "maximum_time_offset_s": 0.002, "sensor_acquisition_bandwidth_hz": 100.0, "reference_acquisition_bandwidth_hz": 100.0,
-    "sampling_process_id": "paired-sampling", "reference_to_sensor_rotation": [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]],
-}
-TASK = {
-    "task_id": "made_up_task",
-    "profiles": {"sensor": "sensor.yaml", "reference": "reference.yaml", "setup": "setup.yaml"},
-    "dataset_mapping": {
-        "sensor_timestamp_column": "sensor_time_s", "reference_timestamp_column": "reference_time_s",
-        "sensor_channels": {c: c for c in INPUTS}, "reference_channels": {a: f"{a}_ref" for a in AXES},
-    },
-    "d1": {
-        "maximum_reference_uncertainty": dict.fromkeys(AXES, 0.05), "invalid_observation_policy_id": "keep-valid", "exclusion_record_id": "none-excluded",
-        "exclusions_reviewed": True,
-    },
-}
-D2 = {
-    "axes": list(AXES), "domain": {a: {"minimum": -1.0, "maximum": 1.0, "grid_points": 3} for a in AXES}, "conditions": {},
-    "excluded_regions": [], "maximum_fill_distance": 0.1,
-}
-D3 = {
-    "model_type": "affine", "input_channels": list(INPUTS), "output_dimension": 3, "normalization": {c: {"minimum": -1.0, "maximum": 1.0} for c in INPUTS},
-    "relative_rank_tolerance": 1e-12, "maximum_condition_number": 2.0, "model_specific_test_id": "design-rank", "confounding_review_id": "review-1",
-    "condition_handling": "held_fixed",
-}
-RUNS4 = ("spiral_01", "spiral_02", "lissajous_01", "lissajous_02")
-D4 = {
-    "dependence_method_id": "lagged-sums", "stationarity_reviewed": True,
-    "signals": [{"source": "sensor", "channel": c, "maximum_autocorrelation_lag": 1} for c in INPUTS] + [{"source": "reference", "channel": a, "maximum_autocorrelation_lag": 1} for a in AXES],
-    "minimum_independent_runs": 4, "minimum_runs_per_configuration": {"spiral": 2, "lissajous": 2}, "minimum_effective_sample_size": 12.0,
-    "initialization_procedure_id": "start-1", "zeroing_procedure_id": "zero-1",
-    "run_evidence": [{"run_id": r, "acquisition_id": f"acquisition_{i}", "separate_acquisition": True, "initialization_completed": True, "zeroing_completed": True} for i, r in enumerate(RUNS4)],
-}
-DEVELOPMENT = ["development_01", "development_02", "development_03"]
-D5 = {
-    "validation_unit": "run", "model_source": "task.d3", "development_units": DEVELOPMENT, "test_units": ["test_01"], "minimum_test_units": 1,
-    "split_manifest_id": "split-1", "split_frozen_before_development": True, "development_selection_method_id": "fixed",
-    "data_use": {
-        "data_dependent_preprocessing": "development_only", "model_selection": "development_only", "parameter_estimation": "development_only",
-        "performance_threshold_selection": "development_only", "final_performance_evaluation": "test_only",
-        "model_locked_before_test_evaluation": True, "test_results_used_for_further_development": False,
-    },
-}
-_NEED = {"maximum_interval_half_width": 0.05, "maximum_rmse": 0.1}
-D6 = {
-    "metric": "rmse", "confidence_level": 0.95, "bootstrap_repetitions": 500, "bootstrap_random_seed": 7, "bootstrap_unit": "run", "minimum_bootstrap_units": 4,
-    "uncertainty_method_id": "combined-1", "axes": {a: _NEED | {"calibrated_force_uncertainty": 0.03, "maximum_calibrated_force_uncertainty": 0.05} for a in AXES},
-    "regions": [{"region_id": "positive_x", "dimensions": {"Fx": {"minimum": 0.0}}, "minimum_bootstrap_units": 4, "axes": {a: dict(_NEED) for a in AXES}}],
-}
-CLAIM = {
-    "sensor_inputs": list(INPUTS), "reference_outputs": list(AXES), "operating_domain": list(AXES), "operating_conditions": [], "model_family": "affine",
-    "performance_metrics": ["rmse", "calibrated_force_uncertainty"],
-    "generalization": {"target_description": "later runs", "independent_unit": "run", "sensor_scope": "same_sensor", "operating_conditions": []},
-}
-
-
-def circle(k: int) -> tuple[float, float, float]:
-    a = 2 * math.pi * k / 8
-    return round(math.cos(a), 10), round(math.sin(a) * math.sqrt(0.75) if k % 2 else math.sin(a), 10), round(math.sin(a), 10)
-
-
-def row(t: float, c, f, **more) -> dict:
-    return {"sensor_time_s": t, "reference_time_s": round(t + 0.001, 6)} | dict(zip(INPUTS, c, strict=True)) | dict(zip([f"{a}_ref" for a in AXES], f, strict=True)) | more
-
-
-def three_rows() -> list[dict]:
-    return [row(i * 0.01, (0.1 * i, 0.2, 0.3), (1.0, 2.0 * i, 3.0)) for i in range(3)]
-
-
-def factorial() -> list[dict]:
-    return [row(i * 0.01, p, p) for i, p in enumerate(itertools.product((-1.0, 0.0, 1.0), repeat=3))]
-
-
-def octagon(run: str, **more) -> list[dict]:
-    out = []
-    for k in range(8):
-        a = 2 * math.pi * k / 8
-        p = (math.cos(a), math.cos(2 * a) + 0.25 * math.sin(a), math.sin(a))
-        out.append(row(k * 0.01, p, p, run_id=run) | more)
-    return out
-
-
-def four_runs() -> list[dict]:
-    return [r for run in RUNS4 for r in octagon(run, configuration_id=run.split("_")[0])]
-
-
-def split_runs(tests: int = 1, shift: float = 0.0) -> list[dict]:
-    rows = [r for run in DEVELOPMENT for r in octagon(run)]
-    for t in range(1, tests + 1):
-        for r in octagon(f"test_{t:02d}"):
-            rows.append(r | {f"{a}_ref": r[f"{a}_ref"] + shift * (t + i) for i, a in enumerate(AXES)})
-    return rows
-
-
-def task(**blocks) -> dict:
-    out = copy.deepcopy(TASK)
-    for k, v in blocks.items():
-        out[k] = copy.deepcopy(v)
-    if any(k in blocks for k in ("d4", "d5", "d6")):
-        out["dataset_mapping"]["run_id_column"] = "run_id"
-    if "d4" in blocks:
-        out["dataset_mapping"]["configuration_id_column"] = "configuration_id"
-    return out
-
-
-def complete() -> dict:
-    out = task(d2=D2, d3=D3, d4=D4, d5=D5, d6=D6, claim=CLAIM)
-    out["d5"]["test_units"] = [f"test_{t:02d}" for t in range(1, 5)]
-    return out
-
-
-def write(folder: Path, rows: list[dict], declared: dict, sensor=SENSOR, reference=REFERENCE, setup=SETUP) -> tuple[Path, Path]:
-    """(dataset, task) paths."""
-    for name, document in (("sensor", sensor), ("reference", reference), ("setup", setup), ("task", declared)):
-        (folder / f"{name}.yaml").write_text(yaml.safe_dump(document))
-    with (folder / "data.csv").open("w", newline="") as f:
-        w = csv.DictWriter(f, list(rows[0]))
-        w.writeheader()
-        w.writerows(rows)
-    return folder / "data.csv", folder / "task.yaml"
+from gaugewright.plans.scenarios import *  # noqa: F403
+from gaugewright.plans.scenarios import CLAIM, D2, D3, D4, D5, D6  # noqa: F401
