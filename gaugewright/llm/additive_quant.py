@@ -8,10 +8,14 @@ the exact cosine of the original vectors.
 
 The queries are a stated set against all rows: they are taken in blocks of bounded size, each block is sent to the tasks
 that hold the codes, and every task hands on the best few of each query, so what moves is (queries x tasks x few) rows.
-
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
-length differs from that of the most; ties in the exact cosine go to the smaller id; equal vectors are each a row; fewer
-candidates than asked for are all returned; an empty table gives no rows; other columns are ignored.
+These are merged in a tree of steps, so no task gets more than FAN tasks' best of a query.
+
+A row is told by its id and a hash of its vector: a query leaves out its own row only. Defined results: vectors that are
+null, zero, or hold null or non-finite components take no part, nor do those whose length differs from that of the most;
+ties in the exact cosine go to the smaller id; equal vectors under different ids are each a row; exact repeats of a row
+(id and vector) count once; rows with one id and different vectors are each a row, and as queries each has its own ranks;
+fewer candidates than asked for are all returned; an empty table gives no rows; other columns, also ones named like the
+result's, are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ RERANK = 200
 #: Queries that are sent to the tasks together.
 BLOCK = 2048
 _ROWS = 8192
+#: Tasks whose best of a query are merged in one step.
+FAN = 64
 
 
 def fit(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, rounds: int = 5, seed: int = 7) -> np.ndarray:
@@ -114,36 +120,48 @@ def _encoder(box, size: int):
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 codes, norms = encode(_unit(_matrix(part.column(1), size)), books)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], ["vec_id", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], ["vec_id", "mark", "codes", "norm"])
 
     return run
 
 
 def _scorer(books_box, block_box, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, (ids, queries) = books_box.value, block_box.value
+        books, (ids, marks, queries) = books_box.value, block_box.value
         best_score = np.full((len(ids), 0), 0, np.float32)
-        best_id = np.zeros((len(ids), 0), np.int64)
+        best_id = best_mark = np.zeros((len(ids), 0), np.int64)
         for b in batches:
             for at in range(0, b.num_rows, _ROWS):
                 part = b.slice(at, _ROWS)
-                vec = part.column(0).to_numpy()
-                codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(vec), -1)
-                score = looked_up(queries, books, codes, part.column(2).to_numpy())
-                score[ids[:, None] == vec[None, :]] = -np.inf
+                vec, mark = part.column(0).to_numpy(), part.column(1).to_numpy()
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(vec), -1)
+                score = looked_up(queries, books, codes, part.column(3).to_numpy())
+                score[(ids[:, None] == vec[None, :]) & (marks[:, None] == mark[None, :])] = -np.inf
                 score = np.concatenate([best_score, score], 1)
                 every = np.concatenate([best_id, np.broadcast_to(vec, (len(ids), len(vec)))], 1)
+                marked = np.concatenate([best_mark, np.broadcast_to(mark, (len(ids), len(vec)))], 1)
                 if score.shape[1] > keep:
                     order = np.lexsort((every, -score), axis=1)[:, :keep] if score.shape[1] <= 4 * keep else _best(score, every, keep)
-                    score, every = np.take_along_axis(score, order, 1), np.take_along_axis(every, order, 1)
-                best_score, best_id = score, every
+                    score, every, marked = (np.take_along_axis(x, order, 1) for x in (score, every, marked))
+                best_score, best_id, best_mark = score, every, marked
         ok = np.isfinite(best_score)
-        rows = np.nonzero(ok)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[rows[0]]), pa.array(best_id[ok]), pa.array(best_score[ok])], ["query_id", "vec_id", "approx"])
+        rows = np.nonzero(ok)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(marks[rows]), pa.array(best_id[ok]), pa.array(best_mark[ok]), pa.array(best_score[ok])], ["query_id", "query_mark", "vec_id", "mark", "approx"])
 
     return run
 
 
+def _merged(near: DataFrame, keep: int, parts: int) -> DataFrame:
+    """The ``keep`` best candidates of each query, from those of ``parts`` tasks (column part)."""
+    while True:
+        parts = -(-parts // FAN)
+        best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("approx")).alias("a"), "vec_id", "mark"))), 1, keep)
+        near = near.groupBy("query_id", "query_mark", F.pmod("part", F.lit(parts)).alias("part")).agg(best.alias("c"))
+        near = near.select("query_id", "query_mark", "part", F.explode("c").alias("c")).select("query_id", "query_mark", "part", "c.vec_id", "c.mark", (-F.col("c.a")).alias("approx"))
+        if parts == 1:
+            return near.select("query_id", "query_mark", "vec_id", "mark")
+
+
 def _best(score: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
     """Columns of the ``keep`` largest scores of each row, ties to the smaller id."""
     out = np.empty((len(score), keep), np.int64)
@@ -163,7 +181,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id
     if not sizes or not sizes[0]:
         return empty
     size = sizes[0]
-    rows = slim.where(valid(F.col("v"), size))
+    rows = slim.where(valid(F.col("v"), size)).withColumn("mark", F.xxhash64("v"))
     n = rows.count()
     if n < 2:
         return empty
@@ -173,8 +191,10 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id
         return empty
     books = fit(_unit(fitted_on))
     box = spark.sparkContext.broadcast(books)  # codebooks of fixed size
-    codes, _ = written(mapped(rows.select("vec_id", "v"), _encoder(box, size), "vec_id long, codes binary, norm float"), "codes")
-    asked = rows.where("is_query").select("vec_id", "v")
+    coded = mapped(rows.select("vec_id", "v", "mark"), _encoder(box, size), "vec_id long, mark long, codes binary, norm float")
+    codes, _ = written(coded.dropDuplicates(["vec_id", "mark"]), "codes")
+    parts = codes.rdd.getNumPartitions()
+    asked = rows.where("is_query").select("vec_id", "mark", "v").dropDuplicates(["vec_id", "mark"])
     blocks = max(1, -(-asked.count() // block))
     number = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks))
     found = []
@@ -182,19 +202,19 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id
         part = asked.where(number == i).toArrow()
         if not part.num_rows:
             continue
-        ids = part["vec_id"].combine_chunks().to_numpy()
+        ids, marks = part["vec_id"].combine_chunks().to_numpy(), part["mark"].combine_chunks().to_numpy()
         query = _unit(np.asarray(part["v"].combine_chunks().flatten()).reshape(-1, size))
-        near = mapped(codes, _scorer(box, spark.sparkContext.broadcast((ids, query)), rerank), "query_id long, vec_id long, approx float")
-        near = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("approx")).alias("a"), "vec_id"))), 1, rerank).alias("c"))
-        near = near.select("query_id", F.explode("c.vec_id").alias("vec_id"))
+        near = mapped(codes, _scorer(box, spark.sparkContext.broadcast((ids, marks, query)), rerank), "query_id long, query_mark long, vec_id long, mark long, approx float")
+        near = _merged(near.withColumn("part", F.spark_partition_id()), rerank, parts)
         found.append(written(near, "near")[0] if blocks > 1 else near)
     if not found:
         return empty
     pairs = reduce(DataFrame.union, found)
-    vectors = rows.select("vec_id", "v")
-    joined = pairs.join(vectors, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    vectors = rows.select("vec_id", "mark", "v")
+    joined = pairs.join(vectors, ["vec_id", "mark"]).join(asked.select(F.col("vec_id").alias("query_id"), F.col("mark").alias("query_mark"), F.col("v").alias("q")), ["query_id", "query_mark"])
     cosine = dot(F.col("v"), F.col("q")) / (F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("q"), F.col("q"))))
-    scored = joined.select("query_id", "vec_id", cosine.alias("score"))
-    best = scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("c"))
+    scored = joined.select("query_id", "query_mark", "vec_id", "mark", cosine.alias("score"))
+    # exact repeats of a row come once: sets, not lists (at most ``rerank`` different ones)
+    best = scored.groupBy("query_id", "query_mark").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id", "mark", "score"))), 1, k).alias("c"))
     out = best.select("query_id", F.posexplode("c").alias("rank", "c"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "c.vec_id", "c.score")

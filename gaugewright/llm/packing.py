@@ -3,8 +3,7 @@
 A document's ids (and an end id) are cut into full windows and one rest. Rests of many documents are dealt to windows by
 the largest differencing method: partial partitions wait in a heap by their imbalance (largest minus smallest window);
 the two with the largest are merged, the fullest window of one with the emptiest of the other; what is left at the end
-has near-equal windows. While a window exceeds the capacity, the number of windows rises by one and the rests are dealt
-anew. As cutting is free, :func:`topped_up` then fills the little that is missing from windows that it takes apart, and
+has near-equal windows. While a window exceeds the capacity, the number of windows rises and the rests are dealt anew. As cutting is free, :func:`topped_up` then fills the little that is missing from windows that it takes apart, and
 the last tokens go to windows whose lengths are powers of two, which need no padding.
 
 Each task packs what it reads in groups of bounded size: no shuffle, and nothing that grows with the table in memory.
@@ -82,10 +81,11 @@ def differenced(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Near-equal windows none of which exceeds the capacity (each size must fit); their number rises until that holds."""
+    """Near-equal windows none of which exceeds the capacity (each size must fit); their number rises (by a 64th, by one at
+    least) until that holds. No two sizes over half the capacity share a window, so there are at least as many."""
     if not sizes:
         return []
-    k = max(1, -(-sum(sizes) // capacity))
+    k = max(1, -(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
     while True:
         dealt = differenced(sizes, k)
         if max(sum(sizes[i] for i in w) for w in dealt) <= capacity:

@@ -65,3 +65,21 @@ def test_beam_is_no_worse_than_greedy():
     assert np.allclose(scores, x[:7] @ (back / norms[:, None]).T, atol=1e-4)
 
 
+def test_repeated_ids(spark):
+    x = np.random.default_rng(3).normal(size=(300, 8)).astype(np.float32)
+    once = frame(spark, x)
+    plain = sorted(map(tuple, q.search(once, F.col("vec_id") % 50 == 0).collect()))
+    repeats = once.union(once.where("vec_id in (0, 7, 194)")).union(once.where("vec_id in (0, 7, 194)"))
+    assert sorted(map(tuple, q.search(repeats, F.col("vec_id") % 50 == 0).collect())) == plain
+    other = frame(spark, x[:1] * np.linspace(1, 0.5, 8, dtype=np.float32))  # id 0 with another vector
+    got = [r for r in q.search(once.union(other), F.col("vec_id") == 0).collect()]
+    assert sorted(r["rank"] for r in got) == sorted([1, 2, 3, 4, 5] * 2)
+    assert sum(r.vec_id == 0 for r in got) == 2  # each is the other's candidate
+
+
+def test_best_are_merged_in_steps(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(400, 8)).astype(np.float32)
+    df = frame(spark, x)
+    want = sorted(map(tuple, q.search(df, F.col("vec_id") % 50 == 0, rerank=20).collect()))
+    monkeypatch.setattr(q, "FAN", 2)
+    assert sorted(map(tuple, q.search(df, F.col("vec_id") % 50 == 0, rerank=20).collect())) == want
