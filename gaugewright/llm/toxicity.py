@@ -191,31 +191,31 @@ def shared(rows: np.ndarray) -> np.ndarray:
     """P(x | h') of each gram hx (distinct rows), h' being h without its first character: interpolated Kneser-Ney down to
     single letters. A count is the number of different longer grams (among all grams' endings)."""
     length = (rows != 0).sum(1)  # zeros only stand first
-    below, place, continued = [], [], []  # by length: its grams; where their endings are among the next shorter; counts
+    # by length: keys of its grams and their contexts; where their endings are among the next shorter; counts
+    keys, contexts, place, continued = [], [], [], []
     now = np.zeros((0, ORDER), rows.dtype)
     for n in range(ORDER, 0, -1):
-        ends = now.copy()
-        if len(ends):
-            ends[:, ORDER - n - 1] = 0
-        both = np.concatenate([ends, rows[length >= n] if n == ORDER else rows[length == n]])
-        _, first, inverse = np.unique(_hashed(both), return_index=True, return_inverse=True)
-        continued.append(np.bincount(inverse[: len(ends)], minlength=len(first)))
-        place.append(inverse[: len(ends)])
+        if len(now):
+            now[:, ORDER - n - 1] = 0
+        both = np.concatenate([now, rows[length == n]])
+        known, first, inverse = np.unique(_hashed(both), return_index=True, return_inverse=True)
+        place.append(inverse[: len(now)].astype(np.int32))
+        continued.append(np.bincount(place[-1], minlength=len(first)).astype(np.int32))
         now = both[first]
-        below.append(now)
-    letters = len(below[-1]) + 1
+        del both, inverse, first
+        keys.append(known)
+        contexts.append(_contexts(now).astype(np.int32))
+    letters = len(now) + 1
     lower = np.zeros(0)
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    by_length: dict[int, np.ndarray] = {}
     for n in range(1, ORDER + 1):
         at = ORDER - n
-        base = lower[place[at + 1]] if n > 1 else np.full(len(below[at]), 1 / letters)
-        count = continued[at]
-        lower = _interpolated(_contexts(below[at]), count, base)
-        by_length[n] = (np.sort(_hashed(below[at])), base)  # grams lie by key
+        by_length[n] = lower[place[at + 1]] if n > 1 else np.full(len(keys[at]), 1 / letters)
+        lower = _interpolated(contexts[at], continued[at], by_length[n])
     base = np.zeros(len(rows))
-    for n, (keys, of) in by_length.items():
+    for n, of in by_length.items():
         here = length == n
-        base[here] = of[np.searchsorted(keys, _hashed(rows[here]))]
+        base[here] = of[np.searchsorted(keys[ORDER - n], _hashed(rows[here]))]
     return base
 
 
@@ -231,15 +231,22 @@ def _interpolated(context: np.ndarray, counts: np.ndarray, base: np.ndarray) ->
     return np.where(t > 0, (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds[context] * base) / np.maximum(t, 1), base)
 
 
+def _tallied(rows: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the distinct rows, the rows, and the sums of their counts."""
+    keys, first, inverse = np.unique(_hashed(rows), return_index=True, return_inverse=True)
+    return keys, rows[first], np.column_stack([np.bincount(inverse, weights=each[:, c], minlength=len(keys)) for c in (0, 1)])
+
+
 def fitted(words: list[str], openings: list[str], counts: np.ndarray, prior: float = 0.0) -> Model:
     """The model of words, then openings, with ``counts`` (ordinary, toxic) of documents that hold them."""
-    rows, size = _windows(words)
-    rows = np.concatenate([rows, _openings(openings)])
-    each = np.concatenate([np.repeat(counts[: len(words)], size, axis=0), counts[len(words) :]])
-    keys, first, inverse = np.unique(_hashed(rows), return_index=True, return_inverse=True)
-    rows = rows[first]
-    held = [np.bincount(inverse, weights=each[:, c], minlength=len(keys)) for c in (0, 1)]
-    del each, inverse
+    parts = []
+    for at in range(0, len(words), 20_000):  # in parts, each counted at once, so that little is held
+        rows, size = _windows(words[at : at + 20_000])
+        parts.append(_tallied(rows, np.repeat(counts[at : at + len(size)], size, axis=0)))
+    parts.append(_tallied(_openings(openings), counts[len(words) :]))
+    keys, rows, each = _tallied(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+    del parts
+    held = [each[:, c] for c in (0, 1)]
     context = _contexts(rows)
     sums = lambda x: np.bincount(context, weights=x)[context]
     pool = held[0] + held[1]
@@ -333,6 +340,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
         y = held["label"].to_numpy().astype(float)
     box.unpersist()
     removed(spark, path)
+    released()
     return calibrated(model, held["x"].to_numpy(), y)
 
 
