@@ -10,16 +10,18 @@ successors of all words, relative to their context (its rank, then the successor
 quantised discounted probabilities. Levels lie in an unlinked temporary file that is memory-mapped. A pair is found by a
 successor search within its context's range.
 
-The model grows with the corpus, so no task holds all of it. Documents are read in batches; a batch's different words and
-pairs, with their counts, go to shards by context (one row per batch and shard). A shard adds the counts up, builds its
-part of the trie, and answers each batch's row from it; answers go back to the batch, which adds up its documents' scores.
-Contexts that a bounded sample shows to be very frequent are dealt to all shards by successor, so that none gets a hot
-one alone; that changes where pairs are counted, not what is counted. Batches are cut again the same way the second time,
-and carry a digest of what they hold; a batch whose answers do not match it raises an error.
+The model grows with the corpus, so no task holds all of it. Documents are read in batches, which are written to the shared
+folder once, as numbers, so that whatever is done again reads the same batches; a batch's different words and pairs, with
+their counts, go to shards by context (one row per batch and shard that it has anything for, so at most one per different
+pair). A shard adds the counts up, builds its part of the trie, and answers each batch's row from it; answers go back to
+the batch, which adds up its documents' scores. Contexts that a bounded sample shows to be very frequent are dealt to all
+shards by successor, so that none gets a hot one alone; that changes where pairs are counted, not what is counted. A batch
+whose answers do not match it raises an error.
 
 Keys are 64-bit hashes (XXH64), successors 40 bits of theirs. Defined results: a null or empty text is the end token
 alone; without training documents N and V are 0 and every token is unknown; repeated rows count and are scored each; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; very long texts are read whole, a batch holds one at least; other columns, also ones named like
+the result's, are ignored.
 """
 
 from __future__ import annotations
@@ -405,9 +407,13 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _asking(shards: int, hot: np.ndarray):
+    """Rows of batches: what each asks of each shard."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, b in batches_of(rows):
-            yield _record([(0, name, shard, data) for shard, data in b.requests(shards, hot)])
+        for b in rows:
+            for name, data in zip(b.column(1).to_pylist(), b.column(3), strict=True):
+                asked = Batch.unpacked(data.as_py()).requests(shards, hot)
+                yield _record([(0, name, shard, payload) for shard, payload in asked])
 
     return run
 
@@ -529,8 +535,8 @@ def scores(df: DataFrame, training: Column, id_column: str = "doc_id", text_colu
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(2 * spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
     hot = hot_contexts(docs, shards)
-    docs = spread(docs)
-    asked = mapped(docs, _asking(shards, hot), _ROWS).repartition(shards, "shard").sortWithinPartitions("shard", "batch")
+    batches, _ = written(mapped(spread(docs), _documents, _ROWS), "batches")
+    asked = mapped(batches, _asking(shards, hot), _ROWS).repartition(shards, "shard").sortWithinPartitions("shard", "batch")
     answers, _ = written(mapped(asked, _answering(hot), _ROWS), "answers")
     told = answers.where("kind = 2")
     totals = told.agg(F.sum(F.split("batch", ",")[0].cast("long")), F.sum(F.split("batch", ",")[1].cast("long"))).first()
@@ -544,6 +550,6 @@ def scores(df: DataFrame, training: Column, id_column: str = "doc_id", text_colu
     hot_kinds: dict[int, int] = {}
     if len(hot):  # at most HOT_MOST rows
         hot_kinds = {r["k"] % (1 << 64): r["n"] for r in mapped(told.select("payload"), kinds, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    both = mapped(docs, _documents, _ROWS).union(answers.where("kind = 0"))
+    both = batches.union(answers.where("kind = 0"))
     rows = both.repartition("batch").sortWithinPartitions("batch", F.desc("kind"))
     return mapped(rows, _adding(shards, hot, hot_kinds, n_tokens, n_words), _SCORES)
