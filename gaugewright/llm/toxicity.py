@@ -237,13 +237,17 @@ def _tallied(rows: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, rows[first], np.column_stack([np.bincount(inverse, weights=each[:, c], minlength=len(keys)) for c in (0, 1)])
 
 
-def fitted(words: list[str], openings: list[str], counts: np.ndarray, prior: float = 0.0) -> Model:
+def _strings(some: list[str] | pa.Array) -> list[str]:
+    return some if isinstance(some, list) else some.to_pylist()
+
+
+def fitted(words: list[str] | pa.Array, openings: list[str] | pa.Array, counts: np.ndarray, prior: float = 0.0) -> Model:
     """The model of words, then openings, with ``counts`` (ordinary, toxic) of documents that hold them."""
     parts = []
     for at in range(0, len(words), 20_000):  # in parts, each counted at once, so that little is held
-        rows, size = _windows(words[at : at + 20_000])
+        rows, size = _windows(_strings(words[at : at + 20_000]))
         parts.append(_tallied(rows, np.repeat(counts[at : at + len(size)], size, axis=0)))
-    parts.append(_tallied(_openings(openings), counts[len(words) :]))
+    parts.append(_tallied(_openings(_strings(openings)), counts[len(words) :]))
     keys, rows, each = _tallied(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
     del parts
     held = [each[:, c] for c in (0, 1)]
@@ -329,9 +333,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     table = counted.groupBy("opens", "gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()  # bounded by the sample
     opens = table["opens"].combine_chunks()
     parts = [table.filter(pc.invert(opens)), table.filter(opens)]
-    counts = np.concatenate([np.column_stack([p["ordinary"].to_numpy(), p["toxic"].to_numpy()]) for p in parts])
-    model = fitted(parts[0]["gram"].to_pylist(), parts[1]["gram"].to_pylist(), counts, prior)
-    del table, parts, counts
+    counts = np.concatenate([np.column_stack([p["ordinary"].to_numpy(), p["toxic"].to_numpy()]) for p in parts]).astype(np.int32)
+    grams = [p["gram"].combine_chunks() for p in parts]
+    del table, opens, parts
+    released()
+    model = fitted(*grams, counts, prior)
+    del grams, counts
     box = spark.sparkContext.broadcast(model)
     held = mapped(rows.where("part = 4"), _valued(box), "x double, label int").toArrow()
     y = held["label"].to_numpy().astype(float)
