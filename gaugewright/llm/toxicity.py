@@ -43,7 +43,7 @@ from .common import fold, mapped, released, removed, ship, spread, written
 ORDER = 8
 DISCOUNT = 0.75
 #: S, e and the words added to a text's length.
-STRENGTH, SHARE, PRIOR_WORDS = 10.0, 0.01, 20
+STRENGTH, SHARE, PRIOR_WORDS = 10.0, 0.01, 50
 #: Labelled rows learnt from (on average; rows are chosen by hash), and bytes of their texts, at most.
 SAMPLE, SAMPLE_BYTES = 12_000, 96 << 20
 #: Words whose ratios a task keeps.
