@@ -65,7 +65,7 @@ def test_field_adds_spans_and_keeps_the_patterns(spark):
         assert not any("@" in row.text[a:b] for _, a, b in every)
     # the same shape of value after the same word, without the sign that the pattern needs
     base, every = s.scan(f'lo ke token "{"3F" + "9A8B7C6D" * 4}" mi', model)
-    assert not base and [k for k, _, _ in every] in ([], ["field"])
+    assert not base and [k for k, _, _ in every] == ["field"]
     found = s.find(samples.odd(spark), model).collect()
     assert len(found) == len(samples.ODD) and sum(r.n_assign for r in found) == 1
     assert s.find(samples.empty(spark), model).count() == 0
@@ -108,3 +108,55 @@ def test_rare_secrets_are_learnt_among_many_numbers(spark):
     assert not any(s.scan(t, model)[1] for i, t in rows if i < 1000)
     upper = 'lo ke token "3F9A8B7C6D9A8B7C6D9A8B7C6D9A8B7C6D" mi'
     assert [upper[a:b] for k, a, b in s.scan(upper, s.learn(corpus(spark)))[1] if k == "field"] == ["3F9A8B7C6D9A8B7C6D9A8B7C6D9A8B7C6D"]
+
+
+def covered(text, places, spans):
+    return all(any(a <= p < b for a, b in spans) for x, y in places for p in range(x, y) if not s._APART.match(text, p))
+
+
+def test_field_finds_shapes_that_no_pattern_knows(spark):
+    model = s.learn(corpus(spark))
+    scorer = s.Scorer(model)
+    words = samples.prose(1234, 400).split()
+    for seed, marks in ((99, None), (98, ["tok_live_", "kx9-"])):  # the second: marks that training never saw
+        texts = s.made_up(words, 1500, seed=seed, marks=marks)
+        with_secret = [(t, p) for t, p in texts if p]
+        found = [covered(t, p, scorer.spans(t)) for t, p in with_secret]
+        assert sum(found) >= 0.9 * len(found)
+        wrong = [t for t, p in texts if not p and scorer.spans(t)]
+        assert len(wrong) <= 0.03 * (len(texts) - len(with_secret))
+    phrase = 'ke lo passphrase: "quiet otter bakes seven lemon pies" ba'
+    assert covered(phrase, [(19, 53)], scorer.spans(phrase)) and len(scorer.spans(phrase)) == 1
+    for text in ("the password is required for login", "see https://a.example.com/x/page1?id=42 now", samples.prose(7, 300)):
+        assert scorer.spans(text) == []
+
+
+def test_tables_and_certain_places_change_nothing(spark):
+    model = s.learn(corpus(spark))
+    scorer = s.Scorer(model, limit=50)
+    texts = [t for t, _ in s.made_up(samples.prose(3, 50).split(), 200, seed=1)] + TEXTS + [t for _, t in samples.ODD if t] + ['"a b" c', " x", 'passphrase: a\nb "']
+    for text in texts:
+        lexemes, gaps = s.split(text)
+        if not lexemes:
+            assert s.runs(text) == [] and scorer.spans(text) == []
+            continue
+        run = s.runs(text)[0]
+        assert lexemes == [text[a:b] for a, b in run.spans]
+        assert np.allclose(scorer.scores(text, lexemes, gaps), model.scores(run), atol=1e-9)
+        if len(lexemes) > 2000:
+            continue
+        tags, spans = model.decode(run), []
+        for (a, b), tag in zip(run.spans, tags, strict=True):
+            if tag == s.B:
+                spans.append((a, b))
+            elif tag == s.I:
+                spans[-1] = (spans[-1][0], b)
+        assert scorer.spans(text) == spans
+
+
+def test_windows_hold_whole_secrets():
+    text = "lo ke " + " ".join(["mi"] * 50) + ' token = "2e78d4bdec68f18b395a94d7e6aa" ' + " ".join(["tu"] * 50)
+    assert [text[a:b] for a, b in s.secret_places(text)] == ["2e78d4bdec68f18b395a94d7e6aa"]
+    some = s.examples(text)
+    assert sum(s.B in tags for _, tags in some) == 1 and all(tags[0] != s.I for _, tags in some)
+    assert len(some) > 3 and not any(s.B in tags for _, tags in s.examples("ba ke lo"))
