@@ -1,21 +1,25 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The model: words and word pairs of all training documents, with interpolated absolute discounting,
-P(w|h) = max(c(hw) - D, 0) / c(h) + D T(h) / c(h) P(w), and P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)); T(h) counts the
-different words after h. A text begins after a start mark and closes with an end token.
-
-The trie has two levels. The first holds the words' keys, the sums of their counts and the pointers to their successors,
-each a monotone sequence in Elias-Fano code, and quantised log-probabilities and back-off weights. The second holds the
-successors of all words, relative to their context (its rank, then the successor's code), again in Elias-Fano code, with
-quantised discounted probabilities. Levels lie in an unlinked temporary file that is memory-mapped. A pair is found by a
-successor search within its context's range.
+The model: words, pairs and triples of words of all training documents, with interpolated absolute discounting. With h
+for the one or two words before w, and h' for h without its first word,
+P(w|h) = max(c(hw) - D, 0) / c(h) + D T(h) / c(h) P(w|h'), and P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)); c(h) counts how
+often anything follows h, T(h) the different words after h. A text begins after one start mark and closes with an end
+token, so its first word has a context of one.
+
+The trie has three levels. The first holds the words' keys, the sums of their counts and the pointers to their
+successors, each a monotone sequence in Elias-Fano code, and quantised log-probabilities and back-off weights. The second
+holds the successors of all words, relative to their context (its rank, then the successor's code), with pointers to
+their own successors, the third the successors of all pairs, relative to the pair's rank; all again in Elias-Fano code,
+with quantised discounted probabilities and the pairs' back-off weights. Levels lie in an unlinked temporary file of the
+task that builds and uses them, which is memory-mapped. A pair or triple is found by a successor search within its
+context's range.
 
 The model grows with the corpus, so no task holds all of it. Documents are read in batches, which are written to the shared
-folder once, as numbers, so that whatever is done again reads the same batches; a batch's different words and pairs, with
-their counts, go to shards by context (one row per batch and shard that it has anything for, so at most one per different
-pair). A shard adds the counts up, builds its part of the trie, and answers each batch's row from it; answers go back to
+folder once, as numbers, so that whatever is done again reads the same batches; a batch's different words, pairs and
+triples, with their counts, go to shards by their first word (one row per batch and shard that it has anything for, so at
+most one per different pair). A shard adds the counts up, builds its part of the trie, and answers each batch's row from it; answers go back to
 the batch, which adds up its documents' scores. Contexts that a bounded sample shows to be very frequent are dealt to all
-shards by successor, so that none gets a hot one alone; that changes where pairs are counted, not what is counted. A batch
+shards by successor, so that none gets a hot one alone (a pair's successors stay together); that changes where pairs are counted, not what is counted. A batch
 whose answers do not match it raises an error.
 
 Keys are 64-bit hashes (XXH64), successors 40 bits of theirs. Defined results: a null or empty text is the end token
@@ -175,13 +179,14 @@ def mapped_to_file(parts: list[tuple[object, str]]) -> None:
 
 
 class Trie:
-    """A shard's part: ``keys`` (sorted) with counts, and pairs (rank of the context << 40 | code, sorted) with counts.
+    """A shard's part: ``keys`` (sorted) with counts; pairs (rank of the context << 40 | code, sorted) with counts; triples
+    (rank of the pair << 40 | code, sorted) with counts.
 
     ``hot``: contexts whose successors lie in several shards; their pairs keep log10(c - D), not divided by c(h), and
     their back-off weight is added up elsewhere.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, hot: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray, hot: np.ndarray):
         n = len(keys)
         self.keys = EliasFano(keys, 64)
         self.sums = EliasFano(np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64), 64)
@@ -196,9 +201,17 @@ class Trie:
             below = np.where(is_hot[context], 1.0, held[context]) if len(pairs) else np.zeros(0)
             self.codes = quantised(np.log10((pair_counts - DISCOUNT) / below)) if len(pairs) else np.zeros(0, np.uint16)
         self.pairs = EliasFano(pairs, CODE_BITS + max(1, int(n).bit_length()))
+        context = (triples >> np.uint64(CODE_BITS)).astype(np.int64)
+        kinds_of_pair = np.bincount(context, minlength=len(pairs))
+        held = np.bincount(context, weights=triple_counts, minlength=len(pairs))
+        self.pair_pointers = EliasFano(np.concatenate([[0], np.cumsum(kinds_of_pair)]).astype(np.uint64), 64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.pair_loose = np.where(held > 0, quantised(np.log10(DISCOUNT * kinds_of_pair / held)), 0).astype(np.uint16)
+            self.triple_codes = quantised(np.log10((triple_counts - DISCOUNT) / held[context]))
+        self.triples = EliasFano(triples, CODE_BITS + max(1, len(pairs).bit_length()))
         self.kinds_of_hot = [(int(k), int(kinds[i])) for i, k in enumerate(keys) if is_hot[i]] if is_hot.any() else []
-        levels = [self.keys, self.sums, self.pointers, self.pairs]
-        mapped_to_file([(e, a) for e in levels for a in e.arrays()] + [(self, "loose"), (self, "words"), (self, "codes")])
+        levels = [self.keys, self.sums, self.pointers, self.pairs, self.pair_pointers, self.triples]
+        mapped_to_file([(e, a) for e in levels for a in e.arrays()] + [(self, a) for a in ("loose", "words", "codes", "pair_loose", "triple_codes")])
 
     def word(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rank (-1: unknown), count, word code and back-off code of each key."""
@@ -212,21 +225,44 @@ class Trie:
         z16 = np.uint16(0)
         return np.where(known, at, -1), np.where(known, count, np.uint64(0)), np.where(known, np.asarray(self.words)[safe], z16), np.where(known, np.asarray(self.loose)[safe], z16)
 
-    def pair(self, rank: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Quantised probability of successors (40-bit codes) of contexts (ranks); 0: not in the trie."""
-        out = np.zeros(len(rank), np.uint16)
+    @staticmethod
+    def _below(pointers: EliasFano, level: EliasFano, rank: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Ranks, in their level, of successors (40-bit codes) of contexts (ranks in the level above); -1: not there."""
+        out = np.full(len(rank), -1, np.int64)
         ok = np.flatnonzero(rank >= 0)
-        if not len(ok) or not self.pairs.n:
+        if not len(ok) or not level.n:
             return out
         r = rank[ok]
-        start, stop = self.pointers.get(r).astype(np.int64), self.pointers.get(r + 1).astype(np.int64)
+        start, stop = pointers.get(r).astype(np.int64), pointers.get(r + 1).astype(np.int64)
         x = (r.astype(np.uint64) << np.uint64(CODE_BITS)) | code[ok]
-        at = self.pairs.successor(x, start, stop)
-        safe = np.minimum(at, self.pairs.n - 1)
-        found = (at < stop) & (self.pairs.get(safe) == x)
-        out[ok] = np.where(found, np.asarray(self.codes)[safe], np.uint16(0))
+        at = level.successor(x, start, stop)
+        found = (at < stop) & (level.get(np.minimum(at, level.n - 1)) == x)
+        out[ok] = np.where(found, at, -1)
         return out
 
+    def pair(self, rank: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rank, quantised probability and back-off weight of successors of words (ranks); -1 and 0: not in the trie."""
+        at = self._below(self.pointers, self.pairs, rank, code)
+        return at, _taken(self.codes, at), _taken(self.pair_loose, at)
+
+    def triple(self, rank: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Quantised probability of successors of pairs (ranks); 0: not in the trie."""
+        return _taken(self.triple_codes, self._below(self.pair_pointers, self.triples, rank, code))
+
+
+def _taken(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), np.uint16)
+    ok = at >= 0
+    out[ok] = np.asarray(codes)[at[ok]]
+    return out
+
+
+def relative(context: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Successors' codes after their contexts' places, as they are sorted."""
+    if len(context) and int(context.max()) >> (64 - CODE_BITS):
+        raise ValueError("more contexts in a shard than places for them")
+    return (context.astype(np.uint64) << np.uint64(CODE_BITS)) | code
+
 
 # --- batches --------------------------------------------------------------------------------------------------------
 _ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -279,16 +315,43 @@ class Batch:
         weight = np.repeat(self.train, self.lengths)
         self.counts = np.bincount(self.ids, weights=weight, minlength=n).astype(np.uint64)
         self.counts[1] = self.train.sum()
-        self.pair_counts = np.bincount(self.inverse, weights=weight, minlength=len(self.pair_ids)).astype(np.uint64)
+        self.pair_counts = np.bincount(self.inverse, weights=weight, minlength=len(self.pair_ids)).astype("<u4")
         self.context, word = self.pair_ids // n, self.pair_ids % n
         self.codes = self.keys[word] >> np.uint64(64 - CODE_BITS)
         s = np.uint64(shards)
         self.own = (self.keys % s).astype(np.int64)
         self.hot = np.isin(self.keys, hot)
         self.of_pair = np.where(self.hot[self.context], (self.codes % s).astype(np.int64), self.own[self.context])
-
-    def by_shard(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per shard: its words (numbers sorted by key, contexts of foreign shards included) and its pairs (sorted)."""
+        later = np.ones(len(self.ids), bool)
+        later[starts] = False
+        self.later = np.flatnonzero(later)  # tokens with two before them, the start mark included
+        lower = self.inverse[self.later]
+        ids, self.triple_inverse = np.unique(self.inverse[self.later - 1].astype(np.int64) * n + self.ids[self.later], return_inverse=True)
+        self.triple_counts = np.bincount(self.triple_inverse, weights=weight[self.later], minlength=len(ids)).astype("<u4")
+        self.triple_context = ids // n  # a pair
+        self.triple_lower = np.empty(len(ids), np.int64)  # the pair without the first word
+        self.triple_lower[self.triple_inverse] = lower
+        self.triple_codes = self.codes[self.triple_lower]
+
+    def by_shard(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per shard: its words (numbers sorted by key, contexts of foreign shards included), its pairs and its triples (both
+        sorted), and the places of the triples' contexts among these pairs."""
+        parts = list(self._words_and_pairs())
+        place = np.zeros(len(self.pair_ids), np.int64)
+        for start, (_, _, pairs) in zip(np.cumsum([0] + [len(p) for _, _, p in parts]).tolist(), parts, strict=False):
+            place[pairs] = np.arange(start, start + len(pairs))
+        at = place[self.triple_context]
+        if len(place) >> (64 - CODE_BITS):
+            triples = np.lexsort((self.triple_codes, at))
+        else:
+            triples = np.argsort(relative(at, self.triple_codes))
+        at, start = at[triples], 0
+        for shard, words, pairs in parts:
+            lo, hi = np.searchsorted(at, [start, start + len(pairs)])
+            yield shard, words, pairs, triples[lo:hi], at[lo:hi] - start
+            start += len(pairs)
+
+    def _words_and_pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         order = np.argsort(self.of_pair, kind="stable")
         top = max(int(self.own.max(initial=-1)), int(self.of_pair.max(initial=-1))) + 1
         cuts = np.searchsorted(self.of_pair[order], np.arange(top + 1))
@@ -302,7 +365,6 @@ class Batch:
             if not len(words):
                 continue
             words = words[np.argsort(self.keys[words])]
-            place = np.empty(0, np.int64)
             if len(pairs):
                 place = np.searchsorted(self.keys[words], self.keys[self.context[pairs]])
                 pairs = pairs[np.lexsort((self.codes[pairs], place))]
@@ -310,11 +372,11 @@ class Batch:
 
     def requests(self, shards: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
         self.prepared(shards, hot)
-        for shard, words, pairs in self.by_shard():
+        for shard, words, pairs, triples, above in self.by_shard():
             keys = self.keys[words]
             counts = np.where(self.own[words] == shard, self.counts[words], np.uint64(0))
-            place = np.searchsorted(keys, self.keys[self.context[pairs]]).astype(np.uint64)
-            yield shard, _pack(keys, counts.astype("<u8"), (place << np.uint64(CODE_BITS)) | self.codes[pairs], self.pair_counts[pairs].astype("<u8"))
+            place = np.searchsorted(keys, self.keys[self.context[pairs]])
+            yield shard, _pack(keys, counts.astype("<u8"), relative(place, self.codes[pairs]), self.pair_counts[pairs], relative(above, self.triple_codes[triples]), self.triple_counts[triples])
 
     def digest(self) -> int:
         h = xxhash.xxh64(self.keys.tobytes())
@@ -335,14 +397,15 @@ class Batch:
         got = dict(answers)
         n = len(self.keys)
         count, word_code, loose_code = np.zeros(n, np.uint64), np.zeros(n, np.uint16), np.zeros(n, np.uint16)
-        pair_code = np.zeros(len(self.pair_ids), np.uint16)
-        for shard, words, pairs in self.by_shard():
-            c, w, g, p = _unpack(got[shard])
-            if len(c) != len(words) or len(p) != len(pairs):
+        pair_code, pair_loose = np.zeros((2, len(self.pair_ids)), np.uint16)
+        triple_code = np.zeros(len(self.triple_context), np.uint16)
+        for shard, words, pairs, triples, _ in self.by_shard():
+            c, w, g, p, b, t = _unpack(got[shard])
+            if len(c) != len(words) or len(p) != len(pairs) or len(t) != len(triples):
                 raise ValueError("a batch's answers do not match it")
             own = self.own[words] == shard
             count[words[own]], word_code[words[own]], loose_code[words[own]] = c[own], w[own], g[own]
-            pair_code[pairs] = p
+            pair_code[pairs], pair_loose[pairs], triple_code[triples] = p, b, t
         c = count.astype(np.float64)
         total = n_tokens + 0.5 * (n_words + 1)
         base = np.log10((c + 0.5) / total)
@@ -354,13 +417,18 @@ class Batch:
         own = restored(pair_code)
         is_hot = self.hot[self.context]
         own = np.where(is_hot, own / np.maximum(c[self.context], 1), own)
-        logs = np.log10(own + np.where(loose[self.context] > 0, loose[self.context], 1.0) * word[self.pair_ids % n])
+        second = own + np.where(loose[self.context] > 0, loose[self.context], 1.0) * word[self.pair_ids % n]
+        # a pair that nothing followed in training gives all to the shorter context
+        above = pair_loose[self.triple_context]
+        third = restored(triple_code) + np.where(above > 0, restored(above), 1.0) * second[self.triple_lower]
+        logs = np.log10(second)[self.inverse]
+        logs[self.later] = np.log10(third)[self.triple_inverse]
         ends = np.cumsum(self.lengths)
 
         def per_doc(x: np.ndarray) -> np.ndarray:
             return np.add.reduceat(x, ends - self.lengths)
 
-        return {"n_tokens": self.lengths, "n_known": per_doc((count[self.ids] > 0).astype(np.int64)), "base_score": per_doc(base[self.ids]), "score": per_doc(logs[self.inverse])}
+        return {"n_tokens": self.lengths, "n_known": per_doc((count[self.ids] > 0).astype(np.int64)), "base_score": per_doc(base[self.ids]), "score": per_doc(logs)}
 
 
 def batches_of(rows: Iterator[pa.RecordBatch], tokens: int = BATCH_TOKENS) -> Iterator[tuple[str, Batch]]:
@@ -444,29 +512,41 @@ def _answering(hot: np.ndarray):
         counts = np.zeros(len(keys), np.uint64)
         np.add.at(counts, inverse, np.concatenate([a[1] for a in asked]))
         low = np.uint64((1 << CODE_BITS) - 1)
-        pairs, weights = [], []
-        for k, _, p, c in asked:
-            used = c > 0
-            at = np.searchsorted(keys, k)[(p[used] >> np.uint64(CODE_BITS)).astype(np.int64)]
-            pairs.append((at.astype(np.uint64) << np.uint64(CODE_BITS)) | (p[used] & low))
-            weights.append(c[used])
+        pairs, weights, used = [], [], []
+        for k, _, p, c, _, _ in asked:
+            used.append(c > 0)
+            at = np.searchsorted(keys, k)[(p[used[-1]] >> np.uint64(CODE_BITS)).astype(np.int64)]
+            pairs.append(relative(at, p[used[-1]] & low))
+            weights.append(c[used[-1]])
         every, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(every))
-        del pairs, weights, inverse
+        triples, weights, begin = [], [], 0
+        for (_, _, _, _, t, c), u in zip(asked, used, strict=True):
+            place = begin + np.cumsum(u) - 1  # of an asked pair among the used ones
+            t, c = t[c > 0], c[c > 0]
+            triples.append(relative(inverse[place[(t >> np.uint64(CODE_BITS)).astype(np.int64)]], t & low))
+            weights.append(c)
+            begin += int(u.sum())
+        del pairs, inverse, used
+        after, inverse = np.unique(np.concatenate(triples), return_inverse=True)
+        after_total = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(after))
+        del triples, weights, inverse
         # only words seen in training (or contexts dealt here) stay, and ranks follow
         context = (every >> np.uint64(CODE_BITS)).astype(np.int64)
         stay = counts > 0
         stay[context] = True
         rank = np.cumsum(stay) - 1
-        every = (rank[context].astype(np.uint64) << np.uint64(CODE_BITS)) | (every & low)
-        trie = Trie(keys[stay], counts[stay], every, total, hot)
+        every = relative(rank[context], every & low)
+        trie = Trie(keys[stay], counts[stay], every, total, after, after_total, hot)
+        del every, total, after, after_total
         words = (counts > 0) & (keys != np.uint64(key(START)))
         hot_kinds = np.array(trie.kinds_of_hot, np.uint64).reshape(-1, 2)
         yield _record([(2, f"{int(counts[words].sum())},{int(words.sum())}", shard, _pack(hot_kinds[:, 0].copy(), hot_kinds[:, 1].copy()))])
-        for (name, _), (k, _, p, _) in zip(held, asked, strict=True):
+        for (name, _), (k, _, p, _, t, _) in zip(held, asked, strict=True):
             r, c, w, g = trie.word(k)
-            codes = trie.pair(r[(p >> np.uint64(CODE_BITS)).astype(np.int64)] if len(p) else np.zeros(0, np.int64), p & low)
-            yield _record([(0, name, shard, _pack(c.astype("<u8"), w.astype("<u2"), g.astype("<u2"), codes.astype("<u2")))])
+            at, codes, loose = trie.pair(r[(p >> np.uint64(CODE_BITS)).astype(np.int64)], p & low)
+            longer = trie.triple(at[(t >> np.uint64(CODE_BITS)).astype(np.int64)], t & low)
+            yield _record([(0, name, shard, _pack(c.astype("<u8"), w.astype("<u2"), g.astype("<u2"), codes.astype("<u2"), loose.astype("<u2"), longer.astype("<u2")))])
 
     return run
 

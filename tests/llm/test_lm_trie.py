@@ -34,14 +34,18 @@ def brute(rows, train):
     c = Counter(w for t in used for w in t)
     n, v = sum(c.values()), len(c)
     pairs = Counter(p for t in used for p in zip([b" ", *t], t, strict=False))
-    ctx = Counter(h for h, _ in pairs.elements())
-    kinds = Counter(h for h, _ in pairs)
+    triples = Counter(p for t in used for p in zip([b" ", *t], t, t[1:], strict=False))
+    ctx, ctx2 = Counter(h for h, _ in pairs.elements()), Counter(p[:2] for p in triples.elements())
+    kinds, kinds2 = Counter(h for h, _ in pairs), Counter(p[:2] for p in triples)
     out = []
     for d, t in tok:
         p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
         score = 0.0
-        for h, w in zip([b" ", *t], t, strict=False):
-            score += math.log10((max(pairs[h, w] - m.DISCOUNT, 0) + m.DISCOUNT * kinds[h] * p(w)) / ctx[h] if ctx[h] else p(w))
+        for g, h, w in zip([None, b" ", *t], [b" ", *t], t, strict=False):
+            q = (max(pairs[h, w] - m.DISCOUNT, 0) + m.DISCOUNT * kinds[h] * p(w)) / ctx[h] if ctx[h] else p(w)
+            if ctx2[g, h]:
+                q = (max(triples[g, h, w] - m.DISCOUNT, 0) + m.DISCOUNT * kinds2[g, h] * q) / ctx2[g, h]
+            score += math.log10(q)
         out.append((d, len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(p(w)) for w in t), score))
     return out
 
