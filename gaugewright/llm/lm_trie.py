@@ -269,11 +269,11 @@ _ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes, by planes and compressed; sorted unsigned 64-bit ones as their gaps."""
+    """Arrays as bytes, by planes and compressed; sorted unsigned ones as their gaps."""
     out = []
     for a in arrays:
         kind = a.dtype.str
-        gaps = kind == "<u8" and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+        gaps = kind in ("<u8", "<u4") and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
         raw = np.concatenate([a[:1], np.diff(a)]) if gaps else a
         planes = np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), -1).T).tobytes() if len(raw) else b""
         data = _ZIP.compress(planes)
@@ -290,10 +290,30 @@ def _unpack(data: bytes) -> list[np.ndarray]:
         planes = _UNZIP.decompress(data[at : at + size])
         at += size
         a = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, kind)
-        out.append(np.cumsum(a, dtype=np.uint64) if gaps == "1" else a)
+        out.append(np.cumsum(a, dtype=a.dtype) if gaps == "1" else a)
     return out
 
 
+def _packed_request(keys: np.ndarray, counts: np.ndarray, *levels: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+    """Words with counts, then for each level its contexts' places, successors' codes and counts. Codes are sent once and
+    numbered: a number takes far fewer bytes than a code."""
+    codes, number = np.unique(np.concatenate([code for _, code, _ in levels]), return_inverse=True)
+    out, at = [keys, counts.astype("<u8"), codes], 0
+    for place, code, n in levels:
+        out += [place.astype("<u4"), number[at : at + len(code)].astype("<u4"), n]
+        at += len(code)
+    return _pack(*out)
+
+
+def _request(data: bytes) -> tuple[np.ndarray, ...]:
+    """Words, their counts, then for each level the successors relative to their contexts, and counts."""
+    keys, counts, codes, *levels = _unpack(data)
+    out = [keys, counts]
+    for i in range(0, len(levels), 3):
+        out += [relative(levels[i], codes[levels[i + 1]]), levels[i + 2]]
+    return tuple(out)
+
+
 @dataclass
 class Batch:
     """Documents as numbers: ``ids`` of tokens (by ``keys``), documents' lengths, which are for training."""
@@ -376,7 +396,7 @@ class Batch:
             keys = self.keys[words]
             counts = np.where(self.own[words] == shard, self.counts[words], np.uint64(0))
             place = np.searchsorted(keys, self.keys[self.context[pairs]])
-            yield shard, _pack(keys, counts.astype("<u8"), relative(place, self.codes[pairs]), self.pair_counts[pairs], relative(above, self.triple_codes[triples]), self.triple_counts[triples])
+            yield shard, _packed_request(keys, counts, (place, self.codes[pairs], self.pair_counts[pairs]), (above, self.triple_codes[triples], self.triple_counts[triples]))
 
     def digest(self) -> int:
         h = xxhash.xxh64(self.keys.tobytes())
@@ -497,17 +517,18 @@ def _answering(hot: np.ndarray):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in rows:
-            for shard, name, data in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for shard, name, data in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
                 if shard != now:
                     yield from answered(now, held)
                     now, held = shard, []
-                held.append((name, data))
+                held.append((name, data.as_py()))
         yield from answered(now, held)
 
     def answered(shard: int, held: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        asked = [_unpack(data) for _, data in held]
+        names, asked = [name for name, _ in held], [_request(data) for _, data in held]
+        held.clear()
         keys, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
         counts = np.zeros(len(keys), np.uint64)
         np.add.at(counts, inverse, np.concatenate([a[1] for a in asked]))
@@ -542,7 +563,7 @@ def _answering(hot: np.ndarray):
         words = (counts > 0) & (keys != np.uint64(key(START)))
         hot_kinds = np.array(trie.kinds_of_hot, np.uint64).reshape(-1, 2)
         yield _record([(2, f"{int(counts[words].sum())},{int(words.sum())}", shard, _pack(hot_kinds[:, 0].copy(), hot_kinds[:, 1].copy()))])
-        for (name, _), (k, _, p, _, t, _) in zip(held, asked, strict=True):
+        for name, (k, _, p, _, t, _) in zip(names, asked, strict=True):
             r, c, w, g = trie.word(k)
             at, codes, loose = trie.pair(r[(p >> np.uint64(CODE_BITS)).astype(np.int64)], p & low)
             longer = trie.triple(at[(t >> np.uint64(CODE_BITS)).astype(np.int64)], t & low)
@@ -616,7 +637,7 @@ def scores(df: DataFrame, training: Column, id_column: str = "doc_id", text_colu
     shards = max(2 * spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
     hot = hot_contexts(docs, shards)
     batches, _ = written(mapped(spread(docs), _documents, _ROWS), "batches")
-    asked = mapped(batches, _asking(shards, hot), _ROWS).repartition(shards, "shard").sortWithinPartitions("shard", "batch")
+    asked = mapped(batches, _asking(shards, hot), _ROWS).repartitionById(shards, "shard").sortWithinPartitions("shard", "batch")
     answers, _ = written(mapped(asked, _answering(hot), _ROWS), "answers")
     told = answers.where("kind = 2")
     totals = told.agg(F.sum(F.split("batch", ",")[0].cast("long")), F.sum(F.split("batch", ",")[1].cast("long"))).first()
