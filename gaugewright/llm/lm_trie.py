@@ -52,6 +52,8 @@ SHARD_BYTES = 16 << 20
 #: Documents, and most contexts, of the list of very frequent contexts; a share of a shard's size from which one is.
 HOT_SAMPLE, HOT_MOST, HOT_SHARE = 3000, 1024, 0.5
 CODE_BITS = 40
+#: Searches in a trie that are made at once.
+SEARCHED = 1 << 17
 #: Quantisation: log10 values from LOWEST up to HIGHEST in 65,534 steps; code 0 means absent.
 LOWEST, HIGHEST = -14.0, 14.0
 _STEP = (HIGHEST - LOWEST) / 65_533
@@ -331,8 +333,10 @@ class Batch:
         context = np.empty_like(self.ids)
         context[1:] = self.ids[:-1]
         context[starts] = 1  # the start mark
-        self.pair_ids, self.inverse = np.unique(context.astype(np.int64) * n + self.ids, return_inverse=True)
-        weight = np.repeat(self.train, self.lengths)
+        self.pair_ids, inverse = np.unique(context.astype(np.int64) * n + self.ids, return_inverse=True)
+        self.inverse = inverse.astype(np.int32)
+        del context, inverse
+        weight = np.repeat(self.train.astype(np.uint8), self.lengths)
         self.counts = np.bincount(self.ids, weights=weight, minlength=n).astype(np.uint64)
         self.counts[1] = self.train.sum()
         self.pair_counts = np.bincount(self.inverse, weights=weight, minlength=len(self.pair_ids)).astype("<u4")
@@ -344,12 +348,18 @@ class Batch:
         self.of_pair = np.where(self.hot[self.context], (self.codes % s).astype(np.int64), self.own[self.context])
         later = np.ones(len(self.ids), bool)
         later[starts] = False
-        self.later = np.flatnonzero(later)  # tokens with two before them, the start mark included
-        lower = self.inverse[self.later]
-        ids, self.triple_inverse = np.unique(self.inverse[self.later - 1].astype(np.int64) * n + self.ids[self.later], return_inverse=True)
-        self.triple_counts = np.bincount(self.triple_inverse, weights=weight[self.later], minlength=len(ids)).astype("<u4")
-        self.triple_context = ids // n  # a pair
-        self.triple_lower = np.empty(len(ids), np.int64)  # the pair without the first word
+        self.later = later  # tokens with two before them, the start mark included
+        lower = self.inverse[later]
+        triples = np.empty(len(lower), np.int64)
+        triples[:] = self.inverse[np.flatnonzero(later) - 1]
+        triples *= n
+        triples += self.ids[later]
+        ids, inverse = np.unique(triples, return_inverse=True)
+        self.triple_inverse = inverse.astype(np.int32)
+        del triples, inverse
+        self.triple_counts = np.bincount(self.triple_inverse, weights=weight[later], minlength=len(ids)).astype("<u4")
+        self.triple_context = (ids // n).astype(np.int32)  # a pair
+        self.triple_lower = np.empty(len(ids), np.int32)  # the pair without the first word
         self.triple_lower[self.triple_inverse] = lower
         self.triple_codes = self.codes[self.triple_lower]
 
@@ -511,6 +521,16 @@ def _documents(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _record([(1, name, -1, b.packed())])
 
 
+def _shares(x: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(x.astype(np.int32), np.cumsum(sizes)[:-1])
+
+
+def _searched(search, *asked: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Results of a search for arrays, some at a time: what it needs beside them stays small."""
+    parts = [search(*(a[at : at + SEARCHED] for a in asked)) for at in range(0, max(1, len(asked[0])), SEARCHED)]
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
 def _answering(hot: np.ndarray):
     """Rows of a shard: add up, build its trie, answer each row; statistics go along as a row of kind 2."""
 
@@ -529,45 +549,40 @@ def _answering(hot: np.ndarray):
             return
         names, asked = [name for name, _ in held], [_request(data) for _, data in held]
         held.clear()
-        keys, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        low, up = np.uint64((1 << CODE_BITS) - 1), np.uint64(CODE_BITS)
+        # different words, pairs and triples of all batches, each with its sum; the trie holds and answers for each once
+        keys, of_key = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
         counts = np.zeros(len(keys), np.uint64)
-        np.add.at(counts, inverse, np.concatenate([a[1] for a in asked]))
-        low = np.uint64((1 << CODE_BITS) - 1)
-        pairs, weights, used = [], [], []
-        for k, _, p, c, _, _ in asked:
-            used.append(c > 0)
-            at = np.searchsorted(keys, k)[(p[used[-1]] >> np.uint64(CODE_BITS)).astype(np.int64)]
-            pairs.append(relative(at, p[used[-1]] & low))
-            weights.append(c[used[-1]])
-        every, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(every))
-        triples, weights, begin = [], [], 0
-        for (_, _, _, _, t, c), u in zip(asked, used, strict=True):
-            place = begin + np.cumsum(u) - 1  # of an asked pair among the used ones
-            t, c = t[c > 0], c[c > 0]
-            triples.append(relative(inverse[place[(t >> np.uint64(CODE_BITS)).astype(np.int64)]], t & low))
-            weights.append(c)
-            begin += int(u.sum())
-        del pairs, inverse, used
-        after, inverse = np.unique(np.concatenate(triples), return_inverse=True)
-        after_total = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(after))
-        del triples, weights, inverse
+        np.add.at(counts, of_key, np.concatenate([a[1] for a in asked]))
+        by_key = _shares(of_key, [len(a[0]) for a in asked])
+        every, of_pair = np.unique(np.concatenate([relative(k[(a[2] >> up).astype(np.int64)], a[2] & low) for k, a in zip(by_key, asked, strict=True)]), return_inverse=True)
+        total = np.bincount(of_pair, weights=np.concatenate([a[3] for a in asked]), minlength=len(every))
+        by_pair = _shares(of_pair, [len(a[2]) for a in asked])
+        after, of_triple = np.unique(np.concatenate([relative(p[(a[4] >> up).astype(np.int64)], a[4] & low) for p, a in zip(by_pair, asked, strict=True)]), return_inverse=True)
+        after_total = np.bincount(of_triple, weights=np.concatenate([a[5] for a in asked]), minlength=len(after))
+        by_triple = _shares(of_triple, [len(a[4]) for a in asked])
+        del asked, of_key, of_pair, of_triple
+        pair_above, triple_above = (every >> up).astype(np.int64), (after >> up).astype(np.int64)
+        every &= low
+        after &= low
+        used, after_used = total > 0, after_total > 0
         # only words seen in training (or contexts dealt here) stay, and ranks follow
-        context = (every >> np.uint64(CODE_BITS)).astype(np.int64)
         stay = counts > 0
-        stay[context] = True
-        rank = np.cumsum(stay) - 1
-        every = relative(rank[context], every & low)
-        trie = Trie(keys[stay], counts[stay], every, total, after, after_total, hot)
-        del every, total, after, after_total
+        stay[pair_above[used]] = True
+        rank, pair_rank = np.cumsum(stay) - 1, np.cumsum(used) - 1
+        trie = Trie(
+            keys[stay], counts[stay], relative(rank[pair_above[used]], every[used]), total[used],
+            relative(pair_rank[triple_above[after_used]], after[after_used]), after_total[after_used], hot,
+        )
+        del total, used, after_total, after_used
         words = (counts > 0) & (keys != np.uint64(key(START)))
         hot_kinds = np.array(trie.kinds_of_hot, np.uint64).reshape(-1, 2)
         yield _record([(2, f"{int(counts[words].sum())},{int(words.sum())}", shard, _pack(hot_kinds[:, 0].copy(), hot_kinds[:, 1].copy()))])
-        for name, (k, _, p, _, t, _) in zip(names, asked, strict=True):
-            r, c, w, g = trie.word(k)
-            at, codes, loose = trie.pair(r[(p >> np.uint64(CODE_BITS)).astype(np.int64)], p & low)
-            longer = trie.triple(at[(t >> np.uint64(CODE_BITS)).astype(np.int64)], t & low)
-            yield _record([(0, name, shard, _pack(c.astype("<u8"), w.astype("<u2"), g.astype("<u2"), codes.astype("<u2"), loose.astype("<u2"), longer.astype("<u2")))])
+        r, c, w, g = _searched(trie.word, keys)
+        at, codes, loose = _searched(trie.pair, r[pair_above], every)
+        (longer,) = _searched(lambda *x: (trie.triple(*x),), at[triple_above], after)
+        for name, k, p, t in zip(names, by_key, by_pair, by_triple, strict=True):
+            yield _record([(0, name, shard, _pack(c[k].astype("<u8"), w[k], g[k], codes[p], loose[p], longer[t]))])
 
     return run
 
