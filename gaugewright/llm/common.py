@@ -51,9 +51,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, on one machine only, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="gaugewright-checkpoint-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -76,11 +78,20 @@ def removed(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _nodes(plan) -> Iterator[str]:
+    """Class names of a physical plan's nodes."""
+    yield plan.getClass().getSimpleName()
+    below = plan.children()
+    for i in range(below.size()):
+        yield from _nodes(below.apply(i))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out anew where a small table has too few partitions to use the cores; large tables stay as they are, and
-    so does what already comes from a shuffle (its partitions are only known once it has run)."""
+    so does what already comes from a shuffle (its partitions are only known once it has run). Results of the operators do
+    not depend on it, but for op8's division into sequences."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    if re.search("Join|Aggregate|Window|Exchange|Repartition|Sort|Limit|Union", df._jdf.queryExecution().sparkPlan().toString()):
+    if any(re.search("Join|Aggregate|Window|Exchange|Repartition|Sort|Limit|Union", c) for c in _nodes(df._jdf.queryExecution().sparkPlan())):
         return df
     return df.repartition(n) if df.rdd.getNumPartitions() * 2 <= n else df
 

@@ -1,10 +1,10 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
-A document's ids (and an end id) are cut into full windows and one rest. Rests of many documents are dealt to windows by
+A document's ids (and an end id) are cut into full windows and one rest; a very long text is cut like any other. Rests of many documents are dealt to windows by
 the largest differencing method: partial partitions wait in a heap by their imbalance (largest minus smallest window);
 the two with the largest are merged, the fullest window of one with the emptiest of the other; what is left at the end
-has near-equal windows. While a window exceeds the capacity, the number of windows rises and the rests are dealt anew. As cutting is free, :func:`topped_up` then fills the little that is missing from windows that it takes apart, and
-the last tokens go to windows whose lengths are powers of two, which need no padding.
+has near-equal windows. While a window exceeds the capacity, the number of windows rises and the rests are dealt anew. As cutting is free, :func:`topped_up` then fills the little that is missing from windows that it takes apart,
+and the last tokens go to windows whose lengths are powers of two, which need no padding.
 
 Each task packs what it reads in groups of bounded size: no shuffle, and nothing that grows with the table in memory.
 Sequence ids are unique: the partition's number, then a count. Defined results: a null or empty text is the end id
@@ -14,6 +14,7 @@ alone; repeated rows are packed each; an empty table gives no pieces; other colu
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -132,6 +133,8 @@ def topped_up(dealt: list[list[int]], sizes: list[int], capacity: int = CAPACITY
     return out
 
 
+#: Fixed value: the public tokenizer's words.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A word of letters that need no normal form but lower case, with marks after them, is one token run each.
 _PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,200})(?P<marks>[.,;:!?#*$%&|]*)$"
 #: Words whose ids a worker keeps, and bytes of text that it takes apart at once (or one document).
@@ -139,6 +142,26 @@ KEPT_WORDS = 400_000
 PART_BYTES = 8 << 20
 
 
+def checked(spec: dict) -> None:
+    """Refuse a tokenizer whose ids of a word could depend on its neighbours, on its case or on the marks after it."""
+    normaliser = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    blanks = [n for n in (spec.get("normalizer") or {}).get("normalizers", []) if n["type"] == "Replace"]
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    ok = (
+        sorted(normaliser) == ["Lowercase", "NFC", "Replace"]
+        and blanks[0]["pattern"] == {"Regex": "\\s+"}
+        and blanks[0]["content"] == " "
+        and first.get("pattern") == {"Regex": _WORDS}
+        and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+        and spec["model"]["type"] == "BPE"
+        and spec["model"].get("end_of_word_suffix") == "</w>"
+        and spec["model"].get("dropout") is None
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", []))
+    )
+    if not ok:
+        raise ValueError("only tokenizers that lower-case and split texts into words, numbers and marks are supported")
+
+
 class Encoder:
     """Ids of texts, as ``tokenizers`` gives them, word by word: this tokenizer drops white space and never joins
     across it, so a word's ids do not depend on its neighbours. Different words of many texts are found at once; words of
@@ -148,6 +171,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        checked(json.loads(spec))
         self.tokenizer = Tokenizer.from_str(spec)
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)

@@ -11,11 +11,12 @@ model's kind:
   path is the library's own encoding, found without merging the text. Verdicts on neighbours are kept.
 
 Characters that no piece covers become byte pieces. Pieces hold the space mark only at their start, so a text falls apart
-before each run of marks, and the ids of frequent chunks are kept. Decoding joins pieces and bytes, and takes off the
+before each run of marks, and the ids of frequent chunks are kept. A model that normalises texts otherwise, has marks
+elsewhere or user-defined pieces is refused. Decoding joins pieces and bytes, and takes off the
 mark that encoding put first.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a text's own U+2581 is a space, as in the
-library; repeated rows are each encoded; an empty table gives no rows; other columns are ignored.
+library; very long texts are encoded whole, chunk by chunk; repeated rows are each encoded; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,6 +56,13 @@ class Pieces:
         self.kind = kind or proto.trainer_spec.model_type
         if self.kind not in (_UNIGRAM, _BPE):
             raise ValueError("only unigram and BPE models have pieces to search for")
+        rules = proto.normalizer_spec
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not (rules.add_dummy_prefix and rules.escape_whitespaces):
+            raise ValueError("the model normalises texts: only a mark before the text and for each space is supported")
+        if proto.trainer_spec.treat_whitespace_as_suffix or any(SPACE in p.piece.lstrip(SPACE) for p in proto.pieces if p.type == p.NORMAL):
+            raise ValueError("only models whose pieces hold the space mark at their start are supported")
+        if any(p.type == p.USER_DEFINED for p in proto.pieces):
+            raise ValueError("user-defined pieces are not supported")
         sp = SentencePieceProcessor(model_proto=model)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte_id: dict[int, int] = {}

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -103,3 +104,8 @@ def test_ids_equal_the_library(texts):
     ids, places = encoder.ids(pa.array(texts, pa.string()))
     for i, t in enumerate(texts):
         assert ids[places[i] : places[i + 1]].tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_refused():
+    with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError, match="lower-case"):
+        packing.Encoder(f.read())

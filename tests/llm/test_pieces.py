@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from sentencepiece import sentencepiece_model_pb2
 
 from gaugewright.llm import pieces
 from gaugewright.llm.common import tokenizer_file
@@ -54,3 +56,25 @@ def test_odd_rows(spark):
     back = pieces.decode(spark.createDataFrame([(LIBRARY.encode("ab 漢 c"),), (None,)], "ids array<long>")).collect()
     assert [r.decoded for r in back] == ["ab 漢 c", ""]
     assert OWN.decode(np.zeros(0, "<u4")) == ""
+
+
+@pytest.mark.parametrize("change", [{"remove_extra_whitespaces": True}, {"add_dummy_prefix": False}, {"escape_whitespaces": False}, {"precompiled_charsmap": b"x"}])
+def test_models_that_normalise_are_refused(change):
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(MODEL)
+    for name, value in change.items():
+        setattr(proto.normalizer_spec, name, value)
+    with pytest.raises(ValueError, match="normalises"):
+        pieces.Pieces(proto.SerializeToString())
+
+
+def test_models_with_other_pieces_are_refused():
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(MODEL)
+    proto.pieces[1000].piece = f"a{pieces.SPACE}b"
+    with pytest.raises(ValueError, match="mark"):
+        pieces.Pieces(proto.SerializeToString())
+    proto.ParseFromString(MODEL)
+    proto.pieces[1000].type = proto.pieces[1000].USER_DEFINED
+    with pytest.raises(ValueError, match="user-defined"):
+        pieces.Pieces(proto.SerializeToString())
