@@ -1,4 +1,4 @@
-"""The queries of the ten operators over their whole tables, and the SQL of those that SQL can express."""
+"""The queries of the operators over their whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quant, chat, lm_trie, packing, pieces, quality_rules, secret_scan, simhash, toxicity, wrappers
+from . import additive_quant, chat, decontamination, lm_trie, packing, pieces, prefix_trie, quality_rules, secret_scan, simhash, toxicity, variants, wrappers
 from .common import fold
 
 
@@ -20,7 +20,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
-def op1_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the default policy fails, alone and together, over the whole ledger."""
     return quality_rules.ablation(quality_rules.ledger(_table(spark, sf_dir, "documents")))
 
@@ -69,10 +69,24 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_trie.scores(_table(spark, sf_dir, "documents"), fold() != 1)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        op1_quality_rules, op1_rule_ablation, op2_toxicity, op3_chat_formatting, op4_simhash, op5_secret_scan, op6_sentencepiece,
-        op7_additive_quantisation, op8_packing, op9_html_extraction, op10_lm_scoring,
+        op1_quality_rules, op2_toxicity, op3_chat_formatting, op4_simhash, op5_secret_scan, op6_sentencepiece, op7_additive_quantisation,
+        op8_packing, op9_html_extraction, op10_lm_scoring, op11_spelling_variants, op12_decontamination, op13_prefix_trie, quality_rule_ablation,
     ]
     return {f.__name__: f for f in named}
 
