@@ -21,6 +21,7 @@ very long texts are read whole; without items nothing is hit; an empty table giv
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import mapped
+from .common import mapped, spread
 
 #: Words of an item that count as a leak where they stand together.
 WINDOW = 10
@@ -80,8 +81,8 @@ class Tests:
 
     def numbers(self, text: bytes | None) -> np.ndarray:
         """A text's words as numbers, 0 for those that no item has."""
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in words(text)], np.int32)
+        own = words(text)
+        return np.fromiter(map(self.vocabulary.get, own, itertools.repeat(0)), np.int32, len(own))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -111,7 +112,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
     open_at = settle(open_at, key)
     while reach < depth:
-        open_at = open_at[border[order[open_at]] - order[open_at] > reach]
+        open_at = open_at[border[order[open_at]] - order[open_at] >= reach]  # those that end just there come first
         if not len(open_at):
             break
         own = order[open_at]
@@ -290,7 +291,7 @@ def _found(docs: DataFrame, tests: DataFrame, window: int, most: int) -> tuple[D
     text = F.col("text").cast("string").cast("binary")
     cols = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     none = [F.lit(None).cast("long").alias("n_words"), F.array().cast("array<struct<start: long, end: long>>").alias("runs"), F.array().cast("array<string>").alias("items")]
-    rows = docs.select(*cols, text.alias("__text"), *none)
+    rows = spread(docs.select(*cols, text.alias("__text"))).select("*", *none)
     given = list(blocks(tests, window)) or [Tests([], window)]
     for block in given:
         rows = _step(rows, block, most)
@@ -314,7 +315,7 @@ def decontaminated(docs: DataFrame, tests: DataFrame, window: int = WINDOW, shar
 def matches(docs: DataFrame, tests: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The longest verbatim match of each item with a window in a document: doc_id, item_id (as text), n_words, doc_start,
     item_start; rows per document, item and block of items."""
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = spread(docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")))
     names = ["item_id", "n_words", "doc_start", "item_start"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
     schema = StructType([rows.schema["doc_id"], *StructType.fromDDL("item_id string, n_words long, doc_start long, item_start long").fields])

@@ -148,12 +148,76 @@ f AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM
 SELECT page_id, url, text, length(text) AS n_chars FROM f
 """
 
+#: The table of crc32 by bytes, from its polynomial.
+_CRC_SQL = "SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+
+_VARIANTS_SQL = r"""
+WITH t AS ({crc}),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents),
+p AS (SELECT d, r, count(*) AS n FROM r WHERE length(r) >= 6 GROUP BY d, r),
+b AS (SELECT r, n, flatten(list_transform(string_split(d || ':' || r, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes FROM p),
+h AS (SELECT r, n, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN r[:CAST(h % length(r) AS BIGINT)] || r[CAST(h % length(r) AS BIGINT) + 2:] ELSE r END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+g AS MATERIALIZED (SELECT word, n, i, word[:i - 1] AS a, word[i + 1:] AS z FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT x.word, y.word AS near, y.n AS near_n FROM g x JOIN g y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+      UNION SELECT g.word, v.word, v.n FROM g JOIN v ON v.word = g.a || g.z
+      UNION SELECT v.word, g.word, g.n FROM g JOIN v ON v.word = g.a || g.z),
+f AS (SELECT word, count(*) AS n_near, max(near_n) AS best, arg_min(near, (-near_n, near)) AS form FROM e GROUP BY word),
+w AS MATERIALIZED (SELECT v.word, v.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.best >= 5 * v.n THEN f.form END AS form, CASE WHEN f.best >= 5 * v.n THEN f.best END AS form_n FROM v LEFT JOIN f ON f.word = v.word),
+c AS (WITH RECURSIVE c AS (SELECT word, word AS at FROM w UNION ALL SELECT c.word, w.form FROM c JOIN w ON w.word = c.at WHERE w.form IS NOT NULL) SELECT c.word, c.at AS root FROM c JOIN w ON w.word = c.at WHERE w.form IS NULL)
+SELECT w.word, w.form, c.root, w.n, w.n_near, w.form_n FROM w JOIN c ON c.word = w.word
+"""
+
+_LEAKS_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item, least(len(w), 10) AS size, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda p: array_to_string(w[p:p + least(len(w), 10) - 1], ' '))) AS win FROM b WHERE len(w) > 0),
+s AS (SELECT DISTINCT size FROM i),
+p AS (SELECT k, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, s),
+o AS (SELECT p.k, p.p, p.size, array_to_string(d.w[p.p:p.p + p.size - 1], ' ') AS win FROM p JOIN d ON d.k = p.k),
+m AS (SELECT DISTINCT o.k, o.p, o.size, i.item FROM o JOIN i ON i.win = o.win AND i.size = o.size),
+h AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(p, p + size)) AS q FROM m) GROUP BY k),
+j AS (SELECT k, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT k, item FROM m) GROUP BY k)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(j.n_items, 0) AS n_items, coalesce(j.sha, sha256('')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h ON h.k = d.k LEFT JOIN j ON j.k = d.k
+"""
+
+_TRIE_SQL = r"""
+WITH t AS ({crc}),
+c AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 6 AS h FROM c, t),
+r AS (SELECT h.conv_id, list_concat(CASE WHEN b.own IS NULL THEN [] ELSE b.own[1:h.h] END, h.own[h.h + 1:]) AS p FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+n AS (SELECT conv_id, len(p) AS size, d AS depth, p[1:d] AS path FROM (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM r)),
+v AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM n GROUP BY path, depth),
+k AS (SELECT path[1:depth - 1] AS up, depth - 1 AS d, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1, 2),
+w AS (SELECT v.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[depth].t) END AS own FROM v LEFT JOIN k ON k.d = v.depth AND k.up = v.path),
+a AS (SELECT unnest(range(0, depth + 1)) AS d, path, n_children, own FROM w),
+s AS (SELECT d, path[1:d] AS path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM a GROUP BY 1, 2)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+FROM w JOIN s ON s.d = w.depth AND s.path = w.path LEFT JOIN v u ON u.depth = w.depth - 1 AND u.path = w.path[1:w.depth - 1]
+"""
+
+_ABLATION_SQL = """
+WITH f AS ({rules}), r(rule, bit) AS (VALUES {values})
+SELECT rule, CAST(bit AS BIGINT) AS bit, count(*) FILTER ((fail_bits & bit) <> 0) AS n_failed, count(*) FILTER ((fail_bits & {mask}) = bit) AS n_only,
+       count(*) FILTER ((fail_bits & {mask}) = 0) AS n_kept, count(*) FILTER ((fail_bits & {mask} & ~bit) = 0) AS n_kept_without, count(*) AS n_rows
+FROM f, r GROUP BY rule, bit
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(quality_rules.RULES))
+    policy = quality_rules.DEFAULT
+    rules = _RULES_SQL.format(bits=bits, mask=policy.mask)
+    values = ", ".join(f"('{r}', {quality_rules.BIT[r]})" for r in policy.rules)
     return {
-        "op1_quality_rules": _RULES_SQL.format(bits=bits, mask=quality_rules.DEFAULT.mask),
+        "op1_quality_rules": rules,
+        "quality_rule_ablation": _ABLATION_SQL.format(rules=rules, values=values, mask=policy.mask),
         "op3_chat_formatting": _CHAT_SQL,
         "op7_additive_quantisation": _NEAREST_SQL,
         "op9_html_extraction": _PAGES_SQL,
+        "op11_spelling_variants": _VARIANTS_SQL.format(crc=_CRC_SQL),
+        "op12_decontamination": _LEAKS_SQL,
+        "op13_prefix_trie": _TRIE_SQL.format(crc=_CRC_SQL),
     }

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, removed, written
+from .common import mapped, removed, spread, written
 
 #: Code points in a word, its occurrences, and how much more often its form must occur.
 LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
@@ -60,7 +60,7 @@ def slipped(head: int, run: bytes, slip: int) -> bytes:
 
 def vocabulary(docs: DataFrame, slip: int = SLIP, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
     """Words of the texts (doc_id, text) and their occurrences: word, n."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t"))
+    rows = spread(docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t")))
     runs_of = re.compile(rb"[a-z\xc0-\xff]{%d,}" % least_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
