@@ -34,9 +34,8 @@ class Assessment:
     def data(self) -> Observations:
         d = self._dataset
         found = d if isinstance(d, Observations) else observations.bound(d) if isinstance(d, DataFrame) else observations.read(self.spark, d)
-        if found.rows is not None and found.storage:
-            found = found.only(used_columns(self.bundle))
-            found.rows = found.rows.persist(found.storage)
+        if found.cells is not None and found.storage:
+            found = found.only(used_columns(self.bundle)).kept()
         return found
 
     def result(self, criterion: str) -> CriterionResult:
@@ -95,8 +94,8 @@ class Assessment:
 
     def release(self) -> None:
         """Give the block store back."""
-        if "data" in self.__dict__ and self.data.rows is not None:
-            self.data.rows.unpersist()
+        if "data" in self.__dict__ and self.data.storage and self.data.cells is not None:
+            self.data.cells.unpersist()
 
 
 def used_columns(bundle: TaskBundle) -> list[str]:

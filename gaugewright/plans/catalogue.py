@@ -14,8 +14,6 @@ before (a fitted model, a split).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -36,6 +34,7 @@ from ..functions.linalg import factor
 from ..operators import coverage, holdout, identifiability, performance, replication, validity
 from ..results import CriterionResult
 from ..sources.observations import Observations, bound
+from ..sources.shared import place_for, removed
 from . import scenarios
 from .assessment import Assessment, evaluate_d1, evaluate_d2, evaluate_d3, evaluate_d4, evaluate_d5, evaluate_d6, verdict
 
@@ -324,7 +323,7 @@ d AS (SELECT g.layer, g.flag, g.status, g.place, g.q, g.x, sqrt(min((n0 - g0) **
 # --- D3 --------------------------------------------------------------------------------------------------------------
 def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = identifiability.inputs_of(data := lines(spark, sf_dir), lines_bundle())
-    return data.rows.select(*[c.alias(f"z{i}") for i, c in enumerate(columns)])
+    return data.cells.select(*[c.alias(f"z{i}") for i, c in enumerate(columns)])
 
 
 def d3_normalized_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,12 +513,16 @@ def d1_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E as a CSV file: written to the folder that tasks share, scanned as text, and evaluated by D1."""
+    """E as a folder of CSV files with quotes and line ends in a column of notes, read back as text, and evaluated by D1."""
     data = events(spark, sf_dir)
-    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()  # one's own where none is set, as in tests
-    path = f"{home.rstrip('/')}/gaugewright-csv-{uuid.uuid4().hex}"
-    data.rows.select("event_id", "user_id", "event_type", "value", "sensor_t", "reference_t", "force").coalesce(1).sortWithinPartitions("event_id").write.csv(path, header=True)
-    r = evaluate_d1(path, events_bundle(), spark)
+    path = place_for(spark, "csv")
+    note = F.concat(F.lit('"'), F.col("event_type"), F.lit('",\n'), F.col("event_id").cast("string"))
+    rows = data.cells.select("event_id", "user_id", note.alias("note"), "event_type", "value", "sensor_t", "reference_t", "force")
+    rows.repartitionByRange("event_id").sortWithinPartitions("event_id").write.csv(path, header=True, escape='"')
+    try:
+        r = evaluate_d1(path, events_bundle(), spark)
+    finally:
+        removed(spark, path)
     return _told(spark, r, {"rows_evaluated": "rows", "invalid_rows": "invalid", "maximum_absolute_time_offset_s": "offset", "total_violations": "total"}, n_listed=len(r.violations), last_listed_row=max(v.row_number for v in r.violations))
 
 

@@ -4,15 +4,16 @@ A CSV's cells stay text and are parsed where they are used. Columns are bound by
 last one counts), names that differ in case, and names with dots are told apart. A DataFrame has no order; every row
 carries its file, the place of its block in that file, and its number within the block.
 
-``multiline`` (the default) lets quoted cells hold newlines, as the format has it, and reads each file in one task; large
-files without such cells should be given ``multiline=False``, which splits them.
+A CSV file is cut at byte ranges, quoted newlines or not (:mod:`.delimited`). Null is a cell that a row doesn't have; an empty
+cell is the empty text.
 """
 
 from __future__ import annotations
 
-import csv
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cached_property
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -21,9 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from ..functions.columns import parsed, quoted, stripped
-
-#: Columns that order rows, beside the table's own.
-FILE, BLOCK, PLACE = "__file", "__block", "__place"
+from . import delimited
+from .delimited import BLOCK, FILE, PLACE
 
 
 def at_scheme(path: str) -> bool:
@@ -37,18 +37,28 @@ class Observations:
     spark: SparkSession
     label: str
     names: list[str]
-    rows: DataFrame | None
+    cells: DataFrame | None  # rows as they are, for what needs no order
     at: dict[str, str]
     kinds: dict[str, str]
     problem: str | None = None
     counted: bool = True  # PLACE counts rows within a block
     storage: StorageLevel | None = None  # where rows that are read several times are kept; none: they are read again
+    ordering: Callable[[DataFrame], DataFrame] | None = None  # adds FILE, BLOCK and PLACE, where ``cells`` have none
+
+    @cached_property
+    def rows(self) -> DataFrame | None:
+        """Rows with FILE, BLOCK and PLACE. Finding the blocks' borders can take a pass, which is only made if this is asked for."""
+        return self.ordering(self.cells) if self.ordering else self.cells
 
     def only(self, names: list[str]) -> Observations:
         """The same rows with the columns that hold these names, and their order."""
         held = dict.fromkeys(self.at[n] for n in names if n in self.at)
         kept = self.rows.select(*[quoted(c) for c in held], *[c for c in (FILE, BLOCK, PLACE) if c not in held])
-        return replace(self, rows=kept)
+        return replace(self, cells=kept, ordering=None)
+
+    def kept(self) -> Observations:
+        """The same rows, kept in the block store where ``storage`` says so."""
+        return replace(self, cells=self.rows.persist(self.storage), ordering=None) if self.storage and self.cells is not None else self
 
     def cell(self, name: str) -> Column:
         return quoted(self.at[name])
@@ -97,7 +107,7 @@ def _missing(path: str) -> str | None:
         return str(e)
 
 
-def read(spark: SparkSession, path: str | os.PathLike, multiline: bool = True) -> Observations:
+def read(spark: SparkSession, path: str | os.PathLike) -> Observations:
     """A CSV file (or folder of them), or Parquet where the name says so. Cells of a CSV are worth keeping once they are cut
     out; columns of a Parquet file are better read again."""
     path = str(path) if at_scheme(str(path)) else str(Path(path).expanduser().resolve())
@@ -106,15 +116,13 @@ def read(spark: SparkSession, path: str | os.PathLike, multiline: bool = True) -
     if path.rstrip("/").endswith(".parquet"):
         return bound(spark.read.parquet(path), path, files=True)
     try:
-        head = spark.read.option("wholetext", False).text(path).first()
+        names = delimited.header(spark, path)
     except Exception as e:  # whatever the store says
         return Observations(spark, path, [], None, {}, {}, str(e).splitlines()[0])
-    names = next(csv.reader([head[0]]), []) if head else []
     if not names:
         return Observations(spark, path, [], None, {}, {})
     held = [f"c{i}" for i in range(len(names))]
-    reader = spark.read.schema(", ".join(f"{h} string" for h in held)).options(header=True, multiLine=multiline, escape='"', enforceSchema=True, mode="PERMISSIVE")
-    rows = _ordered(reader.csv(path))
+    rows = delimited.rows(spark, path, len(names))
     return Observations(spark, path, names, rows, dict(zip(names, held, strict=True)), dict.fromkeys(held, "string"), storage=StorageLevel.MEMORY_AND_DISK)
 
 
@@ -124,14 +132,16 @@ def bound(df: DataFrame, label: str = "dataframe", order: list[str] | None = Non
     files; not behind a shuffle)."""
     kinds = {n: "string" if k == "string" else k for n, k in df.dtypes}
     names = df.columns
-    if order:
-        place = quoted(order[0]) if len(order) == 1 else F.struct(*[quoted(c) for c in order])
-        rows = df.withColumns({FILE: F.lit(""), BLOCK: block_of(df, order[0]), PLACE: place})
-    elif files:
-        rows = _ordered(df)
-    else:
-        rows = df.withColumns({FILE: F.lit(""), BLOCK: F.spark_partition_id().cast("long"), PLACE: F.monotonically_increasing_id()})
-    return Observations(df.sparkSession, label, names, rows, {n: n for n in names}, kinds, counted=not order)
+
+    def ordering(rows: DataFrame) -> DataFrame:
+        if order:
+            place = quoted(order[0]) if len(order) == 1 else F.struct(*[quoted(c) for c in order])
+            return rows.withColumns({FILE: F.lit(""), BLOCK: block_of(rows, order[0]), PLACE: place})
+        if files:
+            return _ordered(rows)
+        return rows.withColumns({FILE: F.lit(""), BLOCK: F.spark_partition_id().cast("long"), PLACE: F.monotonically_increasing_id()})
+
+    return Observations(df.sparkSession, label, names, df, {n: n for n in names}, kinds, counted=not order, ordering=ordering)
 
 
 def block_of(df: DataFrame, column: str) -> Column:

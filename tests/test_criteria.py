@@ -407,7 +407,7 @@ def test_row_numbers_of_dataframes(spark, tmp_path):
     ordered = spark.createDataFrame([r | {"place": i, "Fx_ref": float(r["Fx_ref"]), "c1": float(r["c1"])} for i, r in enumerate(rows)])
     whole = spark.read.csv(str(data), header=True)
     whole.coalesce(1).write.parquet(str(tmp_path / "data.parquet"))
-    for d in (data, bound(ordered.repartition(5), "x", ["place"]), whole, read(spark, tmp_path / "data.parquet"), read(spark, data, multiline=False)):
+    for d in (data, bound(ordered.repartition(5), "x", ["place"]), whole, read(spark, tmp_path / "data.parquet"), read(spark, data)):
         r = Assessment(d, bundle, spark).result("D1")
         assert [(v.code, v.row_number) for v in r.violations] == [("measurement_out_of_range", 7), ("measurement_out_of_range", 22)]
         assert Assessment(d, bundle, spark).result("D2").status == "INDETERMINATE"
