@@ -12,11 +12,11 @@ tree of steps, so no task gets all pages of a host, and what is merged has the s
 tells where a host's articles are: in the heaviest ``article`` or ``main`` that holds text slots, or else in the innermost
 element that holds all variable text which is no furniture; where that is the page's body, its children that are the same
 on all pages are left out. Extraction aligns a page with its wrapper and returns the text below that place without
-furniture (menus, headers, footers, side columns, notices, adverts, forms, comments) and without the wrapper's constants:
-blocks of text that are the same on all of at least LEAST_PAGES pages, as long as they are the smaller part of the page's
-text (on hosts whose pages are copies of each other, constants tell nothing). Within an article only furniture's tags, and
-containers with a whole name of it, are left out; outside, no element that holds the article or most of the text is
-furniture for a part of its name.
+furniture (menus, headers, footers, side columns, notices, adverts, forms, comments). Being the same on all pages tells
+nothing of a block by itself, since headings and closing lines are that too: a constant of the wrapper is left out only if it
+also reads, as a whole, like a notice (NOTICE) and is no heading, whatever the number of pages. Within an article only
+furniture's tags, and containers with a whole name of it, are left out besides; outside, no element that holds the article or
+most of the text is furniture for a part of its name.
 
 Text: character references are decoded, white space becomes one space within a block, and blocks are joined by one space.
 
@@ -65,9 +65,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of the same kind (fixed values).
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul p".split())
-#: A block of text is a host's constant if it stands on all of at least so many pages, and is left out of a page if its
-#: constants are at most this share of the text.
-LEAST_PAGES, MOST_CONSTANT = 4, 0.25
+#: What a notice, an advert's mark or a call to the reader reads like as a whole, in one sentence (fixed values).
+NOTICE = re.compile(
+    r"(?:advertisement|advertorial|sponsored(?: content| post)?|(?:\(c\)|\u00a9|copyright)[^.!?]*(?:\. ?all rights reserved)?|all rights reserved"
+    r"|(?:please )?(?:subscribe|sign up|sign in|log in|register|follow us|share this|like us|join our)\b[^.!?]*|(?:we|this (?:web ?)?site) uses? cookies\b[^.!?]*)[.!]?",
+    re.I,
+)
 _SCOPE = frozenset("ul ol dl table article section div body html main".split())
 
 
@@ -211,16 +214,23 @@ def opened(root) -> set[int]:
 
 
 def blocks_of(node: Node, inside: bool = True, without: frozenset[tuple] = frozenset(), every: bool = False) -> list[str]:
-    """Blocks of text of an element without furniture; ``inside``: it lies in an article, or is one; outside, an element
+    """Texts of :func:`marked_blocks`."""
+    return [text for text, _ in marked_blocks(node, inside, without, every)]
+
+
+def marked_blocks(node: Node, inside: bool = True, without: frozenset[tuple] = frozenset(), every: bool = False) -> list[tuple[str, bool]]:
+    """Blocks of text of an element without furniture, each with whether it is a heading's; ``inside``: it lies in an article, or is one; outside, an element
     with text of its own is as an article to what it holds. ``without``: signatures of its children that are left out;
     ``every``: furniture stays."""
-    parts: list[str | None] = []  # None parts blocks
+    parts: list[str | bool | None] = []  # None parts blocks, True stands at a heading's beginning
     kept = frozenset() if inside or every else opened(node)
     todo: list[tuple[Iterator, Node, bool]] = []
 
     def enter(x: Node, inside: bool) -> None:
         if x.tag not in INLINE:
             parts.append(None)
+        if x.tag in HEADINGS:
+            parts.append(True)
         todo.append((iter(x.children), x, inside))
 
     enter(node, inside)
@@ -241,8 +251,9 @@ def blocks_of(node: Node, inside: bool = True, without: frozenset[tuple] = froze
     out, at = [], 0
     for i, p in enumerate([*parts, None]):
         if p is None:
-            if i > at and (text := _SPACE.sub(" ", "".join(parts[at:i])).strip()):
-                out.append(text)
+            heading = i > at and parts[at] is True
+            if i > at + heading and (text := _SPACE.sub(" ", "".join(parts[at + heading : i])).strip()):
+                out.append((text, heading))
             at = i + 1
     return out
 
@@ -427,7 +438,7 @@ def place(wrapper: dict) -> dict:
 
     The heaviest ``article``, or else the heaviest ``main``; on hosts without them the innermost element that holds all
     variable text which is no furniture."""
-    same_text = wrapper["e"] if wrapper["n"] >= LEAST_PAGES else []
+    same_text = wrapper["e"]
     kept = opened(wrapper)
     found: list[tuple[tuple, tuple]] = []
 
@@ -517,12 +528,8 @@ def extract(html: str | None, where: dict | None) -> str:
         where = place(wrapper_of(root))
         hits = _at(root, where["path"])
     without, same = frozenset(map(tuple, where["without"])), frozenset(where["same"])
-    blocks = [b for h in hits for b in blocks_of(h, where["inside"], without)]
-    if same:
-        own = [b for b in blocks if digest(b) not in same]
-        if sum(map(len, own)) >= (1 - MOST_CONSTANT) * sum(map(len, blocks)):
-            blocks = own
-    return " ".join(blocks)
+    blocks = [b for h in hits for b in marked_blocks(h, where["inside"], without)]
+    return " ".join(text for text, heading in blocks if heading or not NOTICE.fullmatch(text) or digest(text) not in same)
 
 
 # --- Spark ----------------------------------------------------------------------------------------------------------
