@@ -110,24 +110,22 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def materialised(placed: DataFrame, limit_chars: int | None = None) -> DataFrame:
-    """Texts of the examples, one row each: conv_id, n_turns, context, target. Examples whose context is
-    longer than ``limit_chars`` are not written out: they remain as places (:func:`examples`). Conversations are read turn by turn, in order."""
+def materialised(placed: DataFrame) -> DataFrame:
+    """Texts of the examples, one row each: conv_id, n_turns, context, target and tail. Conversations are read turn by turn, in
+    order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, so_far, size = object(), [], 0
+        now, so_far = object(), []
         for b in batches:
             rows: list[tuple] = []
             for conv, role, segment, a, z, last in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if conv != now:
-                    now, so_far, size = conv, [], 0
-                if limit_chars is None or size <= limit_chars:
-                    if role == TARGET_ROLE:
-                        rows.append((conv, len(so_far) + 1, "".join(so_far) + segment[:a], segment[a:z], segment[z:]))
-                    elif last:
-                        rows.append((conv, len(so_far) + 1, "".join(so_far) + segment, None, ""))
+                    now, so_far = conv, []
+                if role == TARGET_ROLE:
+                    rows.append((conv, len(so_far) + 1, "".join(so_far) + segment[:a], segment[a:z], segment[z:]))
+                elif last:
+                    rows.append((conv, len(so_far) + 1, "".join(so_far) + segment, None, ""))
                 so_far.append(segment)
-                size += len(segment)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["conv_id", "n_turns", "context", "target", "tail"])
 

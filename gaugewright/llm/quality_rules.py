@@ -5,8 +5,8 @@ one integer whose bit *i* is set if rule *i* failed. A :class:`Policy` is a vers
 stored ledger by one bitwise AND, without reading texts again. :func:`ablation` tells what each rule costs, from the
 counts of the distinct masks (there are at most 2**len(RULES) of them, whatever the input's size).
 
-Defined results: a null or empty text has no words and fails ``too_few_words``; repeated rows are each measured; an
-empty table gives an empty ledger; other columns, also ones named like a measurement, are ignored.
+Defined results: a null or empty text has no words and fails ``too_few_words``; repeated rows are each measured; very
+long texts are measured whole, in time linear in them; an empty table gives an empty ledger; other columns, also ones named like a measurement, are ignored.
 """
 
 from __future__ import annotations

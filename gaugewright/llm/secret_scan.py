@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import mapped, released, removed, ship, spread, written
 
-KINDS = ("assign", "access", "hex", "field")
+#: Spans of the three patterns, of the field, and of what stands beside a pattern's span in one lexeme with it.
+KINDS = ("assign", "access", "hex", "field", "rest")
 SAMPLE = 4000
 #: Windows of lexemes without a secret that the field is trained on, at most; made-up windows; lexemes beside a secret.
 RUNS, MADE, BESIDE = 2500, 2500, 4
@@ -428,7 +429,10 @@ def made_up(words: list[str], n: int = MADE, seed: int = 5, marks: list[str] | N
             text += before + value + after
         else:
             text += harmless()
-        out.append((text + r.choice((" ", "\n", ", ")) + plain(r.randint(2, 8)), places))
+        if i % 8 in (4, 7):  # nothing follows it
+            out.append((text[: places[0][1]] if places and r.random() < 0.5 else text, places))
+        else:
+            out.append((text + r.choice((" ", "\n", ", ")) + plain(r.randint(2, 8)), places))
     return out
 
 
@@ -590,13 +594,13 @@ def completed(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
 
 
 def scan(text: str, model: Field | Scorer) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """The patterns' spans, and all spans; what the field finds within one pattern's span adds nothing. A lexeme that a
-    pattern covers only in part is never O."""
+    """The patterns' spans, and all spans; what the field finds within one pattern's span adds nothing. The whole of a lexeme
+    that a pattern covers only in part is a span of its own kind (``rest``), which no field has found."""
     scorer = model if isinstance(model, Scorer) else Scorer(model)
     base = base_spans(text)
     extra = [("field", a, b) for a, b in scorer.spans(text) if not any(s[1] <= a and b <= s[2] for s in base)]
     if base:
-        extra += [("field", a, b) for a, b in completed(text, base) if not any(s[1] <= a and b <= s[2] for s in extra)]
+        extra += [("rest", a, b) for a, b in completed(text, base) if not any(s[1] <= a and b <= s[2] for s in extra)]
     return base, ordered(base + extra)
 
 

@@ -12,7 +12,7 @@ it has fingerprints, not their pairs). Components follow in :mod:`.components`.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any other; with fewer words than a
 shingle the whole sequence is hashed; repeated rows have the same fingerprint; null ids form no component with others
-than by their fingerprint; an empty table gives no rows; other columns are ignored.
+than by their fingerprint; very long texts are hashed whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, mapped, removed, ship, spread, texts, written
@@ -243,8 +243,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 def one_of_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that stay: of each group of near-duplicates the one with the smallest id; all columns.
 
-    Rows are found again by id and fingerprint together, so that rows without an id, or with the same id and other
-    texts, are told apart; exact repeats of a row count once.
+    Rows are found again by id and fingerprint together, so that rows without an id, or with the same id and another
+    fingerprint, are told apart. Of rows that share both, the one whose text comes first in code-point order stays (texts
+    that differ in the case of letters have one fingerprint); exact repeats of a row count once.
     """
     ship(df.sparkSession)
     found = near_duplicates(df, id_column, text_column, with_bits=True)
@@ -257,4 +258,5 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     rows = spread(df).withColumn("__fp", prints(F.col(text_column).cast("string"))).withColumn("__id", F.col(id_column).cast("long"))
     kept = rows.alias("d").join(stay.alias("s"), F.col("d.__id").eqNullSafe(F.col("s.__id")) & (F.col("d.__fp") == F.col("s.__fp")), "left_semi")
-    return kept.dropDuplicates(["__id", "__fp"]).select(*[f"`{c}`" for c in df.columns])
+    alike = Window.partitionBy("__id", "__fp").orderBy(F.col(text_column).cast("string"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return kept.withColumn("__nth", F.row_number().over(alike)).where("__nth = 1").select(*[f"`{c}`" for c in df.columns])
