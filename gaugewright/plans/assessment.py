@@ -74,7 +74,7 @@ class Assessment:
             says = declared.criteria.get(c) if declared else None
             if says is not None and not says.applicable:
                 report = Reporter(c, {"task_id": self.bundle.task.task_id})
-                results[c] = report("NOT_APPLICABLE", f"{c} is not applicable to this task: {says.reason}", {"reason": says.reason}).model_copy(update={"criterion_name": "Not Applicable"})
+                results[c] = report("NOT_APPLICABLE", f"{c} does not apply here: {says.reason}", {"reason": says.reason}).model_copy(update={"criterion_name": "Not Applicable"})
                 continue
             results[c] = self.result(c)
             if says is None:
@@ -110,16 +110,16 @@ def verdict(d0: CriterionStatus, undeclared: bool, statuses: list[CriterionStatu
     """A known failure beats missing evidence; an incomplete or contradictory claim comes before all."""
     s = CriterionStatus
     if d0 == s.FAIL:
-        return s.FAIL, "Overall assessment failed because D0 is contradictory."
+        return s.FAIL, "The claim contradicts its own task, so nothing else can support it."
     if d0 != s.PASS:
-        return s.INDETERMINATE, "Overall assessment is indeterminate because the calibration claim is incomplete."
+        return s.INDETERMINATE, "The claim is incomplete, so it is open whether the data support it."
     if undeclared:
-        return s.INDETERMINATE, "Overall assessment is indeterminate because criterion applicability is not fully declared."
+        return s.INDETERMINATE, "It is not declared which criteria apply, so the verdict is open."
     if s.FAIL in statuses:
-        return s.FAIL, "Overall dataset assessment failed at least one criterion."
+        return s.FAIL, "The data fail a criterion that applies."
     if s.INDETERMINATE in statuses:
-        return s.INDETERMINATE, "Overall dataset assessment is indeterminate because required evidence is missing."
-    return s.PASS, "Overall dataset assessment passed every applicable criterion."
+        return s.INDETERMINATE, "Evidence for a criterion that applies is missing, so the verdict is open."
+    return s.PASS, "The data meet every criterion that applies."
 
 
 def _one(criterion: str):

@@ -30,6 +30,7 @@ from ..declarations import (
     TaskBundle,
     TaskConfig,
 )
+from ..functions.draws import times
 from ..functions.linalg import factor
 from ..operators import coverage, holdout, identifiability, performance, replication, validity
 from ..results import CriterionResult
@@ -138,24 +139,25 @@ def d4_config_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("own").agg(F.countDistinct("run").alias("n_runs"), F.count_if(F.col("configuration") != F.col("own")).alias("n_conflicts")).withColumnRenamed("own", "configuration")
 
 
-def _declared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence for the users whose key is not a multiple of 9, and for some who were never seen; two share an id."""
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed users against evidence for those whose key is not a multiple of 9, and for some who were never seen; two share
+    an acquisition."""
     users = _table(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 9 <> 0")
     more = spark.range(3).select((F.col("id") + 10_000_000).alias("user_id"))
-    return users.union(more).select(F.col("user_id").cast("string").alias("run"), F.concat(F.lit("acquisition-"), (F.col("user_id") - F.pmod("user_id", F.lit(2))).cast("string")).alias("acquisition_id"))
+    acquisition = F.concat(F.lit("acquisition-"), (F.col("user_id") - F.pmod("user_id", F.lit(2))).cast("string"))
+    yes = F.lit(True)
+    declared = users.union(more).select(F.col("user_id").cast("string").alias("run"), acquisition.alias("acquisition_id"), yes.alias("separate"), yes.alias("initialised"), yes.alias("zeroed"))
+    return replication.ledger(_runs(events(spark, sf_dir)).select("run").distinct(), declared)
 
 
 def d4_evidence_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _runs(events(spark, sf_dir)).select("run").distinct().withColumn("seen", F.lit(True))
-    both = seen.join(_declared_runs(spark, sf_dir), "run", "full_outer")
-    kind = F.when(F.col("seen").isNull(), "declared_run_not_observed").when(F.col("acquisition_id").isNull(), "missing_evidence").otherwise("matched")
-    return both.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_runs"))
+    kind = F.when(~F.col("observed"), "declared_run_not_observed").when(~F.col("declared"), "missing_evidence").otherwise("matched")
+    return _ledger(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n_runs"))
 
 
 def d4_acquisition_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _runs(events(spark, sf_dir)).select("run").distinct()
-    matched = seen.join(_declared_runs(spark, sf_dir), "run")
-    return matched.groupBy("acquisition_id").agg(F.min("run").alias("owner"), (F.count("*") - 1).alias("n_duplicates"))
+    matched = _ledger(spark, sf_dir).where("observed AND declared")
+    return matched.groupBy("acquisition_id").agg(F.min("owner").alias("owner"), F.count_if(~F.col("verified")).alias("n_duplicates"))
 
 
 def _lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,14 +356,10 @@ def _fit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, holdout.Fit, Obse
 
 def d5_partition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed runs against a split that shares a run, leaves one out, and names one that was never observed."""
-    seen = holdout.samples_of(lines(spark, sf_dir), revenue_bundle()).select("unit").distinct()
-    development, test = (spark.createDataFrame([(u,) for u in us], "unit string") for us in (["1", "2", "3", "9"], ["3", "5", "6", "7"]))
-    kinds = {
-        "overlap": development.intersect(test), "unassigned": seen.join(development.union(test), "unit", "left_anti"),
-        "not_observed": development.union(test).distinct().join(seen, "unit", "left_anti"), "observed": seen,
-    }
-    parts = [d.select(F.lit(k).alias("kind"), "unit") for k, d in kinds.items()]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    units = holdout.partition(holdout.samples_of(lines(spark, sf_dir), revenue_bundle()), ["1", "2", "3", "9"], ["3", "5", "6", "7"])
+    kinds = {"overlap": "development AND test", "unassigned": "NOT development AND NOT test", "not_observed": "NOT observed", "observed": "observed"}
+    each = F.explode(F.array(*[F.when(F.expr(e), F.lit(k)) for k, e in kinds.items()]))
+    return units.select(each.alias("kind"), "unit").where("kind IS NOT NULL")
 
 
 def d5_split_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +393,7 @@ def _repetitions(spark: SparkSession, sf_dir: str, region: bool = False) -> Data
     samples, fit, *_ = _fit(spark, sf_dir)
     place = F.array_position(F.array(*map(F.lit, TEST)), F.col("unit")) - 1
     stats = _run_stats(samples, fit).select(place.alias("place"), F.col("m" if region else "n").alias("n"), F.col("z0" if region else "q0").alias("q0"))
-    return performance.pooled(stats, performance.draws(spark, 3, REPETITIONS, SEED + region), 1)
+    return performance.pooled(stats, times(spark, 3, REPETITIONS, SEED + region), 1)
 
 
 def d6_bootstrap_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,16 +111,16 @@ class Reporter:
         return self("INDETERMINATE", summary, metrics, missing)
 
     def undeclared(self, missing: list[str]) -> CriterionResult:
-        return self.open(f"{self.criterion} is indeterminate because {len(missing)} required declaration(s) are missing.", missing)
+        return self.open(f"{self.criterion} stays open: {len(missing)} thing(s) it needs are not declared.", missing)
 
     def unconfigured(self) -> CriterionResult:
         at = f"task.{self.criterion.lower()}"
-        return self.open(f"{self.criterion} is indeterminate because no {self.criterion} task configuration was declared.", [at])
+        return self.open(f"{self.criterion} stays open: the task has no part for it.", [at])
 
     def ungated(self, gate: CriterionResult) -> CriterionResult:
         g = gate.criterion_id
         metrics = {f"{g.lower()}_status": gate.status.value, f"{g.lower()}_summary": gate.summary}
-        return self.open(f"{self.criterion} was not evaluated because its {g} prerequisite did not pass.", [f"prerequisite.{g}_PASS"], metrics)
+        return self.open(f"{self.criterion} waits for {g}, which does not hold.", [f"prerequisite.{g}_PASS"], metrics)
 
 
 def profile_context(bundle: TaskBundle, **more: Any) -> dict[str, Any]:
