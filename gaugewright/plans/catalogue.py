@@ -14,17 +14,19 @@ before (a fitted model, a split).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..declarations import (
     AssessmentRequirements,
     CalibrationClaim,
-    CriterionStatus,
     D2ExcludedRegion,
+    DeclarationClassification,
+    DeclarationResolutionStage,
     InstrumentProfile,
     SetupProfile,
     TaskBundle,
@@ -32,12 +34,12 @@ from ..declarations import (
 )
 from ..functions.draws import times
 from ..functions.linalg import factor
-from ..operators import coverage, holdout, identifiability, performance, replication, validity
+from ..operators import coverage, holdout, identifiability, performance, provenance, replication, validity
 from ..results import CriterionResult
 from ..sources.observations import Observations, bound
 from ..sources.shared import place_for, removed
-from . import scenarios
-from .assessment import Assessment, evaluate_d1, evaluate_d2, evaluate_d3, evaluate_d4, evaluate_d5, evaluate_d6, verdict
+from . import sweep
+from .assessment import Assessment, evaluate_d1, evaluate_d2, evaluate_d3, evaluate_d4, evaluate_d5, evaluate_d6
 
 ROUND = 6
 DEVELOPMENT, TEST = ["1", "2", "3", "4"], ["5", "6", "7"]
@@ -305,9 +307,11 @@ def d2_rotated_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d2_excluded_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    domain = coverage.domain_of(lines_bundle())
-    extra = D2ExcludedRegion(region_id="high-tax", reason="r", continuous_bounds={"x": {"minimum": 0.07}})
-    grid = _named(coverage.grid(spark, domain, [*lines_bundle().task.d2.excluded_regions, extra]), domain)
+    """Grid points in regions that the observations bound: up to their mean quantity, and from their mean tax on."""
+    data, domain = lines(spark, sf_dir), coverage.domain_of(lines_bundle())
+    q, x = data.cells.agg(F.avg("l_quantity"), F.avg("l_tax")).first()
+    regions = [D2ExcludedRegion(region_id="small-open", reason="r", continuous_bounds={"q": {"maximum": q}}, categorical_values={"status": ["O"]}), D2ExcludedRegion(region_id="high-tax", reason="r", continuous_bounds={"x": {"minimum": x}})]
+    grid = _named(coverage.grid(spark, domain, regions), domain)
     return grid.groupBy("flag", "status", F.coalesce("region", F.lit("kept")).alias("region")).agg(F.count("*").alias("n_points"))
 
 
@@ -363,8 +367,12 @@ def d5_partition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d5_split_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d5 = revenue_bundle().task.d5
-    return spark.createDataFrame([(holdout.split_digest(d5.validation_unit, d5.development_units, d5.test_units),)], "sha256 string")
+    """Digests of splits of the line numbers, one for each flag: those of which fewer rows bear it than the mean develop."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_linenumber").cast("string").alias("unit")).agg(F.count("*").alias("n"))
+    few = F.col("n") < F.avg("n").over(Window.partitionBy("l_returnflag"))
+    split = rows.withColumn("few", few).groupBy("l_returnflag").agg(F.collect_list(F.when(F.col("few"), F.col("unit"))).alias("d"), F.collect_list(F.when(~F.col("few"), F.col("unit"))).alias("t"))
+    told = [(r["l_returnflag"], holdout.split_digest("run", r["d"], r["t"])) for r in split.collect()]  # a row a flag
+    return spark.createDataFrame(told, "l_returnflag string, sha256 string")
 
 
 def d5_ols_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,44 +449,78 @@ def _drawn(seed: int) -> str:
     return f"b AS (SELECT * FROM (VALUES {values}) t(repetition, unit))"
 
 
-# --- D7, register, roll-up --------------------------------------------------------------------------------------------
-_MANIFEST = [("customer", "raw_data"), ("orders", "raw_data"), ("part", "task_config"), ("elsewhere", "raw_data")]
-_ACTIVE = [("customer", "raw_data"), ("part", "raw_data"), ("supplier", "raw_data")]
+# --- many tasks: D0, registers, roll-ups, recorded results ---------------------------------------------------------------
+def d0_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task for each part, whose columns say what of the claim is declared otherwise, or not at all."""
+    change = lambda when, path, value: F.when(when, F.struct(F.lit(path).alias("key"), F.lit(value).cast("string").alias("value")))
+    size, brand = F.col("p_size"), F.crc32("p_brand")
+    made = F.array(
+        change(size % 5 == 0, "claim.sensor_inputs", '["q", "d"]'), change(size % 7 == 0, "claim.model_family", None), change(brand % 3 == 0, "claim.performance_metrics", '["rmse"]'),
+        change(F.col("p_type") == "ECONOMY", "d2.maximum_fill_distance", None), change(F.col("p_retailprice") > 950, "claim.operating_domain", '["revenue", "time"]'), change(size % 11 == 0, "d6.regions", None),
+        change(F.col("p_partkey") % 13 == 0, "d4", None),
+    )
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.map_from_entries(F.filter(made, lambda x: x.isNotNull())).alias("changes"))
+    return sweep.claims(rows, revenue_bundle())
 
 
-def d7_manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active inputs against a manifest: matched, not manifested, or with another role."""
-    manifest, active = (spark.createDataFrame(rows, "path string, role string") for rows in (_MANIFEST, _ACTIVE))
-    both = active.withColumnRenamed("role", "expected").join(manifest, "path", "left")
-    found = F.when(F.col("role").isNull(), "active_input_not_manifested").when(F.col("role") != F.col("expected"), "active_input_role_mismatch").otherwise("matched")
-    return both.select("path", "expected", F.coalesce("role", F.lit("")).alias("role"), found.alias("finding"))
+#: What is open in the bare task, and a path that is not (both in the order of a register).
+_OPEN = ["task.claim", "task.d2", "task.d3", "task.d6", "task.d4", "task.d5", "task.old"]
 
 
-_OPEN = [("task.d2", "3_design"), ("task.d3", "4_statistics"), ("task.d6", "4_statistics"), ("task.old", "1_physics")]
-_LIVE = ["task.claim", "task.d2", "task.d3", "task.d6"]
-_CLASSES = ["1_physics", "2_hardware", "3_design", "4_statistics"]
+def bare_bundle() -> TaskBundle:
+    channel = {"v": {"unit": "u"}}
+    task = {"task_id": "bare", "dataset_mapping": {"sensor_timestamp_column": "t", "reference_timestamp_column": "t", "sensor_channels": {"v": "v"}, "reference_channels": {"v": "v"}}, "d1": {"maximum_reference_uncertainty": {"v": 1.0}, **_D1}}
+    return _bundle(task, channel, channel, {"reference_to_sensor_rotation": [[1.0]]})
 
 
-def register_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two differences between a register and what is open, and zero-filled counts by class."""
-    listed = spark.createDataFrame(_OPEN, "path string, class string")
-    live = spark.createDataFrame([(p,) for p in _LIVE], "path string")
-    classes = spark.createDataFrame([(c,) for c in _CLASSES], "class string")
-    counts = classes.join(listed.groupBy("class").count(), "class", "left").select(F.concat(F.lit("class:"), "class").alias("item"), F.coalesce("count", F.lit(0).cast("long")).alias("n"))
-    gone = listed.join(live, "path", "left_anti").select(F.concat(F.lit("settled:"), "path").alias("item"), F.lit(1).cast("long").alias("n"))
-    new = live.join(listed, "path", "left_anti").select(F.concat(F.lit("unlisted:"), "path").alias("item"), F.lit(1).cast("long").alias("n"))
-    return counts.union(gone).union(new)
+def register_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A register for each customer: of the open paths it lists those whose bit its key sets (all with their last bits
+    clear), and the nation says how many it expects."""
+    entry = lambda p: json.dumps({"path": p, "criterion": "D2", "classification": next(iter(DeclarationClassification)).value, "resolution_stage": next(iter(DeclarationResolutionStage)).value, "decision_question": "q", "legitimate_source": "l"})
+    bits = F.col("c_custkey") % 128
+    listed = F.filter(F.array(*[F.when((bits == 0) | (F.floor(bits / (1 << i)) % 2 == 1), F.lit(entry(p))) for i, p in enumerate(_OPEN)]), lambda x: x.isNotNull())
+    head = json.dumps({"register_id": "r", "task_config": "task.yaml", "expected_d0_status": "INDETERMINATE", "scope_note": "s"})[:-1]
+    task = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("other")).otherwise(F.lit("bare"))
+    document = F.concat(F.lit(head + ', "task_id": "'), task, F.lit('", "expected_missing_count": '), (F.col("c_nationkey") % 7 + 1).cast("string"), F.lit(', "entries": ['), F.array_join(listed, ", "), F.lit("]}"))
+    return sweep.registers(_table(spark, sf_dir, "customer").select("c_custkey", document.alias("document")), bare_bundle())
 
 
-_CASES = [
-    ("contradictory", "FAIL", False, ["PASS"]), ("incomplete", "INDETERMINATE", False, ["FAIL"]), ("undeclared", "PASS", True, ["FAIL"]),
-    ("failed", "PASS", False, ["PASS", "INDETERMINATE", "FAIL"]), ("open", "PASS", False, ["INDETERMINATE", "PASS"]), ("good", "PASS", False, ["PASS", "PASS"]),
-]
+def register_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over those audits, how often each path is unlisted or settled, and how many registers are aligned."""
+    rows = register_evaluation(spark, sf_dir)
+    told = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: F.concat(F.lit(f"{c}:"), x))
+    each = F.explode(F.concat(told("unlisted"), told("settled"), F.array(F.when(F.col("aligned"), "aligned").otherwise("apart"))))
+    return rows.select(each.alias("item")).groupBy("item").agg(F.count("*").alias("n"))
 
 
 def overall_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(name, verdict(CriterionStatus(d0), open_, [CriterionStatus(s) for s in some])[0].value) for name, d0, open_, some in _CASES]
-    return spark.createDataFrame(rows, "case string, status string")
+    """A roll-up for each order: its own status is D0's, its lines' flags those of the criteria."""
+    status = lambda c, fail, open_: F.when(c == fail, "FAIL").when(c == open_, "INDETERMINATE").otherwise("PASS")
+    lines_of = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(status(F.col("l_returnflag"), "R", "A")).alias("statuses"))
+    rows = _table(spark, sf_dir, "orders").join(lines_of, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    none = F.array().cast("array<string>")
+    given = F.struct(status(F.col("o_orderstatus"), "F", "P").alias("d0"), (F.col("o_orderpriority") == "1-URGENT").alias("undeclared"), F.coalesce("statuses", none).alias("statuses"))
+    return sweep.verdicts(rows.select("o_orderkey", given.alias("given")))
+
+
+def d7_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results recorded for each supplier against live ones: every seventh has counted a line more, every fifth has revenue off by
+    a millionth, every ninth another flag list, and every 31st nothing recorded."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.sort_array(F.collect_set("l_returnflag")).alias("flags"))
+    key = F.col("l_suppkey")
+    document = lambda n, quantity, flags: F.to_json(F.struct(F.struct(n.alias("n"), quantity.alias("quantity")).alias("metrics"), flags.alias("flags")))
+    live = rows.select(key.cast("string").alias("key"), document(F.col("n"), F.col("quantity"), F.col("flags")).alias("document"))
+    off = F.when(key % 5 == 0, F.col("quantity") * (1 + 1e-6)).otherwise(F.col("quantity"))
+    less = F.when(key % 9 == 0, F.slice("flags", 2, 10)).otherwise(F.col("flags"))
+    recorded = rows.where(key % 31 != 0).select(key.cast("string").alias("key"), document(F.col("n") + (key % 7 == 0).cast("int"), off, less).alias("document"))
+    return provenance.compared(recorded, live, 0.0, 1e-9).select(F.col("key").cast("long").alias("l_suppkey"), "path")
+
+
+def d7_manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active inputs (orders with lines) against a manifest (orders up to a price) by the role each expects."""
+    manifest = _table(spark, sf_dir, "orders").where("o_totalprice < 250000").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderstatus").alias("role"))
+    active = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("path")).agg(F.max("l_linestatus").alias("expected"))
+    return provenance.matched(active, manifest).groupBy("finding").agg(F.count("*").alias("n_inputs"))
 
 
 def assessment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -580,23 +622,6 @@ def d6_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(spark, r, named | {"calibration_acceptance_status": "acceptance", "test_sample_count": "test"})
 
 
-def _scenario(criterion: str):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scenarios.outcomes(spark, criterion)
-
-    query.__name__ = f"{criterion.lower()}_scenarios"
-    query.__doc__ = f"What {criterion} says of each of its scenarios (made-up tasks with one fault each)."
-    return query
-
-
-def d7_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.provenance_outcomes(spark)
-
-
-def register_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.register_outcomes(spark)
-
-
 def _status_items(status: str, items: dict[str, str]) -> str:
     """SQL of rows like those of ``_told``: a status, and numbers by item (``'...'``: words)."""
     parts = [f"SELECT 'status' AS item, {status} AS word, CAST(NULL AS DOUBLE) AS number"]
@@ -619,54 +644,34 @@ small AS (WITH RECURSIVE p(k, a, b, c, d, l) AS (SELECT 0, CAST(1 AS DOUBLE), CA
   SELECT (SELECT l FROM big) - l AS l FROM p ORDER BY k DESC LIMIT 1)
 """
 _D = "INDETERMINATE"
-#: What each scenario must give: case, status, codes with counts, what is missing.
-_EXPECTED = {
-    "D0": [
-        ("complete", "PASS", "", ""), ("bare", _D, "", "task.claim,task.d2,task.d3,task.d6,task.d4,task.d5"), ("model_family", "FAIL", "model_family_mismatch:1", ""),
-        ("inputs", "FAIL", "sensor_input_mismatch:1", ""), ("outputs", "FAIL", "reference_output_mismatch:1", ""), ("domain", "FAIL", "operating_domain_mismatch:1", ""),
-        ("conditions", "FAIL", "operating_condition_mismatch:1", ""), ("metrics", "FAIL", "performance_requirement_mismatch:1", ""),
-        ("unit_open", _D, "", "task.claim.generalization.independent_unit"), ("axis_open", _D, "", "task.d2.domain.Fy.maximum"),
-    ],
-    "D1": [
-        ("good", "PASS", "", ""), ("late", "FAIL", "non_monotonic_timestamp:1,synchronization_exceeded:1", ""), ("high", "FAIL", "measurement_out_of_range:1", ""),
-        ("back", "FAIL", "non_monotonic_timestamp:1,synchronization_exceeded:1", ""), ("nan", "FAIL", "invalid_numeric_value:1", ""), ("no_run", "FAIL", "invalid_run_id:1", ""),
-        ("no_column", "FAIL", "missing_required_column:1", ""), ("policy_open", _D, "", "task.d1.invalid_observation_policy_id"), ("unreviewed", "FAIL", "exclusions_not_reviewed:1", ""),
-        ("uncertain", "FAIL", "reference_uncertainty_exceeded:1", ""), ("mirrored", "FAIL", "invalid_coordinate_rotation:1", ""), ("unknown", "FAIL", "unknown_sensor_channel:1", ""),
-    ],
-    "D2": [
-        ("grid", "PASS", "", ""), ("centre", "FAIL", "fill_distance_exceeded:1", ""), ("gate", _D, "", "prerequisite.D1_PASS"), ("too_many", _D, "", "task.d2.grid_within_software_limit"),
-        ("regions_open", _D, "", "task.d2.excluded_regions"), ("region_unknown", "FAIL", "unknown_exclusion_dimension:1", ""), ("condition_gone", "FAIL", "missing_condition_column:1", ""),
-    ],
-    "D3": [
-        ("full_rank", "PASS", "", ""), ("same_inputs", "FAIL", "condition_number_exceeded:1,rank_deficient:1", ""), ("strict", "FAIL", "condition_number_exceeded:1", ""),
-        ("two_outputs", "FAIL", "output_dimension_mismatch:1", ""), ("test_open", _D, "", "task.d3.model_specific_test_id"),
-    ],
-    "D4": [
-        ("four", "PASS", "", ""), ("five_asked", "FAIL", "minimum_independent_runs_not_met:1", ""), ("spirals_asked", "FAIL", "minimum_configuration_runs_not_met:1", ""),
-        ("ess_asked", "FAIL", "minimum_effective_sample_size_not_met:1", ""), ("drifting", "FAIL", "stationarity_not_supported:1", ""),
-        ("shared_acquisition", "FAIL", "duplicate_acquisition_id:1,minimum_configuration_runs_not_met:1,minimum_effective_sample_size_not_met:1,minimum_independent_runs_not_met:1", ""),
-        ("evidence_open", _D, "", "task.d4.run_evidence.lissajous_02"), ("two_configurations", "FAIL", "multiple_configurations_per_run:1", ""), ("flat", "FAIL", "autocorrelation_undefined_constant_signal:1", ""),
-    ],
-    "D5": [
-        ("split", "PASS", "", ""), ("overlap", "FAIL", "development_test_unit_overlap:1", ""), ("no_test", "FAIL", "empty_test_partition:1,minimum_test_units_not_met:1,observed_unit_not_partitioned:1", ""),
-        ("unseen", "FAIL", "declared_unit_not_observed:1", ""), ("unassigned", "FAIL", "observed_unit_not_partitioned:1", ""), ("not_frozen", "FAIL", "split_not_frozen_before_development:1", ""),
-        ("leak", "FAIL", "test_data_used_during_development:1", ""), ("fed_back", "FAIL", "test_results_fed_back_into_development:1", ""),
-    ],
-    "D6": [
-        ("precise", "PASS", "", ""), ("too_wide", "FAIL", "metric_interval_too_wide:1", ""), ("few_units", "FAIL", "insufficient_independent_test_units_for_bootstrap:1", ""),
-        ("thin_region", "FAIL", "insufficient_regional_test_units:1", ""), ("axes", "FAIL", "performance_axis_mismatch:1", ""),
-    ],
-    "D7": [
-        ("as_recorded", "PASS", "", ""), ("package", "FAIL", "evidence_package_id_mismatch:1", ""), ("not_listed", "FAIL", "active_input_not_manifested:1", ""),
-        ("other_role", "FAIL", "active_input_role_mismatch:1", ""), ("seed", "FAIL", "random_seed_mismatch:1", ""), ("seed_open", _D, "", "evidence.random_seeds.d6.bootstrap"),
-        ("result_open", _D, "", "evidence.criterion_results.D0"), ("edited", "FAIL", "evidence_hash_mismatch:1", ""), ("other_result", "FAIL", "criterion_result_not_reproduced:1", ""),
-        ("no_json", "FAIL", "criterion_result_unreadable:1", ""), ("gone", "FAIL", "criterion_result_unreadable:1,evidence_file_missing:1", ""), ("no_manifest", _D, "", "task.d7.evidence_manifest_path"),
-    ],
-}
-_REGISTERS = [
-    ("aligned", True, True, True, 6, "", "", 3, 2), ("other_order", True, False, True, 6, "", "", 3, 2), ("short", False, False, True, 6, "task.d5", "", 3, 2),
-    ("settled", False, False, True, 6, "", "task.old", 4, 3), ("other_task", False, True, False, 6, "", "", 3, 2), ("other_count", False, True, True, 6, "", "", 3, 2),
-]
+_CRC = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_SPLIT_SQL = """
+WITH g AS (SELECT l_returnflag, CAST(l_linenumber AS VARCHAR) AS unit, count(*) AS n FROM lineitem GROUP BY ALL),
+f AS (SELECT *, n < avg(n) OVER (PARTITION BY l_returnflag) AS few FROM g),
+s AS (SELECT l_returnflag, coalesce(string_agg('"' || unit || '"', ',' ORDER BY unit) FILTER (few), '') AS d, coalesce(string_agg('"' || unit || '"', ',' ORDER BY unit) FILTER (NOT few), '') AS t FROM f GROUP BY 1)
+SELECT l_returnflag, sha256('{"development_units":[' || d || '],"test_units":[' || t || '],"validation_unit":"run"}') AS sha256 FROM s
+"""
+_CLAIMS_SQL = f"""
+WITH t AS (SELECT {_CRC} AS t),
+p AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(p_brand, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 3 = 0 AS lacks FROM part, t),
+c AS (SELECT p_partkey, concat_ws(',', CASE WHEN p_retailprice > 950 THEN 'operating_domain_mismatch:1' END, CASE WHEN lacks THEN 'performance_requirement_mismatch:1' END, CASE WHEN p_size % 5 = 0 THEN 'sensor_input_mismatch:1' END) AS codes,
+             concat_ws(',', CASE WHEN p_size % 7 = 0 THEN 'task.claim.model_family' END, CASE WHEN p_type = 'ECONOMY' THEN 'task.d2.maximum_fill_distance' END, CASE WHEN p_size % 11 = 0 THEN 'task.d6.regions' END, CASE WHEN p_partkey % 13 = 0 THEN 'task.d4' END) AS missing FROM p)
+SELECT p_partkey, CASE WHEN codes <> '' THEN 'FAIL' WHEN missing <> '' THEN 'INDETERMINATE' ELSE 'PASS' END AS status, codes, missing FROM c
+"""
+_REGISTERS_SQL = f"""
+WITH o AS (SELECT {_OPEN} AS paths),
+r AS (SELECT c_custkey, c_mktsegment <> 'HOUSEHOLD' AS own, c_nationkey % 7 + 1 AS expected, paths[1:6] AS actual, list_filter(paths, lambda x, i: c_custkey % 128 = 0 OR (c_custkey >> (i - 1)) & 1 = 1) AS listed FROM customer, o),
+d AS (SELECT *, list_filter(actual, lambda x: NOT list_contains(listed, x)) AS gone, list_filter(listed, lambda x: NOT list_contains(actual, x)) AS old FROM r)
+SELECT c_custkey, own AND expected = 6 AND len(listed) = 6 AND len(gone) = 0 AND len(old) = 0 AS aligned, listed = actual AS order_matches, own AS task_id_matches, CAST(len(listed) AS INTEGER) AS n_listed,
+       array_to_string(gone, ',') AS unlisted, array_to_string(old, ',') AS settled FROM d
+"""
+_RECORDED_SQL = """
+WITH s AS (SELECT l_suppkey AS k, count(DISTINCT l_returnflag) AS flags FROM lineitem GROUP BY 1)
+SELECT k AS l_suppkey, '' AS path FROM s WHERE k % 31 = 0
+UNION ALL SELECT k, 'metrics.n' FROM s WHERE k % 31 <> 0 AND k % 7 = 0
+UNION ALL SELECT k, 'metrics.quantity' FROM s WHERE k % 31 <> 0 AND k % 5 = 0
+UNION ALL SELECT k, 'flags.__length__' FROM s WHERE k % 31 <> 0 AND k % 9 = 0
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -676,14 +681,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         d4_evidence_outer, d4_acquisition_owner, d4_autocorrelation, d4_ess_by_signal, d4_limiting_signal, d5_partition_audit, d5_split_digest,
         d5_ols_coefficients, d5_test_rmse, d6_run_stats, d6_bootstrap_rmse, d6_bootstrap_ci, d6_region_support, d6_region_ci, d7_manifest_audit,
         register_audit_counts, overall_rollup, assessment_rows, d1_evaluation, csv_evaluation, d2_evaluation, d3_evaluation, d4_evaluation, d5_evaluation,
-        d6_evaluation, *map(_scenario, ("D0", "D1", "D2", "D3", "D4", "D5", "D6")), d7_scenarios, register_scenarios,
+        d6_evaluation, d0_evaluation, d7_evaluation, register_evaluation,
     ]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
     declared = "u AS (SELECT DISTINCT user_id FROM events WHERE user_id % 9 <> 0 UNION ALL SELECT 10000000 + unnest(range(3))), m AS (SELECT CAST(user_id AS VARCHAR) AS run, 'acquisition-' || CAST(user_id - user_id % 2 AS VARCHAR) AS acquisition_id FROM u), seen AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS run FROM events)"
-    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
     pooled = "SELECT repetition, sqrt(sum(q) / sum(n)) AS e FROM b JOIN r ON r.unit = b.unit GROUP BY repetition"
     regional = "SELECT repetition, sqrt(sum(z) / sum(m)) AS e FROM b JOIN r ON r.unit = b.unit GROUP BY repetition"
     ci = "SELECT count(*) AS n, round(quantile_cont(e, 0.05), 4) AS low, round(quantile_cont(e, 0.95), 4) AS high FROM"
@@ -695,11 +699,10 @@ def oracle_sql() -> dict[str, str]:
     canonical = '{"development_units":["' + '","'.join(sorted(d5.development_units)) + '"],"test_units":["' + '","'.join(sorted(d5.test_units)) + '"],"validation_unit":"run"}'
     entries = ", ".join(f"sum({design[i]} * {design[j]}) AS g{i}{j}" for i in range(4) for j in range(i, 4)) + ", count(*) AS n"
     power = _POWER.format(entries=entries, steps=600)
-    coded = lambda rows: "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + ') t("case", status, codes, missing)'
     first = "(SELECT event_id, seq FROM v ORDER BY event_id, seq LIMIT 50)"
     place = f"(SELECT count(*) + 1 FROM e WHERE event_id <= (SELECT max(event_id) FROM {first}))"
     d1 = f"WITH {_EVENTS} " + _status_items("'FAIL'", {"rows": "(SELECT count(*) FROM e)", "invalid": "(SELECT count(DISTINCT event_id) FROM v)", "offset": "(SELECT max(abs(s - r)) FROM e)", "total": "(SELECT count(*) FROM v)", "n_listed": f"(SELECT count(*) FROM {first})", "last_listed_row": place}) + " UNION ALL SELECT 'code:' || code, NULL, CAST(count(*) AS DOUBLE) FROM v GROUP BY code"
-    evaluated = {"d1_evaluation": d1, "csv_evaluation": d1} | {f"{c.lower()}_scenarios": coded(rows) for c, rows in _EXPECTED.items()}
+    evaluated = {"d1_evaluation": d1, "csv_evaluation": d1}
     cover = {
         "samples": "(SELECT count(*) FROM lineitem)", "inside": "(SELECT count(*) FILTER (i) FROM c)", "outside": "(SELECT count(*) FILTER (NOT i) FROM c)", "fill_distance": "(SELECT max(h) FROM k)",
         "points": "(SELECT sum(n_evaluated) FROM k)", "excluded": "(SELECT sum(n_excluded) FROM k)",
@@ -719,8 +722,6 @@ def oracle_sql() -> dict[str, str]:
     performed = {"rmse": "(SELECT sqrt(sum(q) / sum(n)) FROM r)", "low": "(SELECT quantile_cont(e, 0.05) FROM r1)", "high": "(SELECT quantile_cont(e, 0.95) FROM r1)", "region_rmse": "(SELECT sqrt(sum(z) / sum(m)) FROM r)", "region_low": "(SELECT quantile_cont(e, 0.05) FROM r2)", "region_high": "(SELECT quantile_cont(e, 0.95) FROM r2)", "acceptance": "'PASS'", "test": "(SELECT count(*) FROM h)"}
     evaluated["d6_evaluation"] = f"WITH {_OLS}, {spans} " + _status_items("'PASS'", performed)
     evaluated["d3_rank_condition"] = f"WITH {power} SELECT n AS n_rows, CAST({rank} AS INTEGER) AS design_rank, round({condition}, 6) AS condition_number FROM m"
-    told = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in _REGISTERS)
-    evaluated["register_scenarios"] = f'SELECT * FROM (VALUES {told}) t("case", aligned, order_matches, task_id_matches, n_missing, unlisted, settled, n_first_class, n_first_stage)'
     evaluated["assessment_rows"] = "SELECT * FROM (VALUES " + ", ".join(f"('D{i}', '{'NOT_APPLICABLE' if i == 7 else 'PASS'}', 0, 0)" for i in range(8)) + ") t(criterion_id, status, n_missing, n_violations)"
     return evaluated | {
         "d1_violations_by_code": f"WITH {_EVENTS} SELECT code, count(*) AS n_violations FROM v GROUP BY code",
@@ -732,7 +733,7 @@ def oracle_sql() -> dict[str, str]:
         "d2_support_counts": "WITH c AS (SELECT l_returnflag IN ('A', 'N', 'R') AND l_linestatus IN ('F', 'O') AND (l_quantity - 1.0) / 49.0 BETWEEN 0 AND 1 AND l_discount / CAST(0.1 AS DOUBLE) BETWEEN 0 AND 1 AND l_tax / CAST(0.08 AS DOUBLE) BETWEEN 0 AND 1 AS i FROM lineitem) SELECT count(*) AS n_samples, count(*) FILTER (i) AS n_inside, count(*) FILTER (NOT i) AS n_outside FROM c",
         "d2_achieved_extent": "SELECT " + ", ".join(f"{f}({c}) AS {f}_{k}" for k, c in columns.items() for f in ("min", "max")) + " FROM lineitem",
         "d2_rotated_extent": "SELECT " + ", ".join(f"round({f}({c}), 6) AS {f}_{k}" for k, c in turned.items() for f in ("min", "max")) + " FROM lineitem",
-        "d2_excluded_grid": f"WITH {_GRID} SELECT flag, status, CASE WHEN q <= 15 AND status = 'O' THEN 'small-open' WHEN x >= 0.07 THEN 'high-tax' ELSE 'kept' END AS region, count(*) AS n_points FROM g GROUP BY ALL",
+        "d2_excluded_grid": f"WITH {_GRID}, l AS (SELECT avg(l_quantity) AS mq, avg(l_tax) AS mx FROM lineitem) SELECT flag, status, CASE WHEN q <= mq AND status = 'O' THEN 'small-open' WHEN x >= mx THEN 'high-tax' ELSE 'kept' END AS region, count(*) AS n_points FROM g, l GROUP BY ALL",
         "d3_normalized_extent": "SELECT " + ", ".join(f"round({f}({c}), 6) AS {f}_{k}" for k, c in z.items() for f in ("min", "max")) + ", count(*) FILTER ((" + " OR ".join(f"abs({c}) > 1" for c in z.values()) + f") AND abs({z['d']}) < 2) AS n_outside FROM lineitem",
         "d3_gram_check": " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(sum({design[i]} * {design[j]}), 4) AS product, count(*) AS n_rows FROM lineitem" for i in range(4) for j in range(i, 4)),
         "d4_run_counts": "SELECT CAST(user_id AS VARCHAR) AS run, count(*) AS n_rows, count(DISTINCT event_type) AS n_configurations FROM events GROUP BY user_id",
@@ -743,7 +744,7 @@ def oracle_sql() -> dict[str, str]:
         "d4_ess_by_signal": f"WITH {_LAGS} SELECT signal, round(ess, 4) AS ess, n_runs FROM z",
         "d4_limiting_signal": f"WITH {_LAGS} SELECT signal, round(ess, 4) AS ess FROM z ORDER BY ess, place LIMIT 1",
         "d5_partition_audit": "WITH dev AS (SELECT * FROM (VALUES ('1'), ('2'), ('3'), ('9')) t(unit)), test AS (SELECT * FROM (VALUES ('3'), ('5'), ('6'), ('7')) t(unit)), seen AS (SELECT DISTINCT CAST(l_linenumber AS VARCHAR) AS unit FROM lineitem), both_ AS (SELECT unit FROM dev UNION SELECT unit FROM test) SELECT 'overlap' AS kind, unit FROM dev WHERE unit IN (SELECT unit FROM test) UNION ALL SELECT 'unassigned', unit FROM seen WHERE unit NOT IN (SELECT unit FROM both_) UNION ALL SELECT 'not_observed', unit FROM both_ WHERE unit NOT IN (SELECT unit FROM seen) UNION ALL SELECT 'observed', unit FROM seen",
-        "d5_split_digest": f"SELECT sha256('{canonical}') AS sha256",
+        "d5_split_digest": _SPLIT_SQL,
         "d5_ols_coefficients": f"WITH {_OLS} SELECT 'intercept' AS feature, round(k, 3) AS coefficient FROM p UNION ALL SELECT 'q', round(k0, 3) FROM p UNION ALL SELECT 'd', round(k1, 3) FROM p UNION ALL SELECT 'x', round(k2, 3) FROM p",
         "d5_test_rmse": f"WITH {_OLS} SELECT count(*) AS n_test, round(sqrt(avg(err * err)), 4) AS rmse FROM h",
         "d6_run_stats": f"WITH {_OLS} SELECT unit, n, round(sqrt(q / n), 4) AS rmse FROM r",
@@ -751,9 +752,12 @@ def oracle_sql() -> dict[str, str]:
         "d6_bootstrap_ci": f"WITH {_OLS}, {_drawn(SEED)} {ci} ({pooled})",
         "d6_region_ci": f"WITH {_OLS}, {_drawn(SEED + 1)} {ci} ({regional})",
         "d6_region_support": "WITH l AS (SELECT l_linenumber AS unit, l_extendedprice * (1 - l_discount) AS y, l_linestatus AS st FROM lineitem WHERE l_linenumber IN (5, 6, 7)), x AS (SELECT 'large' AS region, unit FROM l WHERE y >= 40000 UNION ALL SELECT 'small', unit FROM l WHERE y <= 5000 UNION ALL SELECT 'open', unit FROM l WHERE st = 'O') SELECT region, count(*) AS n_samples, count(DISTINCT unit) AS n_units FROM x GROUP BY region",
-        "d7_manifest_audit": f"WITH m AS (SELECT * FROM (VALUES {values(_MANIFEST)}) t(path, role)), a AS (SELECT * FROM (VALUES {values(_ACTIVE)}) t(path, expected)) SELECT a.path, a.expected, coalesce(m.role, '') AS role, CASE WHEN m.role IS NULL THEN 'active_input_not_manifested' WHEN m.role <> a.expected THEN 'active_input_role_mismatch' ELSE 'matched' END AS finding FROM a LEFT JOIN m ON m.path = a.path",
-        "register_audit_counts": f"WITH l AS (SELECT * FROM (VALUES {values(_OPEN)}) t(path, class)), v AS (SELECT * FROM (VALUES {values([[p] for p in _LIVE])}) t(path)), c AS (SELECT * FROM (VALUES {values([[x] for x in _CLASSES])}) t(class)) SELECT 'class:' || c.class AS item, count(l.path) AS n FROM c LEFT JOIN l ON l.class = c.class GROUP BY c.class UNION ALL SELECT 'settled:' || path, 1 FROM l WHERE path NOT IN (SELECT path FROM v) UNION ALL SELECT 'unlisted:' || path, 1 FROM v WHERE path NOT IN (SELECT path FROM l)",
-        "overall_rollup": f"SELECT name AS \"case\", CASE WHEN d0 = 'FAIL' THEN 'FAIL' WHEN d0 <> 'PASS' OR undeclared = 'True' THEN 'INDETERMINATE' WHEN statuses LIKE '%FAIL%' THEN 'FAIL' WHEN statuses LIKE '%INDET%' THEN 'INDETERMINATE' ELSE 'PASS' END AS status FROM (VALUES {values([[n, d, o, ' '.join(s)] for n, d, o, s in _CASES])}) t(name, d0, undeclared, statuses)",
+        "d7_manifest_audit": "WITH m AS (SELECT o_orderkey AS path, o_orderstatus AS role FROM orders WHERE o_totalprice < 250000), a AS (SELECT l_orderkey AS path, max(l_linestatus) AS expected FROM lineitem GROUP BY 1) SELECT CASE WHEN m.role IS NULL THEN 'active_input_not_manifested' WHEN m.role <> a.expected THEN 'active_input_role_mismatch' ELSE 'matched' END AS finding, count(*) AS n_inputs FROM a LEFT JOIN m ON m.path = a.path GROUP BY 1",
+        "d0_evaluation": _CLAIMS_SQL,
+        "d7_evaluation": _RECORDED_SQL,
+        "register_evaluation": _REGISTERS_SQL,
+        "register_audit_counts": f"WITH e AS ({_REGISTERS_SQL}) SELECT item, count(*) AS n FROM (SELECT unnest(list_concat(list_transform(list_filter(string_split(unlisted, ','), lambda x: x <> ''), lambda x: 'unlisted:' || x), list_transform(list_filter(string_split(settled, ','), lambda x: x <> ''), lambda x: 'settled:' || x), [CASE WHEN aligned THEN 'aligned' ELSE 'apart' END])) AS item FROM e) GROUP BY item",
+        "overall_rollup": "WITH l AS (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS fails, bool_or(l_returnflag = 'A') AS opens FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'FAIL' WHEN o_orderstatus = 'P' OR o_orderpriority = '1-URGENT' THEN 'INDETERMINATE' WHEN coalesce(fails, false) THEN 'FAIL' WHEN coalesce(opens, false) THEN 'INDETERMINATE' ELSE 'PASS' END AS status FROM orders LEFT JOIN l ON l_orderkey = o_orderkey",
     }
 
 

@@ -1,4 +1,4 @@
 """The small synthetic calibration tasks, under the name that the tests use."""
 
-from gaugewright.plans.scenarios import *  # noqa: F403
-from gaugewright.plans.scenarios import CLAIM, D2, D3, D4, D5, D6  # noqa: F401
+from .scenarios import *  # noqa: F403
+from .scenarios import CLAIM, D2, D3, D4, D5, D6  # noqa: F401

@@ -1,6 +1,6 @@
 """Small synthetic calibration tasks, and scenarios: one change to a task or its rows each, with the criterion to evaluate.
 
-Tests and the catalogue run the same scenarios; what each must give is stated beside the queries, as SQL.
+What each must give is stated in test_scenarios.py.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from typing import Any
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 
-from ..declarations import DeclarationClassification, DeclarationRegister, DeclarationResolutionStage
-from ..results import CriterionResult
-from ..sources.documents import load_task_bundle
-from ..sources.observations import bound
-from .assessment import Assessment, audit_declaration_register
+from gaugewright.declarations import DeclarationClassification, DeclarationRegister, DeclarationResolutionStage
+from gaugewright.results import CriterionResult
+from gaugewright.sources.documents import load_task_bundle
+from gaugewright.sources.observations import bound
+from gaugewright.plans.assessment import Assessment, audit_declaration_register
 
 AXES = ("Fx", "Fy", "Fz")
 INPUTS = ("c1", "c2", "c3")

@@ -25,6 +25,15 @@ def run(spark, tmp_path):
     return go
 
 
+def close(a, b):
+    """JSON values that are equal but for the last bits of numbers."""
+    if isinstance(a, dict):
+        return isinstance(b, dict) and a.keys() == b.keys() and all(close(a[k], b[k]) for k in a)
+    if isinstance(a, list):
+        return isinstance(b, list) and len(a) == len(b) and all(map(close, a, b))
+    return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) if isinstance(a, float) and isinstance(b, float) else a == b
+
+
 def codes(result):
     return [v.code for v in result.violations]
 
@@ -391,9 +400,7 @@ def test_partition_count_does_not_matter(spark, tmp_path):
     results = [Assessment(bound(df.repartition(n), "x", order), bundle, spark).overall() for n in (1, 7)]
     for c in results[0].criteria:
         one, other = (r.criteria[c].model_dump(mode="json") for r in results)
-        from gaugewright.operators.provenance import differences
-
-        assert not list(differences(one["metrics"], other["metrics"], c, 1e-9, 1e-9))
+        assert close(one["metrics"], other["metrics"]), c
         assert one["status"] == other["status"]
 
 

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.functions.columns import is_close, parsed, quoted, rotated, stripped
 from gaugewright.functions.linalg import factor, least_squares
-from gaugewright.operators.provenance import differences
+from gaugewright.operators.provenance import compared
 from gaugewright.operators.validity import proper_rotation
 
 CELLS = [
@@ -74,10 +75,18 @@ def test_factor_and_least_squares(spark):
     assert factor(df.where("false"), [F.col("a")])[1] == 0
 
 
-def test_differences():
-    a = {"x": [1, 2.0, {"y": True}], "z": None}
-    assert not list(differences(a, {"x": [1.0 + 1e-12, 2, {"y": True}], "z": None}, "D", 1e-9, 0))
-    assert list(differences(a, {"x": [1, 2.1, {"y": 1}], "z": 0}, "D", 1e-9, 0)) == ["D.x.1", "D.z"]
-    assert list(differences(a, {"x": [1], "w": 1}, "D", 0, 0)) == ["D.__keys__"]
-    assert list(differences([1], [1, 2], "D", 0, 0)) == ["D.__length__"]
-    assert list(differences(float("nan"), float("nan"), "D", 1, 1)) == ["D"]
+def test_documents_are_compared_value_by_value(spark):
+    a = {"x": [1, 2.0, {"y.z": True}], "w": None, "y": {"z": 1}}
+    pairs = {
+        "same": (a, {"x": [1.0 + 1e-12, 2, {"y.z": 1}], "w": None, "y": {"z": 1}}, []),
+        "values": (a, {"x": [1, 2.1, {"y.z": 0}], "w": 0, "y": {"z": 1}}, ["x.1", "x.2.y.z", "w"]),
+        "keys": (a, {"x": [1], "v": 1, "y": {"z": 2}}, ["__keys__"]),
+        "lengths": ({"x": [1, [2]]}, {"x": [3, [2, 4]]}, ["x.0", "x.1.__length__"]),
+        "kinds": ({"x": {"y": 1}, "z": "1"}, {"x": [1], "z": 1}, ["x", "z"]),
+        "nan": (float("nan"), float("nan"), [""]),
+    }
+    recorded, live = (spark.createDataFrame([(k, json.dumps(p[i])) for k, p in pairs.items()] + [(f"only {i}", "1")], "key string, document string") for i in (0, 1))
+    got = {}
+    for r in compared(recorded, live, 0.0, 1e-9).orderBy("key", "place").collect():
+        got.setdefault(r.key, []).append(r.path)
+    assert got == {k: p[2] for k, p in pairs.items() if p[2]} | {"only 0": [""], "only 1": [""]}
