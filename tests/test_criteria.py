@@ -460,3 +460,24 @@ def test_d4_without_its_configuration_column(run):
     r = run(evaluate_d4, rows, demo.task(d4=demo.D4))
     assert r.metrics["violations_by_code"] == {"declared_run_not_observed": 4, "minimum_configuration_runs_not_met": 2, "minimum_effective_sample_size_not_met": 1, "minimum_independent_runs_not_met": 1, "missing_required_column": 1}
     assert (r.metrics["rows_evaluated"], r.metrics["limiting_signal"], r.metrics["minimum_effective_sample_size_observed"]) == (0, "sensor.c1", 0.0)
+
+
+def test_rows_are_read_a_bounded_number_of_times(spark, tmp_path):
+    """All criteria over one DataFrame: what each reads in one pass is one pass."""
+    _, at = demo.write(tmp_path, demo.split_runs(4, 0.01), whole_task())
+    rows = [{k: float(v) if isinstance(v, int | float) else v for k, v in r.items()} for r in demo.split_runs(4, 0.01)]
+    read = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows).coalesce(1)
+    result = Assessment(df.mapInArrow(through, df.schema), load_task_bundle(at), spark)
+    passes = {}
+    for c in ("D1", "D2", "D3", "D4", "D5", "D6"):
+        before = read.value
+        assert result.result(c).status == "PASS", c
+        passes[c] = (read.value - before) / len(rows)
+    assert passes["D1"] <= 2 and passes["D2"] <= 4 and passes["D3"] <= 2 and passes["D4"] <= 10 and passes["D5"] <= 3 and passes["D6"] <= 1, passes
