@@ -722,7 +722,24 @@ def oracle_sql() -> dict[str, str]:
     performed = {"rmse": "(SELECT sqrt(sum(q) / sum(n)) FROM r)", "low": "(SELECT quantile_cont(e, 0.05) FROM r1)", "high": "(SELECT quantile_cont(e, 0.95) FROM r1)", "region_rmse": "(SELECT sqrt(sum(z) / sum(m)) FROM r)", "region_low": "(SELECT quantile_cont(e, 0.05) FROM r2)", "region_high": "(SELECT quantile_cont(e, 0.95) FROM r2)", "acceptance": "'PASS'", "test": "(SELECT count(*) FROM h)"}
     evaluated["d6_evaluation"] = f"WITH {_OLS}, {spans} " + _status_items("'PASS'", performed)
     evaluated["d3_rank_condition"] = f"WITH {power} SELECT n AS n_rows, CAST({rank} AS INTEGER) AS design_rank, round({condition}, 6) AS condition_number FROM m"
-    evaluated["assessment_rows"] = "SELECT * FROM (VALUES " + ", ".join(f"('D{i}', '{'NOT_APPLICABLE' if i == 7 else 'PASS'}', 0, 0)" for i in range(8)) + ") t(criterion_id, status, n_missing, n_violations)"
+    outside = " OR ".join(f"{c} < {a} OR {c} > {z}" for c, a, z, _ in _SPANS.values()) + " OR l_extendedprice * (1 - l_discount) NOT BETWEEN 0 AND 1e6"
+    evaluated["assessment_rows"] = f"""
+WITH {_OLS}, {spans}, {power},
+bad AS (SELECT count(*) AS n FROM lineitem WHERE {outside}),
+far AS (SELECT max(d) AS d FROM (SELECT g, min(abs(v - g)) AS d FROM (SELECT unnest(range(50)) / 49.0::DOUBLE AS g), (SELECT DISTINCT (y - 1000) / 89000 AS v FROM l) GROUP BY g)),
+dev AS (SELECT l_linenumber AS unit, l_orderkey, l_quantity - avg(l_quantity) OVER (PARTITION BY l_linenumber) AS a FROM lineitem),
+ess AS (SELECT sum(n / (1 + 2 * c / v)) AS n FROM (SELECT unit, count(*) AS n, sum(a * a) AS v, sum(a * b) AS c FROM (SELECT unit, a, lag(a) OVER (PARTITION BY unit ORDER BY l_orderkey) AS b FROM dev) GROUP BY unit)),
+units AS (SELECT count(DISTINCT unit) AS n, count(DISTINCT unit) FILTER (unit IN ('1', '2', '3', '4', '5', '6', '7')) AS own FROM l),
+half AS (SELECT (quantile_cont(e, 0.95) - quantile_cont(e, 0.05)) / 2 AS w FROM r1 UNION ALL SELECT (quantile_cont(e, 0.95) - quantile_cont(e, 0.05)) / 2 FROM r2),
+own(criterion_id, gate, ok) AS (
+  SELECT 'D0', NULL, true UNION ALL SELECT 'D1', NULL, n = 0 FROM bad UNION ALL SELECT 'D2', 'D1', d <= 0.5 FROM far UNION ALL SELECT 'D3', 'D1', {condition} <= 5
+  UNION ALL SELECT 'D4', 'D1', units.n >= 7 AND units.n = units.own AND ess.n >= 10 FROM units, ess UNION ALL SELECT 'D5', 'D1', n = 7 AND own = 7 FROM units
+  UNION ALL SELECT 'D6', 'D5', max(w) <= 1e6 AND (SELECT count(*) FROM r WHERE m > 0) >= 2 FROM half),
+told AS (SELECT o.criterion_id, o.ok, g.ok AND coalesce(gg.ok, true) AS open FROM own o LEFT JOIN own g ON g.criterion_id = o.gate LEFT JOIN own gg ON gg.criterion_id = g.gate)
+SELECT criterion_id, CASE WHEN open IS NULL OR open THEN CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END ELSE 'INDETERMINATE' END AS status, CAST(coalesce(NOT open, false) AS INTEGER) AS n_missing,
+       CAST(CASE WHEN ok OR NOT coalesce(open, true) THEN 0 WHEN criterion_id = 'D1' THEN least(50, (SELECT n FROM bad)) ELSE 1 END AS INTEGER) AS n_violations FROM told
+UNION ALL SELECT 'D7', 'NOT_APPLICABLE', 0, 0
+"""
     return evaluated | {
         "d1_violations_by_code": f"WITH {_EVENTS} SELECT code, count(*) AS n_violations FROM v GROUP BY code",
         "d1_row_summary": f"WITH {_EVENTS} SELECT (SELECT count(*) FROM e) AS n_rows, (SELECT count(DISTINCT event_id) FROM v) AS n_invalid, (SELECT round(max(abs(s - r)), 6) FROM e) AS max_offset_s",
