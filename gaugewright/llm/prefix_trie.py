@@ -125,9 +125,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def scanned(rows: DataFrame, bits: int = 64) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int, int]]]:
-    """Turns (conv_id, turn, role, text) with their place and fingerprint within their range, written once, and what each
-    conversation that spans ranges has come to before each (bounded by the number of ranges)."""
+def scanned(rows: DataFrame, bits: int = 64) -> tuple[DataFrame, dict[int, tuple[int, int, int, int]]]:
+    """Turns (conv_id, turn, role, text) with their place and fingerprint within their range, written once, and by range the
+    conversation that goes on there from earlier ranges (its first one, if any), with what that has come to."""
     spark = rows.sparkSession
     clean = rows.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
     clean = clean.select("*", F.length("text").cast("long").alias("chars"), *_lanes(bits), F.monotonically_increasing_id().alias("given"))
@@ -135,12 +135,12 @@ def scanned(rows: DataFrame, bits: int = 64) -> tuple[DataFrame, dict[tuple[int,
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = clean.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("conv_id", "role", "text", "chars", "ha", "hb")
     out, _ = written(mapped(dealt, _scan, _SCANNED), "turns")
-    before: dict[tuple[int, int], tuple[int, int, int]] = {}
+    before: dict[int, tuple[int, int, int, int]] = {}
     held: dict[int, tuple[int, int, int]] = {}
     for e in sorted(out.where("edge").select("conv_id", "part", "place", "sa", "sb").collect(), key=lambda e: e.part):  # two a range at most
         so_far = held.get(e.conv_id)
         if so_far:
-            before[e.conv_id, e.part] = so_far
+            before[e.part] = (e.conv_id, *so_far)
         n, a, b = so_far or (0, 0, 0)
         move = pow(_INVERSE, n, 1 << 64)
         held[e.conv_id] = (n + e.place, (a + move * e.sa) & _MASK, (b + move * e.sb) & _MASK)
@@ -151,8 +151,10 @@ def _carried(conv: np.ndarray, part: np.ndarray, before: dict) -> tuple[np.ndarr
     """Of each row: turns before its range, the power that moves its terms, and the two sums before."""
     n, move = np.zeros(len(conv), np.int64), np.ones(len(conv), np.uint64)
     sums = [np.zeros(len(conv), np.uint64), np.zeros(len(conv), np.uint64)]
-    for (c, p), (k, a, b) in before.items():
-        if len(at := np.flatnonzero((conv == c) & (part == p))):
+    for p in np.unique(part).tolist():
+        if p in before:
+            c, k, a, b = before[p]
+            at = (conv == c) & (part == p)
             n[at], move[at] = k, pow(_INVERSE, k, 1 << 64)
             sums[0][at], sums[1][at] = a, b
     return n, move, *sums
