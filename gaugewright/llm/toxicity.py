@@ -17,9 +17,9 @@ text's value is the difference of the two log-likelihoods of its sequence by its
 few words don't tell more than they can); one slope and one intercept, fitted on texts that the counts do not know, make
 it a probability. A text without words gets the share of toxic labels.
 
-What is compared was chosen on learning rows alone (those that are not held out, split anew into counts, calibration and
-test): the difference of the two whole likelihoods (e = 1), counts of occurrences instead of documents, and back-off weights
-of each class's own all told toxic documents worse; the README has the figures.
+PRIOR_WORDS, and this form rather than others (e = 1, which is the difference of the two whole likelihoods; counts of
+occurrences; back-off weights of each class's own), were compared on learning rows alone, split anew into counts, calibration
+and test; the README lists what was tried.
 
 Labels are learnt from at most ``sample`` labelled rows and ``sample_bytes`` of their texts (documented bounds; rows are
 chosen by a hash of the id), so the model that is sent to the tasks is bounded too. Counts are of documents that hold a
@@ -47,7 +47,7 @@ from .common import fold, mapped, released, removed, ship, spread, written
 ORDER = 8
 DISCOUNT = 0.75
 #: S, e and the words added to a text's length.
-STRENGTH, SHARE, PRIOR_WORDS = 10.0, 0.01, 50
+STRENGTH, SHARE, PRIOR_WORDS = 10.0, 0.01, 20
 #: Labelled rows learnt from (on average; rows are chosen by hash), and bytes of their texts, at most.
 SAMPLE, SAMPLE_BYTES = 12_000, 96 << 20
 #: Words whose ratios a task keeps.
