@@ -13,6 +13,10 @@ _BLANK = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
 NUMBER = rf"^{_BLANK}[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?{_BLANK}$"
 
 
+#: Texts whose numbers a cast reads as float() does.
+PLAIN = r"^[0-9.eE+-]+\z"
+
+
 def quoted(name: str) -> Column:
     """A column by its exact name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -36,12 +40,14 @@ def parsed(cell: Column, kind: str = "string") -> Column:
     if kind != "string":
         return finite(cell.cast("double"))
     text = F.regexp_replace(cell, r"[^0-9eE.+-]", "")
-    return finite(F.when(cell.rlike(NUMBER), text.try_cast("double")))
+    return finite(F.when(cell.rlike(PLAIN), cell.try_cast("double")).when(cell.rlike(NUMBER), text.try_cast("double")))
 
 
 def stripped(cell: Column) -> Column:
     """Text without the white space around it; null is the empty text."""
-    return F.regexp_replace(F.coalesce(cell.cast("string"), F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    text = F.coalesce(cell.cast("string"), F.lit(""))
+    visible = F.ascii(text).between(33, 126) & F.ascii(F.substring(text, -1, 1)).between(33, 126)  # at both ends
+    return F.when(visible, text).otherwise(F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
 
 
 def rotated(values: Sequence[Column], matrix: Sequence[Sequence[float]]) -> list[Column]:

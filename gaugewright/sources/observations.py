@@ -116,13 +116,14 @@ def read(spark: SparkSession, path: str | os.PathLike) -> Observations:
     if path.rstrip("/").endswith(".parquet"):
         return bound(spark.read.parquet(path), path, files=True)
     try:
-        names = delimited.header(spark, path)
+        blocks = delimited.scan(spark, path)
+        names = delimited.header(spark, blocks)
     except Exception as e:  # whatever the store says
         return Observations(spark, path, [], None, {}, {}, str(e).splitlines()[0])
     if not names:
         return Observations(spark, path, [], None, {}, {})
     held = [f"c{i}" for i in range(len(names))]
-    rows = delimited.rows(spark, path, len(names))
+    rows = delimited.rows(spark, blocks, len(names))
     return Observations(spark, path, names, rows, dict(zip(names, held, strict=True)), dict.fromkeys(held, "string"), storage=StorageLevel.MEMORY_AND_DISK)
 
 

@@ -2,6 +2,7 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,3 +84,66 @@ def test_states_are_those_of_the_csv_module(lines):
     if inside:
         text = "\n".join(lines[at:]) + "\n"
         assert len(list(csv.reader(io.StringIO(text + "mark\n", newline="")))) == len(list(csv.reader(io.StringIO(text, newline=""))))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet='a,"\ré', max_size=8), min_size=1, max_size=9), st.booleans())
+def test_states_of_whole_batches_are_those_of_single_lines(lines, inside):
+    found = delimited.Quotes(delimited.Lines.of(pa.array(["x", *lines]).slice(1))).ends(inside)
+    for line, ends in zip(lines, found, strict=True):
+        inside = delimited.ends_inside(line, inside)
+        assert inside == ends
+
+
+def test_well_formed_lines_are_not_read_letter_by_letter(monkeypatch):
+    lines = delimited.Lines.of(pa.array([t for i in range(5000) for t in (f'{i},"""a"",', f'{i}",b')]))
+    single, calls = delimited.ends_inside, []
+    monkeypatch.setattr(delimited, "ends_inside", lambda *a: calls.append(a) or single(*a))
+    quotes = delimited.Quotes(lines)
+    assert quotes.ends(False).tolist() == [True, False] * 5000
+    assert not calls
+    assert quotes.ends(True)[1:].tolist() == quotes.ends(False)[1:].tolist()
+    assert len(calls) < 10  # until the wrong state has become the right one
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet='a,"\r\n é\ufeff', max_size=6), min_size=1, max_size=3), min_size=1, max_size=4), st.booleans())
+def test_cells_are_those_of_the_csv_module(rows, raw):
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator="\n").writerows(rows)
+    text = "".join(",".join(r) + "\n" for r in rows) if raw else out.getvalue()
+    inside = False
+    for line in text[:-1].split("\n"):
+        inside = delimited.ends_inside(line, inside)
+    if inside:
+        return
+    for n in {len(rows[0]), 2}:
+        found = [c.to_pylist() for c in delimited.columns(text.encode(), n)]
+        every = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+        assert found == [[r[i] if i < len(r) else None for r in every] for i in range(n)]
+
+
+def test_files_of_one_block_each_need_no_look_at_quotes(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(f'a,b\n{i},"x\ny"\n{i},"never\nclosed')
+    blocks = delimited.scan(spark, str(tmp_path))
+    assert [starts for _, _, starts in blocks.files] == [[0]] * 3
+    assert delimited._begun_inside(None, blocks) is None  # no line is read
+    data, rows = scanned(spark, tmp_path)
+    assert rows == [(str(i), c) for i in range(3) for c in ("x\ny", "never\nclosed")]
+    assert [r[0] for r in data.rows.select(delimited.FILE).distinct().orderBy(delimited.FILE).collect()] == [0, 1, 2]  # numbers, no paths
+
+
+def test_first_violations_are_listed_from_the_leading_blocks(spark, tmp_path):
+    from gaugewright.operators import validity
+    from gaugewright.plans import catalogue
+
+    for i in range(4):
+        lines = [f"{i},click,{v},{10 * i + j},{10 * i + j},50" for j, v in enumerate((9, 1, 9) if i else (9, 9, 9))]
+        (tmp_path / f"{i}.csv").write_text("\n".join(["user_id,event_type,value,sensor_t,reference_t,force", *lines]) + "\n")
+    data, bundle = observations.read(spark, tmp_path), catalogue.events_bundle()
+    blocks = validity.summary(validity.row_checks(data, bundle))
+    assert [b["invalid"] for b in blocks] == [0, 1, 1, 1] and validity.summed(blocks)["rows"] == 12
+    assert validity.leading(data, blocks, 2).rows.count() == 9  # the blocks before the first violation too: rows count from there
+    assert validity.leading(data, blocks, 4).rows.count() == 12
+    assert [v.row_number for v in validity.evaluate(data, bundle).violations] == [6, 9, 12]
